@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import digest, langid, mixing, packing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +20,59 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.withColumn("held_out", langid.remainder(F.col("doc_id"), 3) == 1)
+
+
+def op6_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.compression_bands(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_best_fit_packing,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_source_mixing, op5_language_id, op6_exact_fingerprint, op8_compression_bands, op10_best_fit_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::DOUBLE AS weight
+  FROM sized GROUP BY source),
+level AS (
+  SELECT *, 3.0::DOUBLE * source_size AS lim,
+         (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS own
+  FROM sources
+  WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, weight, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+shares AS (
+  SELECT source, source_size,
+         least(lim, coalesce((SELECT arg_min(own, lim / weight) FROM level WHERE own * weight <= lim) * weight, lim)) AS target
+  FROM level),
+running AS (
+  SELECT d.doc_id, d.source, d.size, s.source_size, s.target,
+         CASE WHEN s.source_size > 0 THEN floor(s.target / s.source_size)::BIGINT ELSE 0 END AS rounds,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.place) AS here
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source),
+chosen AS (
+  SELECT *, target - rounds * source_size AS budget FROM running)
+SELECT doc_id, source, size, source_size, target,
+       (size * (rounds + CASE WHEN upto <= budget OR (upto - here <= budget AND upto - budget < budget - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM chosen
+""",
+}
