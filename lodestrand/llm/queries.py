@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, langid, mixing, packing, quality_rules
+from . import chat, digest, html, langid, mixing, packing, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -38,11 +42,18 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    hostile = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.unionByName(hostile)))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_source_mixing, op5_language_id, op6_exact_fingerprint, op8_compression_bands, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_wrappers, op3_source_mixing, op5_language_id, op6_exact_fingerprint, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": """
