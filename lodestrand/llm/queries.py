@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, html, langid, mixing, packing, quality_rules
+from . import chat, digest, html, langid, mixing, packing, quality_model, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op6_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
+    return scored.select("doc_id", (langid.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_bands(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_wrappers, op3_source_mixing, op5_language_id, op6_exact_fingerprint, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_wrappers, op3_source_mixing, op5_language_id, op6_exact_fingerprint, op7_rule_ensemble, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_source_mixing": """
