@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, html, langid, mixing, packing, quality_model, quality_rules
+from . import chat, digest, html, langid, minhash, mixing, packing, quality_model, quality_rules, substring
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.repeated(table(spark, sf_dir, "documents"), length=35))
+
+
 def op2_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -58,9 +66,45 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_html_wrappers, op3_source_mixing, op5_language_id, op6_exact_fingerprint, op7_rule_ensemble, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeated_phrases, op2_html_wrappers, op3_source_mixing, op4_circulant_minhash, op5_language_id, op6_exact_fingerprint, op7_rule_ensemble, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_repeated_phrases": """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT rid, pos, array_to_string(words[pos:pos + 34], ' ') AS said
+  FROM (SELECT rid, words, unnest(generate_series(1, len(words) - 34)) AS pos FROM docs WHERE len(words) >= 35)),
+again AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY said) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(generate_series(pos, pos + 34)) AS pos FROM again),
+kept AS (
+  SELECT w.rid, string_agg(w.word, ' ' ORDER BY w.pos) AS said, count(*) AS n
+  FROM (SELECT rid, unnest(words) AS word, unnest(generate_series(1, len(words))) AS pos FROM docs) w
+  LEFT JOIN gone g ON g.rid = w.rid AND g.pos = w.pos
+  WHERE g.pos IS NULL GROUP BY w.rid)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, (len(d.words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.said, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.rid = d.rid
+""",
+    "op4_circulant_minhash": """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS said
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS pos FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM shingles a JOIN shingles b ON a.said = b.said AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+reached AS (
+  SELECT doc_id AS u, doc_id AS v FROM docs
+  UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.v) AS component_id, d.doc_id = min(r.v) AS kept
+FROM docs d JOIN reached r ON r.u = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id, s.n
+""",
     "op3_source_mixing": """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
