@@ -95,21 +95,33 @@ def thresholds(items: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
     return state.join(edge, "source_key", "left").select("source_key", (F.col("low") + nearer).alias("below"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, salt: str = "") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (the words that the mix takes, repeats counted)."""
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    share: float = 1.0,
+    most: float = 3.0,
+    salt: str = "",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken (the words that the mix takes, repeats counted).
+
+    keep names columns to carry along. The histograms read sizes and places only; these are written once, and again
+    computed from the text only where columns are carried, so that no text is written here.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), place(F.col(id_col), salt).alias("place"))
-    sized = scratch.save(sized, "sizes")
-    return _take(sized, scratch, weights, share, most)
-
-
-def _take(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    shares = scratch.save(targets(sums, weights, share, most).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))), "targets")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), place(F.col(id_col), salt).alias("place"), *keep)
+    named = named.withColumn("source_key", key)
+    items = scratch.save(named.select("doc_id", "source", "size", "place", "source_key"), "sizes")
+    sums = items.groupBy("source").agg(F.sum("size").alias("source_size"))
+    shares = scratch.save(targets(sums, weights, share, most).withColumn("source_key", key), "targets")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     shares = shares.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    items = sized.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
-    limits = thresholds(items, shares, scratch)
-    plan = shares.join(limits, "source_key")
+    limits = scratch.save(thresholds(items, shares, scratch), "thresholds")
+    plan = shares.drop("source").join(limits, "source_key")
     taken = F.col("size") * (F.col("rounds") + F.when(F.col("place") < F.col("below"), 1).otherwise(0))
-    return items.join(plan, "source_key").select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    rows = (named if keep else items).join(plan, "source_key")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *keep)

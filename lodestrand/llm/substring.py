@@ -102,25 +102,26 @@ def locate(windows: Windows, confirmed: np.ndarray) -> np.ndarray:
     return removed
 
 
-def _shards(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+def _shards(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], scratch: Scratch) -> DataFrame:
     """The documents in a table bucketed by shard, so that later passes read them without an exchange."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(n, -(-total // SHARD_BYTES))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")).repartition(n, "shard")
     name = f"shards_{uuid.uuid4().hex}"
     dealt.sortWithinPartitions("shard").write.bucketBy(n, "shard").option("path", f"{scratch.folder}/shards").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name
+    return spark.table(name)
 
 
-def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text without the words of repeated windows (joined by one space), n_words and n_removed.
+def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text without the words of repeated windows, kept, n_words and n_removed, and the columns named in keep.
 
-    Text from which nothing is removed is unchanged in `text`; `kept` is its words joined by one space.
+    Text from which nothing is removed is unchanged in `text`; `kept` is the kept words joined by one space in any
+    case. Columns to keep must not have one of these names.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    table, _ = _shards(docs, id_col, text_col, scratch)
+    table = _shards(docs, id_col, text_col, keep, scratch)
 
     def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in slices(batches):
@@ -172,6 +173,7 @@ def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col
                 "kept": joined,
                 "n_words": pa.array(np.diff(starts).astype(np.int64)),
                 "n_removed": pa.array(counts.astype(np.int64)),
+                **{c: docs.column(c) for c in keep},
             }
         )
 
@@ -181,7 +183,9 @@ def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col
     windows = scratch.save(windows, "windows")
     scratch.drop("anchors")
     confirmed = recurring(windows)
-    return table.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(remove, "doc_id long, text string, kept string, n_words long, n_removed long")
+    kept_fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) if keep else ""
+    result = "doc_id long, text string, kept string, n_words long, n_removed long" + kept_fields
+    return table.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(remove, result)
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
