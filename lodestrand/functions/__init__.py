@@ -1 +1 @@
-
+"""Column functions: text, vectors, dates and references."""

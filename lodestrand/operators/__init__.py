@@ -1 +1 @@
-
+"""Operators over DataFrames: catalog, chunking, retrieval, rewriting, rendering, evaluation."""

@@ -1 +1 @@
-
+"""Streams: an index that follows a folder of meetings."""
