@@ -33,11 +33,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Documents without words all stay.
 
-    The decision is joined back by id; where an id stands on several rows, each row that has it stays or goes with it.
+    Decisions are joined back by id. Repeated rows (one id and one text) become one row; where one id stands on rows
+    with different texts, it goes if any of them goes. Rows with a null id cannot be named and stay.
     """
     tune(spark)
-    gone = minhash.near_duplicates(docs, percent=75).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    decided = minhash.near_duplicates(docs, percent=75).groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("times"))
+    joined = docs.select(*COLUMNS).join(decided, "doc_id", "left").filter(F.col("stays") | F.col("doc_id").isNull())
+    once = joined.filter((F.col("times") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
+    return once.unionByName(joined.filter("times > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

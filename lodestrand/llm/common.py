@@ -42,14 +42,15 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(base)
         self.folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return the written table; shuffle files of its plan may go after this."""
+    def save(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
+        """Write df and return the written table; with release, shuffle files of its plan go soon after."""
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if release:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

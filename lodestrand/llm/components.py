@@ -29,11 +29,11 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node and label (the least node of its component) for every node of the edges (columns u and v, comparable)."""
-    own = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges-0")
+    own = scratch.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges-0", release=False)
     mark, k = None, 0
     while True:
         k += 1
-        after = scratch.save(_stars(_stars(own, True), False), f"{name}-edges-{k}")
+        after = scratch.save(_stars(_stars(own, True), False), f"{name}-edges-{k}", release=False)
         scratch.drop(f"{name}-edges-{k - 1}")
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         own = after

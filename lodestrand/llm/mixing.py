@@ -87,7 +87,7 @@ def thresholds(items: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
                 (F.col("taken") + F.coalesce("more", F.lit(0))).alias("taken"),
             )
         )
-        state = scratch.save(state, f"state-{shift}")
+        state = scratch.save(state, f"state-{shift}", release=False)
     # The boundary's own rows come in too where that is nearer to the budget.
     edge = items.join(state, "source_key").filter(F.col("place") == F.col("low")).groupBy("source_key").agg(F.sum("size").alias("edge"))
     gap = F.col("budget") - F.col("taken")
@@ -117,10 +117,10 @@ def mix(
     named = named.withColumn("source_key", key)
     items = scratch.save(named.select("doc_id", "source", "size", "place", "source_key"), "sizes")
     sums = items.groupBy("source").agg(F.sum("size").alias("source_size"))
-    shares = scratch.save(targets(sums, weights, share, most).withColumn("source_key", key), "targets")
+    shares = scratch.save(targets(sums, weights, share, most).withColumn("source_key", key), "targets", release=False)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     shares = shares.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    limits = scratch.save(thresholds(items, shares, scratch), "thresholds")
+    limits = scratch.save(thresholds(items, shares, scratch), "thresholds", release=False)
     plan = shares.drop("source").join(limits, "source_key")
     taken = F.col("size") * (F.col("rounds") + F.when(F.col("place") < F.col("below"), 1).otherwise(0))
     rows = (named if keep else items).join(plan, "source_key")

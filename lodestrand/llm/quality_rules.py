@@ -23,7 +23,7 @@ from . import textstats as ts
 from .common import Words, slices
 
 #: Length-specific limits: bytes from, lowest and highest ratio.
-BANDS = ((0, 0.0, 9.0), (128, 0.30, 1.2), (512, 0.31, 0.95), (2048, 0.31, 0.85), (8192, 0.30, 0.75), (32768, 0.28, 0.70))
+BANDS = ((0, 0.0, 9.0), (128, 0.30, 1.2), (512, 0.31, 0.95), (2048, 0.31, 0.76), (8192, 0.30, 0.72), (32768, 0.28, 0.70))
 CHUNK = 4096
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
