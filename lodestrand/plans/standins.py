@@ -29,7 +29,7 @@ QUESTIONS = [
     "Did they mention Liskov last month?",
 ]
 PERSONS = ["Ada Lovelace", "Grace Hopper", "Alan Turing", "Edsger Dijkstra", "Barbara Liskov", "Speaker 1", "Host"]
-USER, TODAY = "Hongye", "2024-05-15"
+USER, TODAY = "Robin", "2024-05-15"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
