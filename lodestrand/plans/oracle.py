@@ -233,6 +233,27 @@ FROM (SELECT *, list_filter(action_tasks, lambda t: NOT contains(t, ' N ')) AS k
 {packed(1200)}
 SELECT key AS doc_id, chunk_no, chunk FROM packs""",
     "q12_markdown_sections": f"WITH {ENTRIES}, {SECTIONS}\nSELECT conv_id, section_no, section, body FROM sections",
+    "q13_meeting_level_chunks": rf"""WITH RECURSIVE {ENTRIES}, {SECTIONS},
+parts AS (SELECT {{'c': conv_id, 's': section_no, 't': section}} AS key, body AS text FROM sections), {ENTRY_SPLIT},
+long_lines AS (
+  SELECT key, entry_no, pos, all_lines[pos] AS line, starts_with(trim(all_lines[pos], E' \n\r\t'), '- ') AS b
+  FROM (SELECT key, entry_no, all_lines, unnest(generate_series(1, len(all_lines))) AS pos FROM (SELECT key, entry_no, string_split(entry, chr(10)) AS all_lines FROM keyed WHERE length(entry) > 1200))),
+grouped AS (SELECT *, (sum((b OR pos = 1)::INTEGER) OVER (PARTITION BY key, entry_no ORDER BY pos ROWS UNBOUNDED PRECEDING))::INTEGER AS i FROM long_lines),
+segs AS (SELECT {{'k': key, 'e': entry_no}} AS key, i, string_agg(line, chr(10) ORDER BY pos) AS seg, bool_or(b) AS bullet FROM grouped GROUP BY ALL),
+{packed(1200)},
+pieces AS (
+  SELECT key.k AS key, key.e AS entry_no, chunk_no, chunk FROM packs
+  UNION ALL SELECT key, entry_no, 0, entry FROM keyed WHERE length(entry) <= 1200 AND trim(entry, E' \n\r\t') <> ''),
+placed AS (
+  SELECT p.*, k.entry_id, k.reference, row_number() OVER (PARTITION BY p.key.c ORDER BY p.key.s, p.entry_no, p.chunk_no) - 1 AS n
+  FROM pieces p JOIN keyed k ON k.key = p.key AND k.entry_no = p.entry_no),
+paragraphs AS (
+  SELECT key, entry_no, string_agg(printf('#P%03d', v), ',' ORDER BY v) AS paragraphs
+  FROM (SELECT key, entry_no, unnest(generate_series(list_min(x), list_max(x))) AS v
+        FROM (SELECT key, entry_no, list_transform(regexp_extract_all(reference, '(\d+)', 1), lambda x: x::INTEGER) AS x FROM keyed WHERE reference IS NOT NULL)) GROUP BY key, entry_no)
+SELECT printf('data%03d', p.key.c) AS meeting_id, 'meeting' AS level, printf('data%03d', p.key.c) || '_meeting_' || n AS chunk_id,
+  chunk || chr(10) || chr(10) || 'Meeting: Talk' || chr(10) || 'Date: None' AS text, p.key.t AS section, entry_id, reference, coalesce(paragraphs, '') AS paragraph_indices
+FROM placed p LEFT JOIN paragraphs q ON q.key = p.key AND q.entry_no = p.entry_no""",
     "q15_tokenize_term_stats": f"""WITH tok AS (SELECT lang AS level, doc_id, unnest(regexp_extract_all(lower(text), '{TOK}')) AS term FROM documents)
 SELECT level, term, count(DISTINCT doc_id) AS df, count(*)::BIGINT AS cf FROM tok GROUP BY level, term""",
     "q16_bm25_topk": f"WITH {BASE},\n{bm25('a', 'chunks', 'qs', None, 10)}\nSELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM a_bm25",
