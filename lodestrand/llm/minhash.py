@@ -36,7 +36,7 @@ from .components import components
 
 #: Shingle length, places on the circle (a power of 2), bands and coordinates in a band.
 K, CIRCLE, BANDS, ROWS = 5, 1 << 22, 64, 6
-#: Members of a bucket that one block compares with the others.
+#: Members of a bucket that one group compares with the others.
 BLOCK = 2048
 
 
@@ -140,31 +140,64 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def compare(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members with different labels whose signatures agree often enough.
+    """For each group (bucket, block, chunk) the nodes that the exact test needs, a row each.
 
-    members: bucket, block, node, label, asks, n, bands, low. Members that ask are dealt to one block each, the
-    others to all blocks of their bucket; each pair is given once, in the first band that both share.
+    members: bucket, block, chunk, node, label, asks, outside, n, bands, low. Who asks is compared with those who
+    answer; its row lists as partners, best first, those with another label whose signature agrees often enough. A
+    pair counts in the first band that both share, and two who ask are compared once.
     """
     least = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n"))
-        bands = np.stack(group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
+        asks, outside = (group.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "outside"))
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        wanted: dict[int, list[int]] = {}
+        for i in np.flatnonzero(asks):
+            other = ~asks & (label != label[i]) & ~(outside & (node >= node[i])) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            part = np.flatnonzero(other)
+            alike = np.concatenate([(low[x] == low[i]).mean(axis=1) for x in np.array_split(part, len(part) // BLOCK + 1)])
+            alike = (alike - 1 / 256) / (1 - 1 / 256)
+            part, alike = part[alike >= least], alike[alike >= least]
+            mine = bands[i][(bands[part] == bands[i]).argmax(axis=1)] == bucket
+            part = part[mine][np.argsort(-alike[mine], kind="stable")]
+            if len(part):
+                wanted[int(node[i])] = [int(at) for at in part]
+        answers = sorted({int(node[at]) for part in wanted.values() for at in part} - wanted.keys())
+        nodes = [*wanted, *answers]
+        partners = [[int(node[at]) for at in part] for part in wanted.values()] + [[]] * len(answers)
+        theirs = [[int(label[at]) for at in part] for part in wanted.values()] + [[]] * len(answers)
+        numbers = [pa.array([k.as_py()] * len(nodes), kind) for k, kind in zip(key, (pa.int64(), pa.int32(), pa.int32()))]
+        return pa.table([*numbers, pa.array(nodes, pa.int64()), pa.array(partners, pa.list_(pa.int64())), pa.array(theirs, pa.list_(pa.int64()))], names=["bucket", "block", "chunk", "node", "partners", "theirs"])
+
+    return members.groupBy("bucket", "block", "chunk").applyInArrow(run, "bucket long, block int, chunk int, node long, partners array<long>, theirs array<long>")
+
+
+def confirm_groups(asked: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """A link (u, v) for each node that asks and each label among its partners, the first that the full sets confirm.
+
+    Texts move once for each group that needs them, not once for each pair.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_pylist()
+        sets = dict(zip(nodes, shingle_sets(group.column("text").combine_chunks())))
         us, vs = [], []
-        for i in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
-            other = np.flatnonzero((label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            for part in np.array_split(other, max(1, len(other) // BLOCK)):
-                alike = (low[part] == low[i]).mean(axis=1)
-                part = part[(alike - 1 / 256) / (1 - 1 / 256) >= least]
-                shared = bands[part] == bands[i]
-                part = part[bands[i][shared.argmax(axis=1)] == bucket] if len(part) else part
-                us += np.maximum(node[part], node[i]).tolist()
-                vs += np.minimum(node[part], node[i]).tolist()
+        for node, partners, labels in zip(nodes, group.column("partners").to_pylist(), group.column("theirs").to_pylist()):
+            linked = set()
+            for other, label in zip(partners, labels):
+                if label not in linked:
+                    a, b = sets[node], sets[other]
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        linked.add(label)
+                        us.append(max(node, other))
+                        vs.append(min(node, other))
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return members.groupBy("bucket", "block").applyInArrow(run, "u long, v long").distinct()
+    return asked.join(texts, "node").groupBy("bucket", "block", "chunk").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -187,12 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, links = None, None
     for step in ("first", "second"):
         pairs = _leader_pairs(members, labels, percent)
-        found = scratch.save(confirm(pairs, texts, percent), f"{step}-links")
+        found = scratch.save(confirm(pairs, texts, percent), f"{step}-links", release=False)
         links = found if links is None else links.union(found)
-        labels = scratch.save(components(links, scratch, step), f"{step}-labels")
+        labels = scratch.save(components(links, scratch, step), f"{step}-labels", release=False)
     apart = _apart(members, labels, classes)
-    found = scratch.save(confirm(compare(apart, percent), texts, percent), "last-links")
-    labels = scratch.save(components(links.union(found), scratch, "last"), "last-labels")
+    found = scratch.save(confirm_groups(compare(apart, percent), texts, percent), "last-links")
+    labels = scratch.save(components(links.union(found), scratch, "last"), "last-labels", release=False)
 
     of_class = classes.select("node", "own", "min_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = of_class.groupBy("label").agg(F.min("min_id").alias("component_id"))
@@ -222,19 +255,25 @@ def _leader_pairs(members: DataFrame, labels: DataFrame | None, percent: int) ->
 
 
 def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several components, dealt to blocks.
+    """Members of buckets that still hold several components, dealt to groups of bounded size.
 
-    The members outside the bucket's largest component ask; they are dealt over as many blocks as they fill, and the
-    largest component's members go to each of these. Blocks of a bucket are paired, so those who ask in different
-    blocks meet too.
+    The members outside the bucket's largest component ask, and all members answer. Who asks is dealt to blocks, who
+    answers to chunks, and each block meets each chunk; a bucket of usual size is one group.
     """
     own = _labelled(members, labels)
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("size"))
     buckets = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("size").alias("m"), F.max(F.struct("size", "label")).alias("top")).filter("labels > 1")
-    buckets = buckets.select("bucket", F.col("top.label").alias("largest"), F.ceil((F.col("m") - F.col("top.size")) / BLOCK).cast("int").alias("blocks"))
-    dealt = own.join(buckets, "bucket").withColumn("asks", F.col("label") != F.col("largest"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Who asks is in its own block, and answers in the blocks before it; the largest component answers in all.
-    blocks = F.when(F.col("asks"), F.sequence(F.lit(0), mine)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.withColumn("mine", mine).withColumn("block", F.explode(blocks)).withColumn("asks", F.col("asks") & (F.col("block") == F.col("mine")))
-    return spread.join(classes.select("node", "bands", "low"), "node").select("bucket", "block", "node", "label", "asks", F.col("n").cast("long").alias("n"), "bands", "low")
+    pieces = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    buckets = buckets.select("bucket", F.col("top.label").alias("largest"), pieces(F.col("m") - F.col("top.size"), BLOCK).alias("blocks"), pieces(F.col("m"), 4 * BLOCK).alias("chunks"))
+    dealt = own.join(buckets, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
+
+    def place(n: str, seed: int):
+        return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    answer = dealt.withColumn("asks", F.lit(False)).withColumn("chunk", place("chunks", 1)).withColumn("block", every("blocks"))
+    ask = dealt.filter("outside").withColumn("asks", F.lit(True)).withColumn("block", place("blocks", 2)).withColumn("chunk", every("chunks"))
+    spread = answer.unionByName(ask).join(classes.select("node", "bands", "low"), "node")
+    return spread.select("bucket", "block", "chunk", "node", "label", "asks", "outside", F.col("n").cast("long").alias("n"), "bands", "low")
