@@ -21,6 +21,8 @@ from .common import Scratch
 
 #: Bits of the hash by which a histogram's bucket is split, and hash bits in all.
 STEP, BITS = 12, 60
+#: Keys over which a source's rows are dealt for a join.
+DEALS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +61,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: flo
     return free.withColumn("target", F.least(F.col("limit"), F.coalesce(level * F.col("weight"), F.col("limit")))).select("source", "source_size", "weight", "target")
 
 
+def _dealt(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """Join items with a few rows by source; a hot source's items are dealt to DEALS keys by their hash."""
+    keys = few.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return rows.withColumn("deal", F.pmod("place", F.lit(DEALS)).cast("int")).join(keys, ["source_key", "deal"]).drop("deal")
+
+
 def thresholds(items: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
     """For each source (column source_key) the hash below which documents are taken.
 
@@ -69,7 +77,7 @@ def thresholds(items: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
     for shift in range(BITS - STEP, -1, -STEP):
         bucket = F.shiftright("place", shift)
         # The first histogram is of the whole source, each later one only of the boundary bucket.
-        near = items if shift == BITS - STEP else items.join(state.select("source_key", F.shiftright("low", shift + STEP).alias("of")), "source_key").filter(F.shiftright("place", shift + STEP) == F.col("of"))
+        near = items if shift == BITS - STEP else _dealt(items, state.select("source_key", F.shiftright("low", shift + STEP).alias("of"))).filter(F.shiftright("place", shift + STEP) == F.col("of"))
         histogram = near.groupBy("source_key", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
         running = F.sum("size").over(Window.partitionBy("source_key").orderBy("bucket"))
         passed = histogram.withColumn("running", running).join(state, "source_key").filter(F.col("taken") + F.col("running") <= F.col("budget"))
@@ -89,7 +97,7 @@ def thresholds(items: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFr
         )
         state = scratch.save(state, f"state-{shift}", release=False)
     # The boundary's own rows come in too where that is nearer to the budget.
-    edge = items.join(state, "source_key").filter(F.col("place") == F.col("low")).groupBy("source_key").agg(F.sum("size").alias("edge"))
+    edge = _dealt(items, state).filter(F.col("place") == F.col("low")).groupBy("source_key").agg(F.sum("size").alias("edge"))
     gap = F.col("budget") - F.col("taken")
     nearer = F.coalesce(F.col("edge") - gap < gap, F.lit(False)).cast("long")
     return state.join(edge, "source_key", "left").select("source_key", (F.col("low") + nearer).alias("below"))
@@ -123,5 +131,5 @@ def mix(
     limits = scratch.save(thresholds(items, shares, scratch), "thresholds", release=False)
     plan = shares.drop("source").join(limits, "source_key")
     taken = F.col("size") * (F.col("rounds") + F.when(F.col("place") < F.col("below"), 1).otherwise(0))
-    rows = (named if keep else items).join(plan, "source_key")
+    rows = _dealt(named if keep else items, plan)
     return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *keep)
