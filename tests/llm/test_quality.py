@@ -42,6 +42,29 @@ def test_bands(spark):
     assert got[1]["ratio"] > 0.6 and got[2]["ratio"] < 0.1
 
 
+def drawn(rng, n, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+    """Words of random letters, n bytes."""
+    return " ".join("".join(rng.choice(list(letters), rng.integers(3, 10))) for _ in range(n // 3)).encode()[:n]
+
+
+@pytest.mark.parametrize("least, most", [(b[0], c[0] - 1) for b, c in zip(quality_rules.BANDS[1:], [*quality_rules.BANDS[2:], (60001,)])])
+def test_random_words_fail_in_every_band(least, most):
+    rng, judge = np.random.default_rng(least), quality_rules.Compression()
+    for n in (least, most):
+        for _ in range(5):
+            assert not judge.verdict(drawn(rng, n), 0.3)[0]
+
+
+def test_the_last_chunk_counts_by_its_bytes():
+    rng, judge = np.random.default_rng(1), quality_rules.Compression()
+    clean = prose(2, 4000, [prose(i, 1) + str(i * 7919 % 997) for i in range(300)]).encode()
+    assert judge.verdict(clean[:7000], 0.3)[0] and judge.verdict(clean[:7000], 0.3)[2:] == (2, 0)
+    # 3,000 random bytes of 7,096 are too many, 200 of 4,296 are not.
+    assert not judge.verdict(clean[:4096] + drawn(rng, 3000), 0.3)[0]
+    passed, _, chunks, bad = judge.verdict(clean[:4096] + drawn(rng, 200), 0.3)
+    assert (passed, chunks, bad) == (True, 2, 1)
+
+
 def test_no_rows(none, spark):
     assert quality_rules.compression_bands(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
