@@ -9,7 +9,8 @@ Wrappers are built over all pages: each task folds its pages into one wrapper fo
 are folded again by host, so a hot host costs a row for each task and no page is left out. Then every page is laid
 against its host's wrapper. Text that fell on a constant of the template, or in a part that is not article by its
 element or class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments), is left
-out; the rest of the main part is the text.
+out; the rest of the main part is the text. A class, id or role marks such a part by a whole word of it, never the page
+itself, its <main>, an outermost <article>, or a block that holds most of the page's text with no other main part.
 
 Null html counts as empty and gives an empty text; a null url is a host of its own. Pages are laid out one by one, so
 repeated rows and ties have no effect. An empty table gives an empty result.
@@ -48,34 +49,81 @@ NOT_ARTICLE_WORDS = set(
     "promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription "
     "tags teaser toolbar widget masthead alert".split()
 )
+#: Words that stand beside those in hyphenated ones ("related-posts") without changing what is marked.
+BESIDE_WORDS = set("area bar block box button buttons container group inner item items links list outer panel posts section site slot unit wrapper".split())
+#: Words of a class that mark a part as the article.
+ARTICLE_WORDS = re.compile(r"\b(article|content|entry|post|story)\b")
 #: Elements that a new block of the same family ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A template's constant is text that all pages of a host, and at least this many different ones, have in one place.
 LEAST_PAGES = 12
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
 class Node:
-    """A block of a page: its key is the element's name and class; content holds strings and nodes in order."""
+    """A block of a page: its key is the element's name and class; content holds strings and nodes in order.
+
+    It is marked if its class, id or role says that it is not the article, which alone need not exclude it.
+    """
 
     key: str
     name: str
     excluded: bool = False
+    marked: bool = False
     content: list = field(default_factory=list)
 
     def length(self) -> int:
         return 0 if self.excluded else sum(len(c) if isinstance(c, str) else c.length() for c in self.content)
 
 
+def _says_not_article(token: str) -> bool:
+    """A word, or a hyphenated one of which all parts say so or say nothing; parts as in has-sidebar do not count."""
+    parts = set(re.findall(r"[a-z]+", token))
+    return bool(parts & NOT_ARTICLE_WORDS) and parts <= NOT_ARTICLE_WORDS | BESIDE_WORDS
+
+
 def _opened(name: str, attributes: str) -> Node:
-    marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _MARK.finditer(attributes)} if attributes else {}
-    words = set(re.split(r"[^a-z]+", " ".join(marks.values()).lower())) if marks else set()
-    excluded = name in NOT_ARTICLE or bool(words & NOT_ARTICLE_WORDS) and name not in ("html", "body") or bool(attributes and _HIDDEN.search(attributes))
-    return Node(f"{name}.{marks.get('class', '')}", name, excluded)
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    marked = any(_says_not_article(token) for mark in ("class", "id", "role") if mark in found for token in found[mark].lower().split())
+    hidden = "hidden" in found and found["hidden"].lower() != "false" or found.get("aria-hidden", "").lower() == "true" or bool(_UNSHOWN.search(found.get("style", "")))
+    whole = name in ("html", "body")
+    return Node(f"{name}.{found.get('class', '')}", name, name in NOT_ARTICLE or hidden and not whole, marked and not whole and name != "main")
+
+
+def _judge(root: Node) -> None:
+    """Exclude marked blocks, save those that hold a <main>, or most of the page's text and every part that may be the article."""
+    sizes: dict[int, int] = {}
+    parts: dict[int, int] = {}
+    mains: set[int] = set()
+
+    def measure(node: Node) -> None:
+        own = [c for c in node.content if not isinstance(c, str)]
+        for c in own:
+            measure(c)
+        if node.excluded:
+            sizes[id(node)] = parts[id(node)] = 0
+            return
+        sizes[id(node)] = sum(len(c) if isinstance(c, str) else sizes[id(c)] for c in node.content)
+        may_be = node.name in ("article", "main") or not node.marked and node.name not in ("html", "body") and ARTICLE_WORDS.search(node.key.partition(".")[2])
+        parts[id(node)] = bool(may_be) + sum(parts[id(c)] for c in own)
+        if node.name == "main" or any(id(c) in mains for c in own):
+            mains.add(id(node))
+
+    def exclude(node: Node) -> None:
+        if node.marked and id(node) not in mains and not (2 * sizes[id(node)] > sizes[id(root)] and parts[id(node)] == parts[id(root)]):
+            node.excluded = True
+        for c in node.content:
+            if not isinstance(c, str):
+                exclude(c)
+
+    measure(root)
+    exclude(root)
 
 
 def parse(page: str) -> Node:
@@ -115,6 +163,9 @@ def parse(page: str) -> Node:
         node = _opened(name, m[3])
         if name == "header" and not any(n.name == "article" for n in open_):
             node.excluded = True
+        # An article in an article may be a comment; others are never excluded by their marks.
+        if name == "article" and not any(n.name == "article" for n in open_):
+            node.marked = False
         open_[-1].content.append(node)
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -122,6 +173,7 @@ def parse(page: str) -> Node:
         elif name not in VOID:
             open_.append(node)
     flush()
+    _judge(root)
     return root
 
 
@@ -221,7 +273,7 @@ def main_part(root: Node) -> Node:
             continue
         if node.name in found:
             found[node.name].append(node)
-        elif re.search(r"\b(article|content|entry|post|story)\b", node.key.partition(".")[2]):
+        elif ARTICLE_WORDS.search(node.key.partition(".")[2]):
             found["marked"].append(node)
         stack += [c for c in node.content if not isinstance(c, str)]
     for nodes in found.values():

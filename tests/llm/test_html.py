@@ -21,6 +21,24 @@ def test_broken_pages(page, text):
     assert html.main_text(page, None) == text
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "post category-social", "post comments-open", "post-body no-sidebar", "overflow-hidden", "teaser", "search"])
+@pytest.mark.parametrize("name", ["body", "main", "article", "div"])
+def test_class_words_do_not_lose_the_article(name, mark):
+    page = f'<nav>Menu</nav><{name} class="{mark}" data-id="ad" data-hidden="1"><p>A whole article.<p>To its end.</{name}><div class="ad">Buy</div>'
+    assert html.main_text(page, None).startswith("A whole article.\nTo its end.") and "Buy" not in html.main_text(page, None)
+
+
+@pytest.mark.parametrize("attributes", ['class="ad"', 'class="box related-posts"', 'id="ad-2"', 'class="cookie-notice"', 'role="search"', "hidden", 'aria-hidden="true"', 'style="display: none"'])
+def test_marked_and_hidden_blocks_go(attributes):
+    assert html.main_text(f"<article><p>A<div {attributes}>x</div><p>B</article>", None) == "A\nB"
+    assert html.main_text(f'<div class="ad"><main><p>A<div {attributes}>x x x x x</div></main></div>', None) == "A"
+
+
+def test_a_comment_longer_than_the_article_goes():
+    assert html.main_text('<div class="post">A</div><div class="comments"><p>long long long</div>', None) == "A"
+    assert html.main_text('<article>A<article class="comment">long long long</article></article>', None) == "A"
+
+
 def test_constants_of_a_template_go_where_there_are_enough_pages(spark):
     rows = [(i, "http://a.example/x", PAGE.format(n=i)) for i in range(20)] + [(100 + i, f"http://b.example:80/{i}", PAGE.format(n=7)) for i in range(20)]
     rows += [(200, None, None), (201, None, ""), (202, "c.example", PAGE.format(n=1)), (0, "http://a.example/x", PAGE.format(n=0)), (None, "//A.EXAMPLE/y", PAGE.format(n=5))]
