@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -55,7 +56,8 @@ BESIDE_WORDS = set("area bar block box button buttons container group inner item
 ARTICLE_WORDS = re.compile(r"\b(article|content|entry|post|story)\b")
 #: Elements that a new block of the same family ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: A template's constant is text that all pages of a host, and at least this many different ones, have in one place.
+#: A template's constant is text that all different pages of a host have in one place. With this many pages any text
+#: is; with fewer, from two on, the words of neighbouring constants times the pages must reach this number.
 LEAST_PAGES = 12
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
@@ -282,8 +284,8 @@ def main_part(root: Node) -> Node:
     return root
 
 
-def blocks(node: Node, wrapper: list | None, inside: Node, kept: bool = False) -> list[str]:
-    """Texts of the main part in page order, without excluded parts and the template's constants."""
+def blocks(node: Node, wrapper: list | None, inside: Node, kept: bool = False) -> list[tuple[str, bool]]:
+    """Texts of the main part in page order without excluded parts, and whether all pages have them in this place."""
     kept = kept or node is inside
     if node.excluded:
         return []
@@ -304,17 +306,35 @@ def blocks(node: Node, wrapper: list | None, inside: Node, kept: bool = False) -
     for i, c in enumerate(node.content):
         laid = places.get(i)
         if isinstance(c, str):
-            constant = laid is not None and laid[0] == c and not laid[2]
-            if kept and not constant:
-                out.append(c)
+            if kept:
+                out.append((c, laid is not None and laid[0] == c and not laid[2]))
         else:
             out += blocks(c, laid if laid and not laid[2] else None, inside, kept)
     return out
 
 
-def main_text(page: str, wrapper: list | None) -> str:
+def without_constants(found: list[tuple[str, bool]], pages: int) -> list[str]:
+    """Texts less the template's constants, for which few pages need more words.
+
+    Where pages are few, constants that hold most of a page's text make its pages near copies of one article rather
+    than pages of one template, and all of the text stays.
+    """
+    if pages >= LEAST_PAGES:
+        return [text for text, constant in found if not constant]
+    kept, gone = [], 0
+    for constant, run in groupby(found, key=lambda x: x[1]):
+        texts = [text for text, _ in run]
+        if constant and pages * sum(len(t.split()) for t in texts) >= LEAST_PAGES:
+            gone += sum(map(len, texts))
+        else:
+            kept += texts
+    return kept if 2 * gone <= sum(len(text) for text, _ in found) else [text for text, _ in found]
+
+
+def main_text(page: str, wrapper: list | None, pages: int = LEAST_PAGES) -> str:
+    """The text of a page, given its host's wrapper and the number of different pages that made it."""
     root = parse(page)
-    return "\n".join(blocks(root, wrapper, main_part(root)))
+    return "\n".join(without_constants(blocks(root, wrapper, main_part(root)), pages))
 
 
 def _host(url: str):
@@ -325,7 +345,7 @@ def infer(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: st
     """host and wrapper (JSON) of every host, from all of its pages. Pages with one and the same html count once a task."""
 
     def join(a: list, b: list) -> list:
-        """The least page hashes, which tell whether there are enough different pages, and the aligned wrapper."""
+        """The least page hashes, which tell how many different pages there are up to LEAST_PAGES, and the aligned wrapper."""
         return [sorted({*a[0], *b[0]})[:LEAST_PAGES], align(a[1], b[1])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +388,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = "page_id long, url string, text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list] = {}
+        parsed: dict[str, tuple[list | None, int]] = {}
         for batch in slices(batches, "html"):
             texts = []
             for host, page, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
@@ -376,8 +396,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(parsed) > 500:
                         parsed.clear()
                     hashes, made = json.loads(wrapper) if wrapper else ([], None)
-                    parsed[host] = made if len(hashes) >= LEAST_PAGES else None
-                texts.append(main_text(page or "", parsed[host]))
+                    parsed[host] = made if len(hashes) > 1 else None, len(hashes)
+                texts.append(main_text(page or "", *parsed[host]))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), _host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))

@@ -54,6 +54,22 @@ def test_constants_of_a_template_go_where_there_are_enough_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+FEW = """<div class="top"><p>We use cookies on all of our pages</div><div class="text"><h1>Summary</h1><p>Text {n} is about {n} and of no other thing
+at all, from here to the end of it, as the pages of a site are.</div><div class="end"><h3>Home</h3><p>News</p><h4>Contact us</h4></div>"""
+
+
+@pytest.mark.parametrize("pages", [2, 3, 11])
+def test_few_pages_have_a_wrapper_too(spark, pages):
+    rows = [(i, "http://a/", FEW.format(n=f"x{i}")) for i in range(pages)]
+    # Two versions of one article are no template, and one page has none.
+    long = "<p>" + "the same words of one article " * 5
+    rows += [(100, "http://b/", f"<p>Seen 1 times{long}"), (101, "http://b/", f"<p>Seen 2 times{long}"), (102, "http://c/", FEW.format(n=1))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(pages):
+        assert f"Text x{i} is about" in got[i] and "cookies" not in got[i] and ("News" in got[i]) == (pages == 2)
+    assert got[100].count("the same words") == 5 and "cookies" in got[102]
+
+
 def test_no_rows(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
