@@ -21,7 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -265,28 +265,33 @@ def expression(wrapper: list) -> str:
     return f"({inner})" + ("*" if wrapper[2] and wrapper[3] else "+" if wrapper[3] else "?") if wrapper[2] or wrapper[3] else inner
 
 
-def main_part(root: Node) -> Node:
-    """The article: the longest <article>, else <main>, else what is marked as content, else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": [], "marked": []}
-    stack = [root]
-    while stack:
-        node = stack.pop()
+def main_parts(root: Node) -> list[Node]:
+    """The article: <article>s if they hold most of what would be taken else, which is <main>, else what is marked as
+    content if it holds most of the page, else the whole page. All outermost nodes are taken, in page order.
+    """
+
+    def outermost(node: Node, is_one: Callable[[Node], bool]) -> list[Node]:
         if node.excluded:
-            continue
-        if node.name in found:
-            found[node.name].append(node)
-        elif ARTICLE_WORDS.search(node.key.partition(".")[2]):
-            found["marked"].append(node)
-        stack += [c for c in node.content if not isinstance(c, str)]
-    for nodes in found.values():
-        if nodes:
-            return max(nodes, key=Node.length)
-    return root
+            return []
+        return [node] if is_one(node) else [n for c in node.content if not isinstance(c, str) for n in outermost(c, is_one)]
+
+    def size(nodes: list[Node]) -> int:
+        return sum(map(Node.length, nodes))
+
+    taken = [root]
+    content = outermost(root, lambda n: bool(ARTICLE_WORDS.search(n.key.partition(".")[2])))
+    mains = outermost(root, lambda n: n.name == "main")
+    articles = outermost(root, lambda n: n.name == "article")
+    if size(mains):
+        taken = mains
+    elif 2 * size(content) > size(taken):
+        taken = content
+    return articles if 2 * size(articles) > size(taken) else taken
 
 
-def blocks(node: Node, wrapper: list | None, inside: Node, kept: bool = False) -> list[tuple[str, bool]]:
+def blocks(node: Node, wrapper: list | None, inside: set[int], kept: bool = False) -> list[tuple[str, bool]]:
     """Texts of the main part in page order without excluded parts, and whether all pages have them in this place."""
-    kept = kept or node is inside
+    kept = kept or id(node) in inside
     if node.excluded:
         return []
     places: dict[int, list] = {}
@@ -334,7 +339,7 @@ def without_constants(found: list[tuple[str, bool]], pages: int) -> list[str]:
 def main_text(page: str, wrapper: list | None, pages: int = LEAST_PAGES) -> str:
     """The text of a page, given its host's wrapper and the number of different pages that made it."""
     root = parse(page)
-    return "\n".join(without_constants(blocks(root, wrapper, main_part(root)), pages))
+    return "\n".join(without_constants(blocks(root, wrapper, set(map(id, main_parts(root)))), pages))
 
 
 def _host(url: str):

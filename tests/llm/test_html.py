@@ -39,6 +39,20 @@ def test_a_comment_longer_than_the_article_goes():
     assert html.main_text('<article>A<article class="comment">long long long</article></article>', None) == "A"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>menu<article><p>One, a long part</article><p>between<article><p>two</article>", "One, a long part\ntwo"),
+        ('<p>menu<div class="entry">One, a long part<div class="entry">inner</div></div><div class="entry">two</div>', "One, a long part\ninner\ntwo"),
+        ("<p>menu<main><p>The body of the page, which is long<article>card</article><p>end</main>", "The body of the page, which is long\ncard\nend"),
+        ("<p>The body of the page, which is long<article>card</article>", "The body of the page, which is long\ncard"),
+        ("<p>menu and more of it<main><p>A<article>The article of the page</article></main>", "The article of the page"),
+    ],
+)
+def test_all_parts_of_an_article_stay(page, text):
+    assert html.main_text(page, None) == text
+
+
 def test_constants_of_a_template_go_where_there_are_enough_pages(spark):
     rows = [(i, "http://a.example/x", PAGE.format(n=i)) for i in range(20)] + [(100 + i, f"http://b.example:80/{i}", PAGE.format(n=7)) for i in range(20)]
     rows += [(200, None, None), (201, None, ""), (202, "c.example", PAGE.format(n=1)), (0, "http://a.example/x", PAGE.format(n=0)), (None, "//A.EXAMPLE/y", PAGE.format(n=5))]
