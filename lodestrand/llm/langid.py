@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 LONGEST = 5
 UNKNOWN = "und"
@@ -66,9 +66,16 @@ class Model:
                     table[gram] += n
         index, rows, total = [{}, {}], [], 0
         for k, table in enumerate(tables):
-            sums = sum(table, Counter())
+            sums = Counter()
+            for own in table:
+                sums.update(own)
             kept = sorted(x for x, n in sums.items() if n >= least)
-            matrix = np.array([[own[x] for x in kept] for own in table]).T.reshape(len(kept), len(languages)) + 0.5
+            place = {x: i for i, x in enumerate(kept)}
+            matrix = np.full((len(kept), len(languages)), 0.5)
+            for j, own in enumerate(table):
+                found = [(place[x], n) for x, n in own.items() if x in place]
+                if found:
+                    matrix[[i for i, _ in found], j] += [n for _, n in found]
             rows.append(np.log(matrix / (matrix.sum(axis=0) + 1e-9)) if kept else matrix)
             index[k > 0] |= {x: total + i for i, x in enumerate(kept)}
             total += len(kept)
@@ -114,21 +121,39 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, fold: int = 1, sample_chars: int = 1_500_000) -> Model:
     """Fit on labelled rows outside one fold of ids; the sample has about sample_chars characters a language.
 
-    Rows enter by a hash of the id below a share that follows from each language's length, so the sample depends on
-    the rows and not on their order; counting lengths reads all labelled rows.
+    Rows enter by a hash of the id and text below a share that follows from each language's length, so the sample
+    depends on the rows and not on their order; counting lengths reads all labelled rows. Every language is learned.
     """
     rows = docs.select(F.col(id_col).alias("key"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("key"), folds) != fold))
-    lengths = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n")).limit(200).collect()}
-    if not lengths:
-        return Model([], {}, {}, np.zeros((0, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in lengths.items() for x in (lang, min(1.0, sample_chars / max(n, 1)))])
-    place = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    words = rows.filter(place < share[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
+    drawn = sample(rows, sample_chars)
+    words = drawn.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
     return Model.fit(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")))))
 
 
+def sample(rows: DataFrame, sample_chars: int) -> DataFrame:
+    """lang and text of about sample_chars characters a language, from rows with key, text and lang.
+
+    Texts are drawn in stretches of a fifteenth of that at most, so that a few very long ones neither fill the sample
+    nor miss it; a word belongs to the stretch that it begins in. The stretch first by hash is always drawn.
+    """
+    size = max(1000, sample_chars // 15)
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / size), F.lit(0)).cast("int"))))
+    start = F.col("part") * size
+    piece = F.substring("text", start + 1, F.lit(size))
+    rest = F.regexp_extract(F.substring("text", start + size, F.lit(1000)), r"^\p{L}(\p{L}+)", 1)
+    begun = F.substring("text", start, F.lit(1)).rlike(r"^\p{L}")
+    whole = F.length("text") <= size
+    cut = F.concat(F.when(begun & (F.col("part") > 0), F.regexp_replace(piece, r"^\p{L}+", "")).otherwise(piece), rest)
+    place = F.when(F.col("part") == 0, F.xxhash64("key", "text")).otherwise(F.xxhash64("key", "text", "part"))
+    parts = parts.select("lang", F.when(whole, F.col("text")).otherwise(cut).alias("text"), F.when(whole, F.length("text")).otherwise(F.length(piece)).alias("length"), (F.pmod(place, F.lit(1 << 30)) / float(1 << 30)).alias("place"))
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.col("place")))
+    shares = parts.groupBy("lang").agg(F.least(F.lit(1.0), sample_chars / F.greatest(F.sum("length"), F.lit(1))).alias("share"), first.alias("first"))
+    shares = Scratch(rows.sparkSession, "langid").save(shares, "shares", release=False)
+    return parts.join(shares, "lang").filter((F.col("place") < F.col("share")) | (F.col("place") == F.col("first"))).select("lang", "text")
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score of every row; keep names columns to carry along (their names must not clash)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,6 +21,33 @@ def test_labels_of_the_fold_are_not_read(spark):
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["en"]
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i * 10 + j, f"{chr(97 + i // 26)}{chr(97 + i % 26)}wort " * 30, f"l{i:03}") for i in range(230) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(docs, fold=-1).languages == [f"l{i:03}" for i in range(230)]
+
+
+def test_languages_of_a_few_long_documents(spark):
+    from conftest import prose
+
+    rows = [(i, prose(i, 12000), f"l{i // 4}") for i in range(80)] + [(900, "", "l0"), (901, "12 34", "digits")]
+    docs = spark.createDataFrame(rows, "key long, text string, lang string")
+    known = set(" ".join(t for _, t, _ in rows).split())
+    for chars, most in ((30_000, 2), (10**9, 1)):
+        drawn = {}
+        for r in langid.sample(docs, chars).collect():
+            drawn.setdefault(r["lang"], []).append(r["text"])
+            assert set(r["text"].split()) - {"12", "34"} <= known
+        assert set(drawn) >= {f"l{i}" for i in range(20)}
+        assert all(0 < sum(map(len, t)) <= most * chars for t in drawn.values() if any(t) and t != ["12 34"])
+    # Stretches of a text that is taken whole hold each of its words once.
+    one = docs.filter("key = 5")
+    n = len(rows[5][1])
+    parts = langid.sample(one, n).collect()
+    assert len(parts) > 1 and sorted(" ".join(r["text"] for r in parts).split()) == sorted(rows[5][1].split())
+    assert len(langid.fit(docs.withColumnRenamed("key", "doc_id"), sample_chars=3000, fold=-1).languages) >= 20
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     model = langid.Model.fit([("en", "thing", 50), ("de", "gehen", 50), ("en", "water", 9), ("de", "wasser", 9)])
     langs, scores = model.predict(pa.array(["things", "begehen", "wassers", "12 ?!", "", None]))
