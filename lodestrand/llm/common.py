@@ -100,12 +100,6 @@ class Words:
             codes = codes[full]
         self.codes, self.starts = codes, starts
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of the word at each position."""
-        digest = xxhash.xxh3_64_intdigest
-        own = np.fromiter((digest(w, seed) for w in self.names.to_pylist()), np.uint64, len(self.names))
-        return own[self.codes] if len(own) else np.zeros(0, np.uint64)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all others."""
@@ -116,21 +110,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: The white space that separates words.
+WORD_SPACE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts (none null) and where each begins, one more than there are texts."""
+    texts = pc.cast(texts, pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def bytes_in(data: np.ndarray, chars: str | list[int]) -> np.ndarray:
+    """Where the byte is one of some ASCII characters."""
+    known = np.zeros(256, bool)
+    known[[c if isinstance(c, int) else ord(c) for c in chars]] = True
+    return known[data]
+
+
+class Spans:
+    """The words `[^\\x20\\x09-\\x0D]+` of a slice of texts, as spans of bytes.
+
+    data: the bytes of all texts; begin and end: of each word; starts: the first word of each text, one more than
+    there are texts. Words are hashed without being made: a word's hash is a polynomial over its bytes.
+    """
+
+    #: Bytes hashed at once.
+    STEP = 2 << 20
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.at = raw(pc.fill_null(texts, ""))
+        full = ~bytes_in(self.data, WORD_SPACE)
+        first, last = full.copy(), full.copy()
+        first[1:] &= ~full[:-1]
+        last[:-1] &= ~full[1:]
+        # Words end where texts do.
+        inner = self.at[(self.at > 0) & (self.at < len(full))]
+        first[inner] = full[inner]
+        last[inner - 1] = full[inner - 1]
+        self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.starts = np.searchsorted(self.begin, self.at)
+
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each word; with lower, of the word with A-Z in lower case."""
+        values = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+        if lower:
+            values[0x41:0x5B] = values[0x61:0x7B]
+        out = np.empty(len(self.begin), np.uint64)
+        cuts = np.unique(np.searchsorted(self.begin, [*range(0, len(self.data), self.STEP), len(self.data)]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            base = self.begin[a]
+            rolling = Rolling(values[self.data[base : self.end[b - 1]]])
+            out[a:b] = rolling.spans(self.begin[a:b] - base, self.end[a:b] - self.begin[a:b])
+        return out
+
+
+def powers(base: int, n: int, known: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006 - kept between calls
+    """base**0 to base**n modulo 2**64."""
+    if len(known.get(base, ())) <= n:
+        own = np.full(max(n + 1, 1 << 16), base, np.uint64)
+        own[0] = 1
+        if len(own) > Spans.STEP + (1 << 16):  # a very long item: not kept
+            return np.multiply.accumulate(own)
+        known[base] = np.multiply.accumulate(own)
+    return known[base][: n + 1]
+
+
 class Rolling:
     """Hashes of all runs of k consecutive items, for any k, from one prefix sum modulo 2**64."""
 
     BASE = 0xD1342543DE82EF95
+    BACK = pow(BASE, -1, 1 << 64)
 
     def __init__(self, items: np.ndarray):
         n = len(items)
-        powers = np.full(n + 1, self.BASE, np.uint64)
-        powers[0] = 1
-        self.unshift = np.full(n + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
-        self.unshift[0] = 1
-        np.multiply.accumulate(powers, out=powers)
-        np.multiply.accumulate(self.unshift, out=self.unshift)
+        self.unshift = powers(self.BACK, n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(items * powers[:n], out=self.sums[1:])
+        np.cumsum(items * powers(self.BASE, n)[:n], out=self.sums[1:])
 
     def runs(self, k: int) -> np.ndarray:
         """The hash of items[i:i + k] for each i."""

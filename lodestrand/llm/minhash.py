@@ -26,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, Words, mix, slices
+from .common import Rolling, Scratch, Spans, mix, slices
 from .components import components
 
 #: Shingle length, places on the circle (a power of 2), bands and coordinates in a band.
@@ -76,8 +75,8 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, k: int = K) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    words = Words(pc.ascii_lower(pc.fill_null(texts, "")))
-    rolling = Rolling(words.hashes())
+    words = Spans(texts)
+    rolling = Rolling(words.hashes(lower=True))
     runs = rolling.runs(k)
     out = []
     for a, b in zip(words.starts[:-1], words.starts[1:]):

@@ -6,20 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import Words
-
-#: The white space that separates words.
-WORD_SPACE = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
-
-
-def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts (none null) and where each begins, one more than there are texts."""
-    texts = pc.cast(texts, pa.large_string())
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if data is None:
-        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+from .common import WORD_SPACE, Words, bytes_in, raw  # noqa: F401 - the latter are used as this module's
 
 
 def per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -27,13 +14,6 @@ def per_text(flags: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[starts])
 
 
-def bytes_in(data: np.ndarray, chars: str | list[int]) -> np.ndarray:
-    """Where the byte is one of some ASCII characters."""
-    known = np.zeros(256, bool)
-    known[[c if isinstance(c, int) else ord(c) for c in chars]] = True
-    return known[data]
-
-
 def code_points(data: np.ndarray) -> np.ndarray:
     """Where a code point begins."""
     return (data & 0xC0) != 0x80
