@@ -16,7 +16,13 @@ lets pairs through from 4.5 standard errors below the threshold.
 
 Null and empty texts have an empty set and are linked with nothing; fewer words than a shingle are one shingle.
 Repeated rows are equal sets. A row with a null id takes part; its component has the smallest id that is not null,
-and if there is none the id stays null (kept is then true for these rows). An empty table gives an empty result.
+and if there is none the id stays null (kept is then true for these rows). An empty table gives an empty result. Other
+columns of the documents are not read.
+
+What grows faster than the input: members of a bucket that are in different components after two rounds are compared
+among themselves, as any two of them may be linked. Texts with a likeness of 0.5 to 0.7 to very many others (one
+template) make such buckets; their signatures meet in blocks, the square of their number, and their texts only where
+signatures agree.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, Spans, mix, slices
@@ -35,8 +41,8 @@ from .components import components
 
 #: Shingle length, places on the circle (a power of 2), bands and coordinates in a band.
 K, CIRCLE, BANDS, ROWS = 5, 1 << 22, 64, 6
-#: Members of a bucket that one group compares with the others.
-BLOCK = 2048
+#: Members of a bucket that one group compares with the others, and shingles of their texts; four times that answer.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 @functools.cache
@@ -200,18 +206,29 @@ def confirm_groups(asked: DataFrame, texts: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of the component) and kept for every document."""
+    """doc_id, n_shingles, component_id (smallest id of the component) and kept for every row of docs.
+
+    Besides text_hash and stays: true for the rows with the least (doc_id, text_hash) of their component, null ids
+    last, and for those with empty sets. Tables of a step go when the last step that reads them has ended.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(sign(docs, id_col, text_col), "signed")
+    rows = scratch.save(signed.select("doc_id", "text_hash", "n_shingles", "own"), "rows", release=False)
     # A class has an id of its own; it is written once and then read, so the ids stay.
-    classes = signed.filter("n_shingles > 0").groupBy("own").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    classes = signed.filter("n_shingles > 0").groupBy("own").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
-    rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    members = scratch.save(rows.join(shared, "bucket"), "members")
-
-    firsts = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    scratch.drop("signed")
+    names = scratch.save(classes.select("node", "own", "first"), "names", release=False)
+    bucketed = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    several = bucketed.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).filter("m > 1").drop("m")
+    members = scratch.save(several, "members")
+    # Only classes that share a bucket go on with their signatures and texts.
+    met = scratch.save(classes.join(members.select("node").distinct(), "node", "left_semi").drop("own"), "met")
+    scratch.drop("classes")
+
+    firsts = met.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     match = source["doc_id"].eqNullSafe(firsts["doc_id"]) & (source["text_hash"] == firsts["text_hash"])
     texts = scratch.save(source.join(firsts, match).select("node", "text").dropDuplicates(["node"]), "texts")
@@ -222,16 +239,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = scratch.save(confirm(pairs, texts, percent), f"{step}-links", release=False)
         links = found if links is None else links.union(found)
         labels = scratch.save(components(links, scratch, step), f"{step}-labels", release=False)
-    apart = _apart(members, labels, classes)
+    apart = _apart(members, labels, met)
     found = scratch.save(confirm_groups(compare(apart, percent), texts, percent), "last-links")
-    labels = scratch.save(components(links.union(found), scratch, "last"), "last-labels", release=False)
+    labels = scratch.save(components(links.union(found), scratch, "last"), "last-labels")
+    scratch.drop("members", "met", "texts", "first-links", "second-links", "last-links", "first-labels", "second-labels")
 
-    of_class = classes.select("node", "own", "min_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = of_class.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    by_class = of_class.join(smallest, "label").select("own", "component_id")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    named = signed.select("doc_id", "n_shingles", "own").join(by_class, "own", "left").withColumn("component_id", component)
-    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    of_class = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = of_class.groupBy("label").agg(F.min("first").alias("least"))
+    by_class = of_class.join(smallest, "label").select("own", "least")
+    named = rows.join(by_class, "own", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash"))
+    named = named.withColumn("component_id", component).withColumn("stays", (F.col("n_shingles") == 0) | first)
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "stays")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -260,10 +280,14 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     answers to chunks, and each block meets each chunk; a bucket of usual size is one group.
     """
     own = _labelled(members, labels)
-    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("size"))
-    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("size").alias("m"), F.max(F.struct("size", "label")).alias("top")).filter("labels > 1")
-    pieces = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
-    buckets = buckets.select("bucket", F.col("top.label").alias("largest"), pieces(F.col("m") - F.col("top.size"), BLOCK).alias("blocks"), pieces(F.col("m"), 4 * BLOCK).alias("chunks"))
+    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("labels"), F.sum("size").alias("m"), F.sum("n").alias("n"), F.max(F.struct("size", "label", "n")).alias("top")).filter("labels > 1")
+
+    def pieces(rows, shingles, times: int):
+        return F.ceil(F.greatest(rows / F.lit(times * BLOCK), shingles / F.lit(times * BLOCK_SHINGLES))).cast("int")
+
+    blocks = pieces(F.col("m") - F.col("top.size"), F.col("n") - F.col("top.n"), 1)
+    buckets = buckets.select("bucket", F.col("top.label").alias("largest"), blocks.alias("blocks"), pieces(F.col("m"), F.col("n"), 4).alias("chunks"))
     dealt = own.join(buckets, "bucket").withColumn("outside", F.col("label") != F.col("largest"))
 
     def place(n: str, seed: int):

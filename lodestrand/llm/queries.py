@@ -33,7 +33,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=75).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

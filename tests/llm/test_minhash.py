@@ -87,3 +87,29 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 50), (100, 60), (61, 60), (7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "test"), "c").collect()}
     assert found == {i: 0 for i in range(31)} | {50: 50, 60: 50, 61: 50, 100: 50}
+
+
+def test_one_row_of_a_component_stays(spark):
+    """By id and text: other texts under the same id are documents of their own, and null ids come last."""
+    a, b = prose(21, 80), prose(22, 80)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (None, b), (None, prose(23, 80)), (None, prose(23, 80)), (3, ""), (4, None)], "doc_id long, text string")
+    found = minhash.near_duplicates(docs).join(docs.selectExpr("text", "xxhash64(text) as text_hash").distinct(), "text_hash", "left")
+    stay = Counter((r["doc_id"], r["text"]) for r in found.filter("stays").collect())
+    assert stay == Counter([(1, a), (1, b), (None, prose(23, 80)), (None, prose(23, 80)), (3, ""), (4, None)])
+
+
+def test_texts_above_a_group_s_bound(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 200)
+    test_a_large_group_of_near_copies(spark)
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs with a likeness of 0.75 to 0.80 only: none may be lost."""
+    own, rows = random.Random(31), []
+    for i in range(300):
+        words = [f"u{i}x{j}" for j in range(200)]
+        other = list(words)
+        for at in own.sample(range(5, 195), 6):
+            other[at] = f"v{i}y{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))

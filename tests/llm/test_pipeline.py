@@ -30,3 +30,13 @@ def test_stages_take_effect_on_odd_rows(spark, odd):
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_no_rows(spark, none, k):
     assert corpus_pipeline.STAGES[k][1](spark, none, "").count() == 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    from conftest import prose
+
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    rows = [(1, a), (1, b), (2, b), (None, b), (None, c), (None, c), (3, ""), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (3, ""), (4, "")], key=str)
