@@ -31,16 +31,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Documents without words all stay.
+    """One document of each group of near copies: the one with the smallest id, null ids last, then by text hash.
 
-    Decisions are joined back by id. Repeated rows (one id and one text) become one row; where one id stands on rows
-    with different texts, it goes if any of them goes. Rows with a null id cannot be named and stay.
+    Decisions are taken by id and text hash, so one id on different texts is several documents. Repeated rows (one id
+    and one text) become one row. Documents without words all stay. Only the keys of the rows that go are joined.
     """
     tune(spark)
-    decided = minhash.near_duplicates(docs, percent=75).groupBy("doc_id").agg(F.bool_and("kept").alias("stays"), F.count("*").alias("times"))
-    joined = docs.select(*COLUMNS).join(decided, "doc_id", "left").filter(F.col("stays") | F.col("doc_id").isNull())
-    once = joined.filter((F.col("times") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)
-    return once.unionByName(joined.filter("times > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
+    decided = minhash.near_duplicates(docs, percent=75).groupBy("doc_id", "text_hash").agg(F.first("stays").alias("stays"), F.count("*").alias("times"))
+    decided = Scratch(spark, "near-dedup").save(decided.filter("not stays or times > 1"), "decided")
+    own = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+
+    def match(keys: DataFrame):
+        return own["doc_id"].eqNullSafe(keys["doc_id"]) & (own["text_hash"] == keys["text_hash"])
+
+    again = decided.filter("stays")
+    once = own.join(decided, match(decided), "left_anti")
+    return once.unionByName(own.join(again, match(again), "left_semi").dropDuplicates(["doc_id", "text_hash"])).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
