@@ -38,7 +38,8 @@ def byte_level(path: str):
     """The merges and vocabulary of a tokenizers file as an encoder of tiktoken, and its special tokens' strings.
 
     Both engines give the same ids where ids follow the order of merges, which is checked here; tiktoken's takes a
-    fifth of the time for words that it has not met. Special tokens' strings in a text are ordinary text.
+    fifth of the time for words that it has not met. A special token's string in a text has the token's id, as the
+    tokenizers library gives it.
     """
     import json
     from pathlib import Path
@@ -46,7 +47,9 @@ def byte_level(path: str):
     import tiktoken
 
     made = json.loads(Path(path).read_text(encoding="utf-8"))
-    special = [t["content"] for t in made["added_tokens"]]
+    special = {t["content"]: t["id"] for t in made["added_tokens"]}
+    if any(t[flag] for t in made["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path} has added tokens that are not plain strings")
     vocabulary = {t: i for t, i in made["model"]["vocab"].items() if t not in special}
     merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in made["model"]["merges"]]
     if made["pre_tokenizer"]["type"] != "ByteLevel" or made.get("normalizer") or merged != sorted(merged):
@@ -56,7 +59,7 @@ def byte_level(path: str):
     others = [b for b in range(256) if b not in printable]
     of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
     ranks = {bytes(of[c] for c in t): i for t, i in vocabulary.items()}
-    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
+    return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), list(special)
 
 
 def joined(names: pa.Array) -> list[str]:
@@ -84,7 +87,7 @@ class ChunkTokenizer:
         self.ids, self.ends = space, np.array([0, len(space)], np.int64)
 
     def encode(self, text: str) -> np.ndarray:
-        return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        return self.bpe.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
 
     def spaced(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of " name" after " name", and where each begins: one call, cut at tokens that begin with a space."""
@@ -174,11 +177,12 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, size) for s in range(first, n, size))] if n > size else [(0, n)]
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, open_sequences: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, open_sequences: int = 4096, sort_batches: bool = True) -> DataFrame:
     """Pack documents into sequences of at most size tokens; one row for each piece.
 
-    tokenizer is the path of a byte-level BPE file of the tokenizers library, there on every executor. Within an
-    Arrow batch the longer pieces are placed first. sequence_id is unique over all tasks.
+    tokenizer is the path of a byte-level BPE file of the tokenizers library, there on every executor. With
+    sort_batches the longer pieces of an Arrow batch are placed first, a look-ahead of bounded size; without it pieces
+    are placed in the order in which the task reads them. sequence_id is unique over all tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +196,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for row, key in enumerate(keys):
                 own = np.concatenate([ids[at[row] : at[row + 1]], end])
                 pieces += [(key, k, s, n, zlib.crc32(own[s : s + n].astype("<u4", copy=False))) for k, (s, n) in enumerate(cut(len(own), size))]
-            pieces.sort(key=lambda p: -p[3])
+            if sort_batches:
+                pieces.sort(key=lambda p: -p[3])
             placed = [bins.put(p[3]) for p in pieces]
             columns = [*zip(*pieces)] + [[high + s for s, _ in placed], [o for _, o in placed]]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]

@@ -11,13 +11,12 @@ from lodestrand.llm import packing
 tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 PATH = public.path("byte_bpe_50k.json")
+SPECIAL = "<|endoftext|>"
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = tokenizers.Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+    return tokenizers.Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -30,14 +29,14 @@ def chunked():
 def test_ids_are_the_tokenizers(tokenizer, chunked, texts):
     import pyarrow as pa
 
-    texts = [*texts, "it's  two", " lead", "tail ", "x\n y", "<|endoftext|> z", ""]
+    texts = [*texts, "it's  two", " lead", "tail ", "x\n y", "<|endoftext|> z", "a <|endoftext|>", "b<|endoftext|><|endoftext|> c  d", "<|endoftext", "", SPECIAL.join(texts)]
     ids, at = chunked.texts(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
         assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
-def check(docs, tokenizer, size=64, open_sequences=8):
-    rows = packing.pack(docs, PATH, size=size, open_sequences=open_sequences).collect()
+def check(docs, tokenizer, size=64, open_sequences=8, **how):
+    rows = packing.pack(docs, PATH, size=size, open_sequences=open_sequences, **how).collect()
     want = []
     for key, text in docs.select("doc_id", "text").collect():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -59,6 +58,12 @@ def check(docs, tokenizer, size=64, open_sequences=8):
 
 def test_odd_rows(odd, tokenizer):
     check(odd, tokenizer)
+    check(odd, tokenizer, sort_batches=False)
+
+
+def test_special_tokens_in_texts(spark, tokenizer):
+    docs = spark.createDataFrame([(1, f"one {SPECIAL} two"), (2, SPECIAL), (3, f"{SPECIAL}{SPECIAL} {SPECIAL}x" * 40)], "doc_id long, text string")
+    check(docs, tokenizer)
 
 
 def test_no_rows(none):
