@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,9 +18,14 @@ PIECE_BYTES = 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches small enough that a batch of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Arrow batches small enough that a batch of very long texts fits a worker; smaller settings stay as they are.
+
+    Spark reads these settings when a query runs, so they hold for the session's later queries too.
+    """
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0")
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the shared folder of spark.checkpoint.dir, so that lineage ends in files every executor can read.
 
-    Each object has a folder of its own. drop() removes a table that no later step reads.
+    Each object has a folder of its own. drop() removes a table that no later step reads. Without the setting, a local
+    session uses the temporary folder; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "/tmp/lodestrand-checkpoint"
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"{tempfile.gettempdir()}/lodestrand-checkpoint"
             spark.sparkContext.setCheckpointDir(base)
         self.folder = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -61,6 +70,13 @@ class Scratch:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def named_apart(keep: tuple[str, ...], taken: tuple[str, ...]) -> dict[str, str]:
+    """Names for columns to keep that meet none of an operator's own; none of them may be one of the result's."""
+    if clash := set(keep) & set(taken):
+        raise ValueError(f"columns {sorted(clash)} cannot be kept beside the result's of the same name")
+    return {c: f"keep_{i}" for i, c in enumerate(keep)}
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, named_apart, slices
 
 LONGEST = 5
 UNKNOWN = "und"
@@ -155,12 +155,13 @@ def sample(rows: DataFrame, sample_chars: int) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row; keep names columns to carry along (their names must not clash)."""
+    """doc_id, lang_pred and score of every row, and the columns named in keep, which must not be lang_pred or score (ValueError)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
+    carried = named_apart(tuple(c for c in keep if c not in ("doc_id", "text")), ("lang_pred", "score"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in carried.items()])
     drop = [] if "text" in keep else ["text"]
     kept = [f for f in rows.schema.fields if f.name not in drop]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -169,4 +170,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnsRenamed({k: c for c, k in carried.items()})

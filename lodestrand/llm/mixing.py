@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, named_apart
 
 #: Bits of the hash by which a histogram's bucket is split, and hash bits in all.
 STEP, BITS = 12, 60
 #: Keys over which a source's rows are dealt for a join.
 DEALS = 64
+#: The result's columns beside those kept.
+RESULT = ("doc_id", "source", "size", "source_size", "target", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -116,12 +118,13 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (the words that the mix takes, repeats counted).
 
-    keep names columns to carry along. The histograms read sizes and places only; these are written once, and again
+    keep names columns to carry along, which must not have a name of the result's (ValueError). The histograms read sizes and places only; these are written once, and again
     computed from the text only where columns are carried, so that no text is written here.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
+    carried = named_apart(keep, RESULT)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), place(F.col(id_col), salt).alias("place"), *keep)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"), place(F.col(id_col), salt).alias("place"), *[F.col(f"`{c}`").alias(k) for c, k in carried.items()])
     named = named.withColumn("source_key", key)
     items = scratch.save(named.select("doc_id", "source", "size", "place", "source_key"), "sizes")
     sums = items.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -132,4 +135,4 @@ def mix(
     plan = shares.drop("source").join(limits, "source_key")
     taken = F.col("size") * (F.col("rounds") + F.when(F.col("place") < F.col("below"), 1).otherwise(0))
     rows = _dealt(named if keep else items, plan)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *keep)
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(k).alias(c) for c, k in carried.items()])

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, Spans, Words, partitions, slices
+from .common import Rolling, Scratch, Spans, Words, named_apart, partitions, slices
 
 #: Bytes of text in a shard and in a bucket of shards, words in an anchor, and windows in a passage.
 SHARD_BYTES, BUCKET_BYTES, ANCHOR, PASSAGE = 4 << 20, 256 << 20, 8, 64
@@ -228,10 +228,8 @@ def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col
     Text from which nothing is removed is unchanged in `text`; `kept` is the kept words joined by one space in any
     case. A column to keep must not have the name of one of these.
     """
-    if clash := set(keep) & set(RESULT):
-        raise ValueError(f"columns {sorted(clash)} cannot be kept beside the result's")
     scratch = Scratch(docs.sparkSession, "substring")
-    named = {c: f"keep_{i}" for i, c in enumerate(keep)}
+    named = named_apart(keep, RESULT)
     table = _shards(docs, id_col, text_col, named, scratch)
 
     def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

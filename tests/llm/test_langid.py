@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pytest
 
 from lodestrand.llm import langid
 
@@ -65,3 +66,11 @@ def test_odd_rows(odd, none):
     assert langid.identify(none, model).count() == 0
     empty = langid.fit(none)
     assert {r["lang_pred"] for r in langid.identify(odd, empty).collect()} == {"und"}
+
+
+def test_kept_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "ein wort", "de", 7, 0.5)], "doc_id long, text string, lang string, keep_0 int, score double")
+    row = langid.identify(docs, langid.fit(docs, fold=-1), keep=("text", "lang", "keep_0")).first()
+    assert (row["text"], row["lang"], row["keep_0"], row["lang_pred"]) == ("ein wort", "de", 7, "de")
+    with pytest.raises(ValueError):
+        langid.identify(docs, langid.Model.fit([]), keep=("score",))

@@ -59,3 +59,11 @@ def test_the_threshold_is_that_of_a_sort(spark):
 
 def test_no_rows(none):
     assert mixing.mix(none).count() == 0
+
+
+def test_kept_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, "h")], "doc_id long, text string, source string, place int, source_key string")
+    row = mixing.mix(docs, keep=("place", "source_key", "text")).first()
+    assert (row["place"], row["source_key"], row["text"], row["taken"]) == (7, "h", "a b", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("target", docs["place"]), keep=("target",))
