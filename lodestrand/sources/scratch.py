@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once into spark.checkpoint.dir; a folder of our own only where none is named."""
+    """The rows of df, computed once into spark.checkpoint.dir; without it a local session uses the temporary folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestrand-checkpoint")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/lodestrand-checkpoint")
     return df.checkpoint(eager=True)
