@@ -23,7 +23,7 @@ def tune(spark: SparkSession) -> None:
     Spark reads these settings when a query runs, so they hold for the session's later queries too.
     """
     for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
-        own = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0")
+        own = spark.conf.get(f"spark.sql.execution.arrow.{name}").lower().removesuffix("b")
         if not own.isdigit() or not 0 < int(own) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
