@@ -155,7 +155,7 @@ class Spans:
     """
 
     #: Bytes hashed at once.
-    STEP = 2 << 20
+    STEP = 1 << 18
 
     def __init__(self, texts: pa.Array):
         self.data, self.at = raw(pc.fill_null(texts, ""))
