@@ -12,6 +12,9 @@ element or class (menus, headers, footers, sidebars, notices, adverts, forms, sc
 out; the rest of the main part is the text. A class, id or role marks such a part by a whole word of it, never the page
 itself, its <main>, an outermost <article>, or a block that holds most of the page's text with no other main part.
 
+A wrapper is a model of bounded size: its blocks nest 128 deep, and a block keeps 1,000 optional parts. Pages of any
+depth and any number of blocks are laid out whole.
+
 Null html counts as empty and gives an empty text; a null url is a host of its own. Pages are laid out one by one, so
 repeated rows and ties have no effect. An empty table gives an empty result.
 """
@@ -21,6 +24,8 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -54,6 +59,12 @@ NOT_ARTICLE_WORDS = set(
 BESIDE_WORDS = set("area bar block box button buttons container group inner item items links list outer panel posts section site slot unit wrapper".split())
 #: Words of a class that mark a part as the article.
 ARTICLE_WORDS = re.compile(r"\b(article|content|entry|post|story)\b")
+#: Blocks are nested so deep at most; deeper ones stand side by side (browsers do the same, at 512).
+DEEPEST = 128
+#: Two lists of blocks are aligned by a longest common subsequence up to this product of lengths.
+LARGEST = 1_000_000
+#: Optional parts that a block's wrapper keeps: those of most pages.
+MOST_OPTIONAL = 1000
 #: Elements that a new block of the same family ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: A template's constant is text that all different pages of a host have in one place. With this many pages any text
@@ -95,7 +106,8 @@ def _opened(name: str, attributes: str) -> Node:
     marked = any(_says_not_article(token) for mark in ("class", "id", "role") if mark in found for token in found[mark].lower().split())
     hidden = "hidden" in found and found["hidden"].lower() != "false" or found.get("aria-hidden", "").lower() == "true" or bool(_UNSHOWN.search(found.get("style", "")))
     whole = name in ("html", "body")
-    return Node(f"{name}.{found.get('class', '')}", name, name in NOT_ARTICLE or hidden and not whole, marked and not whole and name != "main")
+    # Numbers in a class, as in post-1234, tell blocks of one kind apart and not kinds.
+    return Node(f"{name}.{re.sub('[0-9]+', '0', found.get('class', ''))}", name, name in NOT_ARTICLE or hidden and not whole, marked and not whole and name != "main")
 
 
 def _judge(root: Node) -> None:
@@ -128,10 +140,21 @@ def _judge(root: Node) -> None:
     exclude(root)
 
 
+def _after(page: str, name: str, at: int) -> int:
+    """The place behind the end tag of an element whose content is not markup."""
+    found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+    return found.end() if found else len(page)
+
+
 def parse(page: str) -> Node:
     """The nested blocks of a page. Inline elements vanish; missing and stray end tags are forgiven."""
     root = Node("", "")
     open_, text, at, end = [root], [], 0, len(page)
+    depth = Counter()  # open blocks by name
+
+    def close() -> Node:
+        depth[open_[-1].name] -= 1
+        return open_.pop()
 
     def flush() -> None:
         if text:
@@ -153,27 +176,31 @@ def parse(page: str) -> Node:
             continue
         flush()
         if m[1]:
-            if any(n.name == name for n in open_[1:]):
-                while open_.pop().name != name:
+            if depth[name]:
+                while close().name != name:
                     pass
             continue
         # A paragraph ends where any block begins; items end where the next begins.
         if open_[-1].name == "p":
-            open_.pop()
+            close()
         while open_[-1].name in CLOSES.get(name, ()):
-            open_.pop()
+            close()
         node = _opened(name, m[3])
-        if name == "header" and not any(n.name == "article" for n in open_):
+        if name == "header" and not depth["article"]:
             node.excluded = True
         # An article in an article may be a comment; others are never excluded by their marks.
-        if name == "article" and not any(n.name == "article" for n in open_):
+        if name == "article" and not depth["article"]:
             node.marked = False
-        open_[-1].content.append(node)
+        if len(open_) <= DEEPEST:
+            open_[-1].content.append(node)
+        elif not node.excluded and not node.marked:
+            # What is nested deeper stands in its ancestor at that depth, in page order.
+            node.content = open_[-1].content
         if name in RAW and not m[3].endswith("/"):
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = _after(page, name, at)
         elif name not in VOID:
             open_.append(node)
+            depth[name] += 1
     flush()
     _judge(root)
     return root
@@ -205,7 +232,11 @@ def _key(item: list) -> str:
 
 
 def pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two lists of keys, as pairs of places; equal ends are cut off first."""
+    """A common subsequence of two lists of keys, as pairs of places; equal ends are cut off first.
+
+    It is a longest one up to LARGEST pairs of places. Beyond, the k-th of a key in one list is paired with the k-th in
+    the other, and the longest rising run of such pairs is taken, which needs memory for the lists only.
+    """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -213,20 +244,49 @@ def pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     n, m = len(a) - head - tail, len(b) - head - tail
+    middle = _longest if n * m <= LARGEST else _by_turn
+    found = [(head + x, head + y) for x, y in middle(a[head : head + n], b[head : head + m])] if n and m else []
+    return [(k, k) for k in range(head)] + found + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence; the leftmost places of a are left out first."""
+    n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[head + i] == b[head + j] else max(best[i + 1][j], best[i][j + 1])
-    found, i, j = [(k, k) for k in range(head)], 0, 0
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    found, i, j = [], 0, 0
     while i < n and j < m:
-        if a[head + i] == b[head + j]:
-            found.append((head + i, head + j))
+        if a[i] == b[j]:
+            found.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return found + [(len(a) - t, len(b) - t) for t in range(tail, 0, -1)]
+    return found
+
+
+def _by_turn(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The longest rising run of pairs of the k-th places of each key."""
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
+    tops: list[int] = []
+    ends: list[tuple] = []  # for each length the pair that ends it and its chain
+    for i, key in enumerate(a):
+        if not places.get(key):
+            continue
+        j = places[key].pop()
+        at = bisect_left(tops, j)
+        link = (i, j, ends[at - 1] if at else None)
+        tops[at : at + 1], ends[at : at + 1] = [j], [link]
+    found, link = [], ends[-1] if ends else None
+    while link:
+        found.append(link[:2])
+        link = link[2]
+    return found[::-1]
 
 
 def align(a: list, b: list) -> list:
@@ -240,7 +300,16 @@ def align(a: list, b: list) -> list:
         if x < len(a[4]):
             out.append(align(a[4][x], b[4][y]))
         i, j = x + 1, y + 1
-    return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], _grouped(out)]
+    return [a[0], a[1] + b[1], a[2] or b[2], a[3] or b[3], _bounded(_grouped(out))]
+
+
+def _bounded(content: list) -> list:
+    """A wrapper's parts without the rarest optional ones, which say nothing of the template."""
+    optional = [i for i, c in enumerate(content) if c[2]]
+    if len(optional) <= MOST_OPTIONAL:
+        return content
+    gone = set(sorted(optional, key=lambda i: content[i][1])[: len(optional) - MOST_OPTIONAL])
+    return [c for i, c in enumerate(content) if i not in gone]
 
 
 def _grouped(content: list) -> list:

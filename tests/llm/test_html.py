@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from lodestrand.llm import html
@@ -101,3 +103,102 @@ def test_wrappers_do_not_depend_on_how_pages_are_dealt(spark):
     import json
 
     assert len({html.expression(json.loads(m)[1]) for m in made}) == 1
+
+
+def test_deep_and_long_pages():
+    deep = "<article>" + "<div>" * 100_000 + "<p>in the depth" + "<nav>menu</nav>" + "</div>" * 99_990 + "<p>higher</article><footer>f</footer>"
+    assert html.main_text(deep, html.wrap(html.parse(deep)), 1) == "in the depth\nhigher"
+    long = "<article>" + "".join(f"<p>{i}<div>d{i}</div>" for i in range(50_000)) + "</article>"
+    other = "<article>" + "".join(f"<div>{i}</div><h2>d{i}</h2>" for i in range(50_000)) + "</article>"
+    wrapper = html.align(html.wrap(html.parse(long)), html.wrap(html.parse(other)))
+    assert html.main_text(long, wrapper, 2).count("\n") == 99_999
+    assert len(html.expression(wrapper)) < 1_000_000
+    unclosed = "<div><p>x" * 100_000
+    assert html.main_text(unclosed, None).count("x") == 100_000
+
+
+def test_text_under_the_deepest_block_keeps_its_order():
+    page = "<div>" * 200 + "a<div>b<div>c</div>d</div>e<div class='ad'>no</div>f" + "</div>" * 200 + "g"
+    assert html.main_text(page, None) == "a\nb\nc\nd\ne\nf\ng"
+
+
+def test_both_alignments_are_common_subsequences():
+    import random
+
+    own = random.Random(1)
+    for _ in range(300):
+        a, b = ([own.choice("abc") for _ in range(own.randrange(12))] for _ in range(2))
+        longest, by_turn = html._longest(a, b), html._by_turn(a, b)
+        for found in (longest, by_turn):
+            assert all(a[x] == b[y] for x, y in found)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+        assert len(by_turn) <= len(longest)
+
+
+def test_numbers_in_classes_do_not_tell_blocks_apart():
+    pages = [f'<article class="post post-{i}"><p>{i}</article>' for i in range(50)]
+    wrapper = html.wrap(html.parse(pages[0]))
+    for page in pages[1:]:
+        wrapper = html.align(wrapper, html.wrap(html.parse(page)))
+    assert html.expression(wrapper) == "<article.post post-0><p>#TEXT</></>"
+
+
+def test_optional_parts_are_bounded(monkeypatch):
+    monkeypatch.setattr(html, "MOST_OPTIONAL", 5)
+    wrapper = html.wrap(html.parse("<p>a<ul><li>x</ul>"))
+    for i in range(40):
+        wrapper = html.align(wrapper, html.wrap(html.parse(f"<p>b<div class='c{chr(97 + i % 26)}{chr(97 + i // 26)}'>y</div><ul><li>x</ul>")))
+    assert len(wrapper[4]) <= 7 and wrapper[4][0][1] == 41
+
+
+class Plain(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """A second extractor, by the standard library's parser: the text of the article by blocks, for pages of the test tables."""
+
+    OUT = {"nav", "footer", "aside", "form", "script", "style", "head"}
+    BLOCK = {"p", "h1", "h2", "h3", "ul", "ol", "li", "div", "article", "section", "table", "tr", "td", "blockquote", "pre"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.out = 0
+        self.said, self.blocks = [], []
+
+    def cut(self):
+        if said := " ".join("".join(self.said).split()):
+            self.blocks.append(said)
+        self.said = []
+
+    def handle_starttag(self, tag, attrs):
+        self.said += [" "] if tag == "br" else []
+        if tag in self.BLOCK:
+            self.cut()
+        self.inside += tag == "article"
+        self.out += tag in self.OUT
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCK:
+            self.cut()
+        self.inside -= tag == "article"
+        self.out -= tag in self.OUT
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.said.append(data)
+
+
+def test_pages_of_the_tables_as_a_second_extractor_reads_them(spark):
+    import os
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    alike = 0
+    for r in pages.collect():
+        own = Plain()
+        own.feed(r["html"])
+        own.cut()
+        a, b = Counter(got[r["page_id"]].split()), Counter("\n".join(own.blocks).split())
+        both = sum((a & b).values())
+        alike += 2 * both / max(sum(a.values()) + sum(b.values()), 1) if a or b else 1
+    assert alike / len(got) > 0.98

@@ -97,3 +97,42 @@ def test_odd_rows_and_odd_labels(spark, odd):
     unlabelled = quality_model.score(odd, labels.limit(0)).collect()
     assert {r["score"] for r in unlabelled} == {0.5}
     assert quality_model.measure(pa.array(["", None])).sum() == 0
+
+
+def verdict(text, bad_share=0.3):
+    """The verdict of the bands, from the ratios of zstandard alone."""
+    import zstandard
+
+    data = text.encode()
+
+    def outside(part):
+        low, high = [(a, b) for n, a, b in quality_rules.BANDS if len(part) >= n][-1]
+        ratio = len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part) if part else 1.0
+        return not low <= ratio <= high
+
+    parts = [data[i : i + quality_rules.CHUNK] for i in range(0, len(data), quality_rules.CHUNK)] if len(data) > quality_rules.CHUNK else []
+    return not outside(data) and sum(len(x) for x in parts if outside(x)) <= bad_share * len(data)
+
+
+def test_the_verdict_on_the_tables_and_on_planted_texts(spark):
+    """Every verdict equals the brute force; the bands alone reject planted texts and labelled bad ones, and no good one."""
+    import os
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001").replace("sf0.001", "sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(4)
+    clean = [r["text"] for r in docs.collect() if r["text"] and len(r["text"]) > 6000][:20]
+    planted = []
+    for i, text in enumerate(clean):
+        words = text.split()
+        planted += [(-1 - 4 * i, " | ".join(w[:3] for w in words), False), (-2 - 4 * i, drawn(rng, 3000).decode(), False), (-3 - 4 * i, text[:2000] + "\n" + drawn(rng, 4000).decode(), False)]
+    both = docs.union(spark.createDataFrame([(i, t) for i, t, _ in planted], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in both.collect()}
+    got = {r["doc_id"]: r for r in quality_rules.compression_bands(both).collect()}
+    assert all(r["kept"] == (not r["base_failed"] and verdict(texts[i])) for i, r in got.items())
+    assert not any(got[i]["kept"] for i, _, _ in planted)
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    by_bands = [i for i, r in got.items() if i >= 0 and not r["base_failed"] and not r["kept"]]
+    assert len(by_bands) >= 10 and all(quality.get(i) != 1 for i in by_bands)
