@@ -11,8 +11,10 @@ pass for a placeholder, and so that reading back restores the text exactly. The
 formatted string that cover the text of assistant messages and nothing else.
 
 Conversations are formatted by a stream over rows sorted by conversation and turn, so a task holds the turns of one
-conversation at a time. Null text is empty, a null role is an empty role, a null conversation id is a conversation
-of its own; ties of turn are ordered by role and text, and repeated rows are turns of their own.
+conversation at a time. Null text is empty, a null role is an empty role; a row without a conversation id is a
+conversation of its own; ties of turn are ordered by role and text, and repeated rows are turns of their own. Null
+parts are left out, a part without a kind is text, one of a kind without a visitor becomes the placeholder `other`,
+and sizes that are null or NaN are 0 (a placeholder stands once at least). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import deals
 
 OPEN, NAMED, CLOSE = "<s>[ROLE ", "]\n", "</s>\n"
 #: The escape character and what stands for it; control strings all hold one of the marked characters.
@@ -91,6 +93,9 @@ class Flattener:
     def visit_document(self, part: Part) -> None:
         self._attach(part, part.pages * self.per_page)
 
+    def visit_other(self, part: Part) -> None:
+        self._attach(part, 1)
+
     def _attach(self, part: Part, tokens: int) -> None:
         tokens = max(1, tokens)
         self.attachments.append({"index": len(self.attachments), "kind": part.kind, "uri": part.uri, "tokens": tokens})
@@ -121,7 +126,7 @@ def format_turns(turns: Iterable[tuple[str, list[Part]]], learn: tuple[str, ...]
     return Formatted("".join(out), loss, attachments)
 
 
-_PLACEHOLDERS = re.compile(r"(?:<\|(?:image|audio|document)\|>)+")
+_PLACEHOLDERS = re.compile(r"(?:<\|(?:image|audio|document|other)\|>)+")
 
 
 def parse(text: str) -> Iterator[tuple[str, str]]:
@@ -136,6 +141,13 @@ def parse(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(CLOSE)
 
 
+def part_of(content: dict) -> Part:
+    """A part from a row of typed content: a null kind is text, a kind without a visitor is `other`, null sizes are 0."""
+    known = {k: v for k, v in content.items() if v is not None and v == v}  # NaN is no size
+    kind = known.pop("kind", "text")
+    return Part(kind if hasattr(Flattener, f"visit_{kind}") else "other", **known)
+
+
 CONTENT = "array<struct<kind:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 SCHEMA = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,stop:long>>, attachments array<struct<index:int,kind:string,uri:string,tokens:int>>"
 
@@ -152,11 +164,11 @@ def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",
         content = F.array(text).cast("array<struct<kind:string,text:string>>")
     turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), content.alias("content"))
     order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.to_json("content")]
-    spark = rows.sparkSession
-    sorted_turns = turns.repartition(partitions(spark), "conv_id").sortWithinPartitions(*order)
+    # Rows without an id are conversations of their own, so they are dealt by what they say.
+    deal = F.coalesce(F.xxhash64(F.when(F.col("conv_id").isNotNull(), F.col("conv_id"))), F.lit(0)) + F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", F.to_json("content"))).otherwise(0)
+    sorted_turns = turns.repartition(deals(turns.select(F.to_json("content").alias("said")), "said"), deal).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ("kind", "text", "uri", "width", "height", "seconds", "pages")
         held: list[tuple[str, list[Part]]] = []
         own = None
         schema = pa.schema(
@@ -176,11 +188,11 @@ def format_conversations(rows: DataFrame, learn: tuple[str, ...] = ("assistant",
         for batch in batches:
             ready = []
             for key, role, parts in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "content"))):
-                if held and key != own:
+                if held and (key is None or key != own):
                     ready.append(done())
                     held = []
                 own = key
-                held.append((role, [Part(**{f: p[f] for f in fields if p.get(f) is not None}) for p in parts or []]))
+                held.append((role, [part_of(p) for p in parts or [] if p is not None]))
             if ready:
                 yield pa.RecordBatch.from_pylist(ready, schema)
         if held:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A Python worker looks at this many bytes of text at once; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
@@ -83,6 +84,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def deals(rows: DataFrame, column: str, size: int = 256 << 20) -> int:
+    """Partitions for rows so that none has much more than `size` bytes of a string column; at least the session's number."""
+    total = rows.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(partitions(rows.sparkSession), -(-total // size))
+
+
 def release() -> None:
     """Give memory that earlier batches used back to the system: workers are kept and share an executor's memory."""
     pa.default_memory_pool().release_unused()

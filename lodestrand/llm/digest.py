@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, slices
+from .common import Scratch, deals, slices
 
 
 def canonical(text: str) -> bytes:
@@ -52,26 +52,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, "doc_id long, fingerprint string, n_bytes long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, group_id (the smallest id with the same canonical bytes) and group_size.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prints: DataFrame | None = None, hashed: Callable[[bytes], str] = digest) -> DataFrame:
+    """doc_id, fingerprint, group_id (the smallest id with the same canonical bytes) and group_size, a row for each pair
+    of id and fingerprint; group_id is null where a group has null ids only.
 
-    Buckets of equal digests are found on digests alone. Within them bytes decide: each canonical form is compared
-    with its bucket's through the bucket's key of digest and form, so two forms that share a digest stay apart. The
-    sums are made before rows move, so a group of any size costs a row for each task.
+    Canonical forms are summed by digest and bytes, before rows move, so a group of any size costs a row for each task.
+    A digest with one form is a group. Where several forms share a digest, bytes tell the groups of its rows apart.
+    prints: doc_id and fingerprint of docs, if known.
     """
+    scratch = Scratch(docs.sparkSession, "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             canons = [canonical(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(digest, canons), pa.string()), pa.array(canons, pa.binary())], ["doc_id", "fingerprint", "canon"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(hashed, canons), pa.string()), pa.array(canons, pa.binary())], ["doc_id", "fingerprint", "canon"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text").mapInArrow(run, "doc_id long, fingerprint string, canon binary")
-    buckets = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
-    several = rows.join(buckets, "fingerprint", "left_semi")
-    groups = several.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
-    grouped = several.join(groups, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "group_size")
-    alone = rows.join(buckets, "fingerprint", "left_anti").select("doc_id", "fingerprint", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size"))
-    return grouped.unionByName(alone)
+    forms = rows.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("group_size"))
+    by_digest = forms.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.min("group_id").alias("group_id"), F.sum("group_size").alias("group_size"))
+    by_digest = scratch.save(by_digest, "digests")
+    named = (rows if prints is None else prints).select("doc_id", "fingerprint").distinct()
+    groups = named.join(by_digest.filter("forms = 1").drop("forms"), "fingerprint").select("doc_id", "fingerprint", "group_id", "group_size")
+    shared = by_digest.filter("forms > 1").select("fingerprint")
+    if shared.isEmpty():
+        return groups
+    several = rows.join(shared, "fingerprint", "left_semi").groupBy("doc_id", "fingerprint", "canon").agg(F.count("*").alias("n"))
+    apart = several.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.sum("n").alias("group_size"))
+    return groups.unionByName(several.join(apart, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "group_size"))
 
 
 def edited(text: str, following: str) -> str:
@@ -127,12 +134,23 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("doc_id"), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
+    dealt = rows.repartitionByRange(deals(rows, "text"), *keys).sortWithinPartitions(*keys)
     paired = Scratch(spark, "fingerprints").save(dealt.mapInArrow(run, PAIRS), "pairs")
     # Two rows for each task: a task's last row is followed by the next task's first, the very last by the very first.
+    # Only their places are put in order; the texts join them.
     ends = paired.filter("text is not null").select("part", "last", "doc_id", "text")
-    order = Window.orderBy("part", "last")
-    first = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    joined = ends.withColumn("following", F.coalesce(F.lead("text").over(order), first)).filter("last")
+    first, last = ends.filter("not last"), ends.filter("last")
+    order = Window.orderBy("part")
+    lowest = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = last.select("part").withColumn("next", F.coalesce(F.lead("part").over(order), lowest))
+    joined = last.join(following, "part").join(first.select(F.col("part").alias("next"), F.col("text").alias("following")), "next")
     schema = ", ".join(PAIRS.split(", ")[2:9])
     return paired.filter("text is null").select(*out).unionByName(joined.select("doc_id", "text", "following").mapInArrow(join_ends, schema))
+
+
+def with_groups(docs: DataFrame) -> DataFrame:
+    """What compare_with_next gives, and group_id and group_size of the documents with the same canonical bytes."""
+    found = Scratch(docs.sparkSession, "fingerprints").save(compare_with_next(docs), "compared")
+    groups = exact_groups(docs, prints=found)
+    match = found["doc_id"].eqNullSafe(groups["doc_id"]) & (found["fingerprint"] == groups["fingerprint"])
+    return found.join(groups, match).select(found["*"], "group_id", "group_size")

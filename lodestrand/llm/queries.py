@@ -43,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.compare_with_next(table(spark, sf_dir, "documents"))
+    return digest.with_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,37 @@ def test_typed_content(spark):
     df = spark.createDataFrame([(1, 0, "user", [("image", None, "a", 28, 28, None, None), ("text", "hi", None, None, None, None, None)])], f"conv_id long, turn long, role string, content {chat.CONTENT}")
     row = chat.format_conversations(df).first()
     assert row["attachments"][0]["uri"] == "a" and row["formatted"] == "<s>[ROLE user]\n<|image|>hi</s>\n"
+
+
+def test_odd_parts(spark):
+    nan = float("nan")
+    content = [None, (None, "plain", None, None, None, None, None), ("video", "x", "v", None, None, None, None), ("audio", None, None, None, None, nan, None), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", content), (1, 1, "assistant", None), (None, 0, "user", content[1:2]), (None, 0, "user", content[1:2])], f"conv_id long, turn long, role string, content {chat.CONTENT}")
+    rows = chat.format_conversations(df).collect()
+    row = next(r for r in rows if r["conv_id"] == 1)
+    assert row["formatted"] == "<s>[ROLE user]\nplain<|other|><|audio|></s>\n<s>[ROLE assistant]\n</s>\n"
+    assert [(a["kind"], a["uri"], a["tokens"]) for a in row["attachments"]] == [("other", "v", 1), ("audio", "", 1)]
+    assert [r["n_turns"] for r in rows if r["conv_id"] is None] == [1, 1]
+    assert next(r for r in chat.read_back(chat.format_conversations(df)).collect() if r["conv_id"] == 1)["n_turns"] == 2
+
+
+def test_query_equals_sql(spark):
+    """All that the query says of the turns, from the table alone."""
+    import os
+
+    import duckdb
+
+    from lodestrand.llm import queries
+
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    want = duckdb.sql(f"""
+        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS said FROM '{folder}/conversations.parquet'
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*), sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn)),
+               coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT,
+               sha256(coalesce(string_agg(said, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
+        FROM t GROUP BY conv_id""").fetchall()
+    got = queries.QUERIES["op9_chat_parts"](spark, folder).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
