@@ -200,12 +200,13 @@ class RuleModel:
 
 
 def fit(measured: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, fold: int = 0, sample_rows: int = 20_000) -> RuleModel:
-    """Fit on labelled rows outside one fold of ids, on about sample_rows of them."""
+    """Fit on labelled rows outside one fold of ids, on about sample_rows of the different ones."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label"))
     usable = usable.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != fold))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.filter(place < min(1.0, sample_rows / max(usable.count(), 1)))
-    rows = measured.join(chosen, "doc_id").toArrow()
+    # Repeated rows count once; the rows that are left are counted, so that the sample has its bound whatever repeats.
+    labelled = Scratch(measured.sparkSession, "labelled").save(measured.join(usable, "doc_id").distinct(), "rows", release=False)
+    place = F.pmod(F.xxhash64("doc_id", *STATISTICS), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.filter(place < min(1.0, sample_rows / max(labelled.count(), 1))).toArrow()
     if not rows.num_rows:
         return RuleModel.fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "label", *STATISTICS)])

@@ -74,3 +74,47 @@ def test_kept_columns_with_clashing_names(spark):
     assert (row["text"], row["lang"], row["keep_0"], row["lang_pred"]) == ("ein wort", "de", 7, "de")
     with pytest.raises(ValueError):
         langid.identify(docs, langid.Model.fit([]), keep=("score",))
+
+
+def plain_scores(counts, text, least=2):
+    """The log frequencies summed over a text's words by language, from counters and without tables of numbers."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    languages = sorted({lang for lang, _, _ in counts})
+    tables = {k: {lang: Counter() for lang in languages} for k in range(6)}
+    for lang, word, n in counts:
+        tables[0][lang][word] += n
+        for k in range(1, 6):
+            for i in range(len(word) + 3 - k):
+                tables[k][lang][f"_{word}_"[i : i + k]] += n
+    known = {k: {x for lang in languages for x in t[lang] if sum(t[o][x] for o in languages) >= least} for k, t in tables.items()}
+
+    def log(k, x, lang):
+        return np.log((tables[k][lang][x] + 0.5) / (sum(tables[k][lang][y] + 0.5 for y in known[k]) + 1e-9))
+
+    sums = dict.fromkeys(languages, 0.0)
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        found, k = ([word], 0) if word in known[0] else ([], 6)
+        while not found and k > 1:
+            k -= 1
+            found = [x for x in (f"_{word}_"[i : i + k] for i in range(len(word) + 3 - k)) if x in known[k]]
+        for lang in languages:
+            if found:
+                sums[lang] += sum(log(k, x, lang) for x in found) / len(found)
+    return sums
+
+
+def test_scores_equal_brute_force():
+    import numpy as np
+
+    counts = [("de", "haus", 3), ("de", "wasser", 2), ("de", "nie", 1), ("en", "house", 4), ("en", "water", 1), ("en", "has", 2), ("fr", "maison", 2), ("fr", "haut", 1), ("fr", "é", 2)]
+    model = langid.Model.fit(counts)
+    texts = ["Haus water", "hausboot! nie", "maisonnette x9 é", "zzz qqq", "Wasser, wasser", "the 1 2 3", "has haut hat"]
+    langs, scores = model.predict(pa.array(texts))
+    for text, lang, score in zip(texts, langs, scores):
+        sums = plain_scores(counts, text)
+        shares = {k: np.exp(v - max(sums.values())) for k, v in sums.items()}
+        assert abs(shares[lang] / sum(shares.values()) - score) < 1e-4 and sums[lang] >= max(sums.values()) - 1e-4

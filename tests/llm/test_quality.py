@@ -136,3 +136,52 @@ def test_the_verdict_on_the_tables_and_on_planted_texts(spark):
     quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     by_bands = [i for i, r in got.items() if i >= 0 and not r["base_failed"] and not r["kept"]]
     assert len(by_bands) >= 10 and all(quality.get(i) != 1 for i in by_bands)
+
+
+def plain_statistics(text):
+    """The statistics of a text, one by one."""
+    text = text or ""
+    w, n = WORD.findall(text), max(len(text), 1)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    runs = Counter(zip(w, w[1:], w[2:]))
+    covered = {j for i in range(len(w) - 2) if runs[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    white = sum(c in " \t\n\v\f\r" for c in text)
+    share = lambda chars: sum(c in chars for c in text) / n
+    capital = sum("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" for c in text) / n
+    k, m = max(len(w), 1), max(len(lines), 1)
+    return [
+        len(w), len(text), (len(text) - white) / k, sum(len(x) >= 12 for x in w) / k, sum(len(x) <= 3 for x in w) / k, len(set(w)) / k, len(covered) / k,
+        len(lines), len(w) / m, (len(lines) - len(set(lines))) / m, share("#*$%&<>"), capital, share("0123456789"), share(".,;:"), share("!?"), share("|"),
+        share("()[]{}@=+_~^/\\\"'`-"), white / n,
+    ]
+
+
+def test_statistics_equal_brute_force(odd):
+    texts = [r["text"] for r in odd.select("text").collect()] + ["ÀÉ×Þ a.B, c! (x) [y] 12 #|\nz\n\nz", "　x\x85y", "a b c a b c"]
+    got = quality_model.measure(pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_statistics(t) for t in texts])
+
+
+def test_lasso_meets_the_conditions_of_its_minimum():
+    rng = np.random.default_rng(3)
+    r = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1])))).astype(float)
+    intercept, w = quality_model.lasso(r, y, 0.01, steps=3000)
+    slope = r.T @ (1 / (1 + np.exp(-(intercept + r @ w))) - y) / len(y)
+    assert np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-4) and (np.abs(slope[w == 0]) <= 0.01 + 1e-4).all()
+    assert (w == 0).any() and w[0] > 0 > w[1]
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    rows = [(1, "one text " * 30)] * 3000 + [(i, prose(i, 60)) for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    measured = quality_model.statistics(docs)
+    seen = []
+    real = quality_model.RuleModel.fit
+    try:
+        quality_model.RuleModel.fit = classmethod(lambda cls, x, y, **how: seen.append(len(y)) or real(x, y, **how))
+        quality_model.fit(measured, labels, fold=-1)
+    finally:
+        quality_model.RuleModel.fit = real
+    assert seen == [59]
