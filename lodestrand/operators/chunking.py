@@ -6,6 +6,8 @@ are Arrow functions from a text to an array of texts.
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,8 +74,8 @@ def _segments(text: str) -> tuple[list[str], list[bool]]:
     """Bullets with the lines below them, and the lines before the first bullet."""
     rows = text.split("\n")
     starts = [i for i, row in enumerate(rows) if row.strip().startswith("- ")]
-    cuts = sorted({0, *starts, len(rows)})
-    return ["\n".join(rows[a:b]) for a, b in zip(cuts, cuts[1:])], [a in set(starts) for a in cuts[:-1]]
+    cuts, known = sorted({0, *starts, len(rows)}), set(starts)
+    return ["\n".join(rows[a:b]) for a, b in zip(cuts, cuts[1:])], [a in known for a in cuts[:-1]]
 
 
 def pack_bullets(text: str | None, limit: int = LIMIT) -> list[str]:
@@ -107,7 +109,11 @@ def split_recursively(text: str | None, size: int = 800, overlap: int = 120, mar
     finer = marks[marks.index(mark) + 1 :] if mark else ()
     parts = [p for p in (text.split(mark) if mark else list(text)) if p]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    length = 0  # of the held parts, joined
+
+    def joined_with(part: str) -> int:
+        return length + len(part) + (len(mark) if held else 0)
 
     def flush() -> None:
         if held and (joined := mark.join(held).strip()):
@@ -116,13 +122,16 @@ def split_recursively(text: str | None, size: int = 800, overlap: int = 120, mar
     for part in parts:
         if len(part) > size and finer:
             flush()
-            held = []
+            held.clear()
+            length = 0
             out += split_recursively(part, size, overlap, finer)
             continue
-        if held and len(mark.join([*held, part])) > size:
+        if held and joined_with(part) > size:
             flush()
-            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, part])) > size):
-                held = held[1:]
+            while held and (length > overlap or joined_with(part) > size):
+                first = held.popleft()
+                length -= len(first) + (len(mark) if held else 0)
+        length = joined_with(part)
         held.append(part)
     flush()
     return out

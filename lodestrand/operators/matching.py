@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 THRESHOLD = 0.6
 #: Names that stand for nobody.
 PLACEHOLDERS = ("host", "speaker", "unknown speaker", "speaker 1", "speaker 2", "speaker 3", "speaker 4", "speaker 5")
@@ -36,6 +42,19 @@ def ratio(a: str | None, b: str | None) -> float:
     return 200.0 * common_subsequence(x, y) / (len(x) + len(y)) if x or y else 0.0
 
 
+def set_ratio(a: str | None, b: str | None) -> float:
+    """100 if all tokens of one are among the other's; else the best ratio of common tokens and both token sets."""
+    x, y = (set(re.findall(r"\w+", (t or "").lower())) for t in (a, b))
+    if not x or not y:
+        return 0.0
+    common = " ".join(sorted(x & y))
+    own, other = (" ".join(filter(None, (common, " ".join(sorted(s))))) for s in (x - y, y - x))
+    if common and common in (own, other):
+        return 100.0
+    pairs = [(own, other), *([(common, own), (common, other)] if common else [])]
+    return max(200.0 * common_subsequence(p, q) / (len(p) + len(q)) for p, q in pairs)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """ratio as a column."""
 
@@ -46,16 +65,59 @@ def similarity(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+#: Candidates that a task holds at once; more of them make more passes over the names.
+CANDIDATE_BLOCK = 50_000
+
+
 def matches(names: DataFrame, candidates: DataFrame, k: int = 3, threshold: float = THRESHOLD) -> DataFrame:
     """name, candidate, score, rank: the k best candidates of each name whose score reaches the threshold.
 
-    names are a batch of inputs, candidates the distinct participants. Every name is scored against every candidate,
-    which is what the operator is; both are distinct names, not rows of the corpus.
+    names are a batch of inputs, candidates the distinct participants. Candidates go to the tasks in blocks; a task
+    bounds each name's scores by the letters that both have, computes those that can reach the threshold and the k-th
+    best, and passes on k rows for a name, so pairs never become rows.
     """
-    pairs = names.select("name").distinct().crossJoin(candidates.select("candidate").distinct())
-    scored = pairs.withColumn("score", F.round(similarity(F.col("name"), F.col("candidate")), 6))
+    spark, least = names.sparkSession, 100 * threshold
+    known = cut(candidates.select("candidate").distinct().filter("candidate is not null"))
+    blocks = max(1, -(-known.count() // CANDIDATE_BLOCK))
+    asked, found = names.select("name").distinct(), None
+    for block in range(blocks):
+        own = sorted(r[0] for r in known.filter(F.pmod(F.xxhash64("candidate"), F.lit(blocks)) == block).collect())
+        shared = spark.sparkContext.broadcast(own)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            listed = shared.value
+            tokens = [sorted_tokens(c) for c in listed]
+            letters = {c: i for i, c in enumerate(sorted(set("".join(tokens))))}
+            lengths, counts = np.array([len(t) for t in tokens], np.int32), np.zeros((len(listed), len(letters)), np.int16)
+            for row, t in zip(counts, tokens):
+                for c, n in Counter(t).items():
+                    row[letters[c]] = n
+            for batch in batches:
+                rows: list[tuple] = []
+                for name in batch.column("name").to_pylist():
+                    mine = sorted_tokens(name)
+                    own = np.zeros(len(letters), np.int16)
+                    for c, n in Counter(mine).items():
+                        if c in letters:
+                            own[letters[c]] = n
+                    # The common subsequence has no more of a letter than either side.
+                    most = 200.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(lengths + len(mine), 1)
+                    best: list[tuple[float, str]] = []
+                    for at in np.argsort(-most, kind="stable"):
+                        if round(most[at], 6) < least or len(best) == k and round(most[at], 6) < -best[-1][0]:
+                            break
+                        x = tokens[at]
+                        score = round(200.0 * common_subsequence(mine, x) / (len(mine) + len(x)), 6) if mine or x else 0.0
+                        if score >= least:
+                            best = sorted([*best, (-score, listed[at])])[:k]
+                    rows += [(name, c, -s) for s, c in best]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64()))], ["name", "candidate", "score"])
+
+        part = asked.mapInArrow(run, "name string, candidate string, score double")
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
-    return scored.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & (F.col("score") >= 100 * threshold))
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def best_match(names: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -69,3 +131,53 @@ def named_in(text: Column, participants: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     real = F.filter(participants, lambda p: ~F.lower(p).isin(*PLACEHOLDERS))
     return F.filter(real, lambda p: F.exists(F.split(F.lower(p), r"\s+"), lambda x: (F.length(x) >= 4) & F.array_contains(words, x)))
+
+
+#: A part of a name is found in a text from this set ratio on, parts from this length.
+DETECT, PART = 80, 4
+
+
+def detect_and_resolve(texts: DataFrame, participants: list[str], recognise: Callable[[str], list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Add detected and resolved: names in the text, and the participants that they stand for, each once, in order.
+
+    recognise finds names in a text (a model); besides, a participant is detected if a part of the name has a set ratio
+    of DETECT or more with the text. Each name is then resolved to the best participant, as best_match does.
+    """
+    real = [p for p in participants if p.lower() not in PLACEHOLDERS]
+
+    def detect(text: str) -> list[str]:
+        words = set(re.findall(r"\w+", text.lower()))
+        size = len(" ".join(sorted(words)))
+        found = list(recognise(text)) if recognise else []
+        for person in real:
+            parts = [x for x in person.lower().split() if len(x) >= PART]
+            # A part that is no word of the text reaches the ratio only if the text is not much longer.
+            if any(set(re.findall(r"\w+", x)) <= words or size <= 1.5 * len(x) and set_ratio(x, text) >= DETECT for x in parts):
+                found.append(person)
+        return list(dict.fromkeys(found))
+
+    def resolve(name: str) -> str | None:
+        best = min(((-round(ratio(name, p), 6), p) for p in participants), default=(0.0, ""))
+        return best[1] if -best[0] >= 100 * threshold else None
+
+    @F.pandas_udf("struct<detected:array<string>,resolved:array<string>>")
+    def run(series: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in series:
+            found = detect(text or "")
+            rows.append((found, [*dict.fromkeys(x for x in map(resolve, found) if x)]))
+        return pd.DataFrame(rows, columns=["detected", "resolved"])
+
+    made = run(F.col("text"))
+    return texts.withColumn("_found", made).select("*", "_found.detected", "_found.resolved").drop("_found")
+
+
+def resolve_pronoun(participants: Column) -> Column:
+    """Whom a pronoun of the third person stands for: the participant, if there is only one, else null."""
+    return F.when(F.size(participants) == 1, F.element_at(participants, 1))
+
+
+def find_person(catalog: DataFrame, name: str, threshold: float = THRESHOLD) -> DataFrame:
+    """candidate, score and rank of the three best participants of a catalog for a name as typed."""
+    typed = catalog.sparkSession.createDataFrame([(name,)], "name string")
+    return matches(typed, catalog.select(F.explode("participants").alias("candidate")), 3, threshold).drop("name")

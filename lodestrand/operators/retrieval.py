@@ -24,6 +24,8 @@ from ..sources.scratch import cut
 K1, B, EPSILON, ALPHA = 1.5, 0.75, 0.25, 0.6
 #: Queries whose vectors one pass over the chunks holds; more queries make more passes.
 QUERY_BLOCK = 4096
+#: Pairs of query and allowed meeting that one pass holds.
+SCOPE_BLOCK = 2_000_000
 
 
 def norm(v: Column) -> Column:
@@ -43,51 +45,94 @@ def top(hits: DataFrame, k: int, score: str = "score") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best chunks of each query among those that a task has seen."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.least = np.full(n, -np.inf)
+        self.query, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), None
+        self.most = max(4 * n * k, 1 << 16)
+
+    def add(self, query: np.ndarray, score: np.ndarray, key: np.ndarray) -> None:
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, score])
+        self.key = key if self.key is None else np.concatenate([self.key, key])
+        if len(self.query) > self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        order = np.lexsort((self.key, -self.score, self.query))
+        query = self.query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        self.query, self.score, self.key = self.query[order], self.score[order], self.key[order]
+        last = np.flatnonzero(place[place < self.k] == self.k - 1)
+        self.least[self.query[last]] = self.score[last]
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, fail_open: bool = False) -> DataFrame:
     """query_id, chunk_id, score, rank: the k chunks with the largest cosine, exact.
 
-    The query vectors go to every task in blocks; each Arrow batch of chunks is one matrix product, of which only the
-    k best for each query leave the task, so no pair of query and chunk becomes a row.
+    The query vectors go to every task in blocks. A task multiplies them with its chunks, keeps a running k best for
+    each query and gives only these, so no pair of query and chunk becomes a row. With a scope, the chunks of a meeting
+    are multiplied with the queries that may find them; a block holds QUERY_BLOCK queries and SCOPE_BLOCK pairs at most.
     """
     spark = chunks.sparkSession
     rows = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "meeting_id", "embedding")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
     vectors = queries.filter(F.col("embedding").isNotNull()).select("query_id", unit(F.col("embedding")).alias("v"))
+    allowed = None if scope is None else cut(scoped(queries, chunks, scope, fail_open))
+    blocks = max(1, -(-vectors.count() // QUERY_BLOCK), 0 if allowed is None else -(-allowed.count() // SCOPE_BLOCK))
     found = None
-    blocks = -(-vectors.count() // QUERY_BLOCK)
-    for block in range(max(1, blocks)):
-        own = vectors if blocks <= 1 else vectors.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        ids, matrix = [], []
-        for r in own.orderBy("query_id").toLocalIterator():
-            ids.append(r["query_id"])
-            matrix.append(r["v"])
-        allowed = None
-        if scope is not None:
-            allowed = {r["query_id"]: set(r["meetings"]) for r in scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.collect_set("meeting_id").alias("meetings")).collect()}
-            everything = fail_open
-            allowed = {i: allowed.get(i, None if everything else set()) for i in ids}
-        shared = spark.sparkContext.broadcast((ids, np.array(matrix, np.float64), allowed))
+    for block in range(blocks):
+        here = F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block
+        own = vectors.filter(here).orderBy("query_id").collect()
+        ids = [r["query_id"] for r in own]
+        matrix = np.array([r["v"] for r in own], np.float64)
+        at = {q: i for i, q in enumerate(ids)}
+        whole, by_meeting = np.arange(len(ids)), {}
+        if allowed is not None:
+            for r in allowed.filter(here).collect():
+                if r["query_id"] in at:
+                    by_meeting.setdefault(r["meeting_id"], []).append(at[r["query_id"]])
+            by_meeting = {m: np.array(q) for m, q in by_meeting.items()}
+            named = np.unique(np.concatenate([np.zeros(0, np.int64), *by_meeting.values()]))
+            whole = np.setdiff1d(whole, named) if fail_open else np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast((ids, matrix, whole, by_meeting))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix, allowed = shared.value
+            ids, matrix, whole, by_meeting = shared.value
+            if not ids:
+                return
+            best = _Best(len(ids), k)
+
+            def score(v: np.ndarray, keys: np.ndarray, asked: np.ndarray) -> None:
+                step = max(1, (4 << 20) // max(len(asked), 1))
+                for i in range(0, len(v), step):
+                    scores = np.round(v[i : i + step] @ matrix[asked].T, 6) + 0.0
+                    row, column = np.nonzero(scores >= best.least[asked])
+                    best.add(asked[column], scores[row, column], keys[i + row])
+
             for batch in batches:
-                if not batch.num_rows or not ids:
+                if not batch.num_rows:
                     continue
                 keys = batch.column("chunk_id").to_numpy(zero_copy_only=False)
                 v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
                 lengths = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                scores = np.round((v / np.where(lengths > 0, lengths, 1)) @ matrix.T, 6) + 0.0
-                meetings = np.array(batch.column("meeting_id").to_pylist(), object)
-                q, c, s = [], [], []
-                for j, own in enumerate(ids):
-                    at = np.arange(len(keys))
-                    if allowed is not None and allowed[own] is not None:
-                        at = np.flatnonzero([m in allowed[own] for m in meetings])
-                    best = at[np.lexsort((keys[at], -scores[at, j]))[:k]]
-                    q += [own] * len(best)
-                    c += keys[best].tolist()
-                    s += scores[best, j].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q, _arrow(schema, 0)), pa.array(c, _arrow(schema, 1)), pa.array(s, pa.float64())], ["query_id", "chunk_id", "score"])
+                v = v / np.where(lengths > 0, lengths, 1)
+                if len(whole):
+                    score(v, keys, whole)
+                if by_meeting:
+                    coded = batch.column("meeting_id").dictionary_encode()
+                    codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                    order = np.argsort(codes, kind="stable")
+                    edges = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+                    for m, a, b in zip(coded.dictionary.to_pylist(), edges[:-1], edges[1:]):
+                        if m in by_meeting:
+                            score(v[order[a:b]], keys[order[a:b]], by_meeting[m])
+            if best.key is not None and len(best.key):
+                best.prune()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], _arrow(schema, 0)), pa.array(best.key.tolist(), _arrow(schema, 1)), pa.array(best.score, pa.float64())], ["query_id", "chunk_id", "score"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -210,9 +255,21 @@ def ivf(chunks: DataFrame, queries: DataFrame, k: int, probes: int = 1, least: i
     model = KMeans(k=min(100, max(1, n // 10)), seed=seed, maxIter=10).fit(vectors)
     centres = np.array(model.clusterCenters())
     cells = model.transform(vectors).select("chunk_id", F.col("prediction").cast("string").alias("meeting_id"), "embedding")
-    near = []
-    for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", unit(F.col("embedding")).alias("v")).toLocalIterator():
-        distance = ((centres - np.array(r["v"])) ** 2).sum(axis=1)
-        near += [(r["query_id"], str(c)) for c in np.argsort(distance)[:probes].tolist()]
-    scope = chunks.sparkSession.createDataFrame(near, f"query_id {queries.schema['query_id'].dataType.simpleString()}, meeting_id string")
+    shared = chunks.sparkSession.sparkContext.broadcast(centres)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own = np.argsort((shared.value**2).sum(axis=1) - 2 * v @ shared.value.T, axis=1, kind="stable")[:, :probes]
+                ids = batch.column("query_id").take(pa.array(np.repeat(np.arange(batch.num_rows), own.shape[1])))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(own.ravel().astype(str), pa.string())], ["query_id", "meeting_id"])
+
+    asked = queries.filter(F.col("embedding").isNotNull()).select("query_id", unit(F.col("embedding")).alias("v"))
+    scope = asked.mapInArrow(nearest, f"query_id {queries.schema['query_id'].dataType.simpleString()}, meeting_id string")
     return dense(cells, queries, k, scope, fail_open=False)
+
+
+def summary_only(summaries: DataFrame, queries: DataFrame, k: int = 10, alpha: float = ALPHA) -> DataFrame:
+    """The summary level of the hierarchical search alone: hybrid search over all summaries."""
+    return hybrid(summaries, queries, k, alpha)

@@ -36,6 +36,19 @@ def detect(questions: DataFrame, participants: Column) -> DataFrame:
     return questions.withColumn("persons", matching.named_in(F.col("text"), participants)).withColumn("pronouns", pronouns(F.col("text"))).withColumn("time_terms", time_terms(F.col("text")))
 
 
+def ambiguity(questions: DataFrame, participants: Column, user: str) -> DataFrame:
+    """What detect() adds, is_ambiguous, and mapping: who or what each pronoun and part of a name stands for.
+
+    A pronoun of the first person is the user; one of the third is the only participant, if there is but one.
+    """
+    rows = detect(questions, participants)
+    real = F.filter(participants, lambda p: ~F.lower(p).isin(*matching.PLACEHOLDERS))
+    only = F.when(F.size(real) == 1, F.element_at(real, 1))
+    said = F.transform(F.array_distinct("pronouns"), lambda p: F.struct(p.alias("term"), F.when(p.isin(*FIRST_PERSON), F.lit(user)).otherwise(only).alias("meaning")))
+    named = F.transform("persons", lambda p: F.struct(p.alias("term"), p.alias("meaning")))
+    return rows.withColumn("is_ambiguous", (F.size("pronouns") > 0) | (F.size("time_terms") > 0)).withColumn("mapping", F.concat(said, named))
+
+
 def resolve(detected: DataFrame, user: str, today: str) -> DataFrame:
     """Add resolved: first-person pronouns become the user, time terms a day, and parts of names the full name.
 
@@ -65,25 +78,36 @@ def latest(text: Column, default: int = 3) -> Column:
     return F.when(found == "", F.lit(None).cast("int")).when(n != "", n.cast("int")).when(found.rlike(r"(?i)^last\s+meeting$"), 1).otherwise(default)
 
 
-def rewrite_latest(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Add rewritten and relevant_meeting_ids: the phrase for the latest meetings becomes their ids.
+def with_latest(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Add n, ids (the latest meetings in order) and rewritten, in which the phrase for them is their ids.
 
-    Other questions are unchanged, with no ids. The catalog's latest meetings are ranked once for all questions; only
-    as many rows as the largest number asked for are joined.
+    With a column person, the meetings are that person's where it is not null. The catalog's latest meetings are ranked
+    once for all questions and once for each person asked for; only as many as the largest number asked for are joined.
     """
     asked = questions.withColumn("n", latest(F.col("text")))
+    if "person" not in asked.columns:
+        asked = asked.withColumn("person", F.lit(None).cast("string"))
     most = asked.agg(F.max("n")).first()[0] or 0
-    newest = catalog.orderBy(F.desc("date"), "meeting_id").limit(most).select("meeting_id", "date")
-    ranked = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("date"), "meeting_id")))
-    ids = asked.join(ranked, F.col("place") <= F.col("n")).groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("meeting_id").cast("string").alias("id")))), lambda x: x["id"]).alias("ids"))
+    order = [F.desc("date"), F.col("meeting_id")]
+    place = F.row_number().over(Window.partitionBy("person").orderBy(*order))
+    newest = catalog.orderBy(*order).limit(most).select(F.lit(None).cast("string").alias("person"), "meeting_id", "date")
+    named = asked.filter("n is not null and person is not null").select("person").distinct()
+    theirs = catalog.select(F.explode(F.array_distinct("participants")).alias("person"), "meeting_id", "date").join(named, "person", "left_semi")
+    ranked = newest.unionByName(theirs).withColumn("place", place).filter(F.col("place") <= most)
+    keyed = asked.select("question_id", F.col("person").alias("who"), "n").filter("n is not null")
+    one = F.struct("place", F.col("meeting_id").cast("string").alias("id"))
+    ids = keyed.join(ranked, F.col("who").eqNullSafe(F.col("person")) & (F.col("place") <= F.col("n"))).groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["id"]).alias("ids"))
     joined = asked.join(ids, "question_id", "left")
-    listed = F.array_join("ids", ", ")
-    return joined.select(
-        "question_id",
-        "n",
-        F.when(F.col("ids").isNotNull(), F.regexp_replace(F.col("text"), F.lit(LATEST), F.concat(F.lit("meetings "), listed))).otherwise(F.col("text")).alias("rewritten"),
-        F.coalesce(listed, F.lit("")).alias("relevant_meeting_ids"),
-    )
+    changed = F.regexp_replace(F.col("text"), F.lit(LATEST), F.concat(F.lit("meetings "), F.array_join("ids", ", ")))
+    return joined.withColumn("rewritten", F.when(F.col("ids").isNotNull(), changed).otherwise(F.col("text")))
+
+
+def rewrite_latest(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """question_id, n, rewritten and relevant_meeting_ids: the phrase for the latest meetings becomes their ids.
+
+    Other questions are unchanged, with no ids.
+    """
+    return with_latest(questions, catalog).select("question_id", "n", "rewritten", F.coalesce(F.array_join("ids", ", "), F.lit("")).alias("relevant_meeting_ids"))
 
 
 def plan(questions: DataFrame) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .scratch import cut
 
 LEVELS = ("metadata", "summary", "meeting", "chunk")
 
@@ -30,11 +31,44 @@ def term_stats(chunks: DataFrame) -> DataFrame:
     return postings(chunks).groupBy("level", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _checked(chunks: DataFrame) -> DataFrame:
+    """The chunks; writing them fails at the first level that is none."""
+    wrong = F.raise_error(F.concat(F.lit("unknown level "), F.coalesce(F.col("level"), F.lit("null"))))
+    return chunks.withColumn("level", F.when(F.col("level").isin(*LEVELS), F.col("level")).otherwise(wrong.cast("string")))
+
+
 def save(chunks: DataFrame, path: str, dimension: int, mode: str = "overwrite") -> None:
-    """Write chunks by level, and a manifest with the vectors' dimension."""
-    chunks.write.mode(mode).partitionBy("level").parquet(f"{path}/chunks")
+    """Write a manifest with the vectors' dimension, chunks by level, their postings, and statistics of terms.
+
+    The manifest comes first: chunks without one are not an index that may be replaced, see load_or_empty.
+    """
     manifest = chunks.sparkSession.createDataFrame([(dimension,)], "dimension int")
     manifest.write.mode("overwrite").json(f"{path}/manifest")
+    _checked(chunks).write.mode(mode).partitionBy("level").parquet(f"{path}/chunks")
+    saved = chunks.sparkSession.read.parquet(f"{path}/chunks")
+    postings(saved).write.mode("overwrite").partitionBy("level").parquet(f"{path}/postings")
+    refresh(chunks.sparkSession, path)
+
+
+def refresh(spark: SparkSession, path: str) -> None:
+    """Write the statistics of the saved postings anew."""
+    saved = spark.read.parquet(f"{path}/postings")
+    saved.groupBy("level", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).write.mode("overwrite").partitionBy("level").parquet(f"{path}/statistics")
+
+
+def load_postings(spark: SparkSession, path: str) -> DataFrame:
+    """The saved postings: level, chunk_id, term, tf and length."""
+    return spark.read.parquet(f"{path}/postings")
+
+
+def load_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """The saved statistics: level, term, df and cf."""
+    return spark.read.parquet(f"{path}/statistics")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def load(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
@@ -46,11 +80,10 @@ def load(spark: SparkSession, path: str, dimension: int | None = None) -> DataFr
 
 
 def load_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The saved chunks, or an empty table where there is no index."""
-    try:
-        return load(spark, path)
-    except AnalysisException:
+    """The saved chunks, or an empty table where there are none. Chunks without a manifest are an error."""
+    if not exists(spark, f"{path}/chunks"):
         return spark.createDataFrame([], schema)
+    return load(spark, path)
 
 
 def unseen(meetings: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -59,8 +92,32 @@ def unseen(meetings: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def append(spark: SparkSession, chunks: DataFrame, path: str) -> None:
-    """Add chunks to the saved ones; statistics follow from the chunks and need no rebuild."""
-    chunks.write.mode("append").partitionBy("level").parquet(f"{path}/chunks")
+    """Add chunks and their postings to the saved ones; statistics are written anew from the postings."""
+    _checked(chunks).write.mode("append").partitionBy("level").parquet(f"{path}/chunks")
+    postings(chunks).write.mode("append").partitionBy("level").parquet(f"{path}/postings")
+    refresh(spark, path)
+
+
+def numbered(chunks: DataFrame, start: int = 0) -> DataFrame:
+    """Add ordinal: the chunk's place in order of chunk_id, from start on, without gaps and without one task for all."""
+    sorted_ = cut(chunks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = sorted_.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))
+    own = sorted_.withColumn("_part", part).join(offsets, "_part")
+    return own.withColumn("ordinal", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + start).drop("_id", "_part", "_before")
+
+
+def with_ordinals(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Add to new chunks the ordinals that follow those of the old ones (column ordinal)."""
+    last = old.agg(F.max("ordinal")).first()[0]
+    return numbered(new, 0 if last is None else last + 1)
+
+
+def inverted(chunks: DataFrame, key: str) -> DataFrame:
+    """key and chunk_ids: the chunks of each meeting or entry (key meeting_id or entry_id), in order."""
+    return chunks.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ METADATA = (
 )
 
 
+#: The files of a meeting and what names them.
+POINTERS = {"conversation_text": "related_files.transcript", "meeting_level_text": "related_files.meeting_summary", "summary_text": "related_files.summary_embedding"}
+
+
 def _split_path(df: DataFrame) -> DataFrame:
     path = F.col("_metadata.file_path")
     return df.withColumn("folder", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).withColumn("file", F.regexp_extract(path, r"([^/]+)$", 1))
@@ -48,11 +52,10 @@ def _pointed(rows: DataFrame, files: DataFrame, pointer: str, name: str) -> Data
 def load(spark: SparkSession, root: str) -> DataFrame:
     """One row for each meeting whose metadata and three files are all there.
 
-    Columns are those of the metadata with conversation_text, meeting_level_text and summary_text.
+    Columns are those of the metadata with conversation_text, meeting_level_text and summary_text. problems() lists the rest.
     """
     rows, files = metadata(spark, root), texts(spark, root)
-    pointers = {"conversation_text": "related_files.transcript", "meeting_level_text": "related_files.meeting_summary", "summary_text": "related_files.summary_embedding"}
-    for name, pointer in pointers.items():
+    for name, pointer in POINTERS.items():
         rows = rows.join(_pointed(rows, files, pointer, name), ["folder", "meeting_id"])
     return rows
 
@@ -89,17 +92,37 @@ def numbered_files(spark: SparkSession, root: str, pattern: str, start: int | No
 
 
 def paired(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of both sides with the same key, and the keys that only one side has (with the side's name)."""
-    both = left.join(right, key)
-    only = left.join(right, key, "left_anti").select(key, F.lit("left").alias("side"))
-    return both, only.unionByName(right.join(left, key, "left_anti").select(key, F.lit("right").alias("side")))
+    """Rows of both sides with the same key, and the keys that only one side has (with the side's name); one join.
+
+    Rows without a key are on their own side only.
+    """
+    joined = left.withColumn("_left", F.lit(True)).join(right.withColumn("_right", F.lit(True)), key, "full_outer")
+    both = joined.filter("_left and _right").drop("_left", "_right")
+    only = joined.filter("_left is null or _right is null").select(key, F.when(F.col("_left"), "left").otherwise("right").alias("side"))
+    return both, only
+
+
+def problems(spark: SparkSession, root: str) -> DataFrame:
+    """folder, file, reason: metadata files that cannot be read, and files that a meeting names and that are not there."""
+    read = spark.read.schema(METADATA).json(f"{root}/con*/", multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record", pathGlobFilter="metaData*.json")
+    broken = _split_path(read).filter(F.col("_corrupt_record").isNotNull() | F.col("meeting_id").isNull()).select("folder", "file", F.lit("unreadable metadata").alias("reason"))
+    rows, files = metadata(spark, root), texts(spark, root)
+    for name, pointer in POINTERS.items():
+        found = _pointed(rows, files, pointer, name).select("folder", "meeting_id")
+        broken = broken.unionByName(rows.join(found, ["folder", "meeting_id"], "left_anti").select("folder", F.col(pointer).alias("file"), F.lit(f"no file for {name}").alias("reason")))
+    return broken
 
 
 def stitched(files: DataFrame, key: str) -> DataFrame:
-    """key and the texts of its files in order of path, empty ones left out, with blank lines between."""
-    rows = files.withColumn("text", strip(F.col("text"))).filter("text <> ''")
-    ordered = F.sort_array(F.collect_list(F.struct("path", "text")))
-    return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+    """key and the texts of its files in order of path, empty ones left out, with blank lines between.
+
+    Where all are empty the text is null and error says so.
+    """
+    rows = files.withColumn("text", strip(F.col("text")))
+    full = F.when(F.col("text") != "", F.struct("path", "text"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(full)), lambda x: x["text"]), "\n\n")
+    made = rows.groupBy(key).agg(text.alias("text"))
+    return made.select(key, F.nullif("text", F.lit("")).alias("text"), F.when(F.col("text") == "", F.lit("all files are empty")).alias("error"))
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:

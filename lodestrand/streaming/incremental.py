@@ -10,11 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import index
 
 
-def follow(spark: SparkSession, folder: str, schema: str, index_path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, schema: str, index_path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], available_now: bool = True, dimension: int = 0) -> StreamingQuery:
     """Index the meetings that appear as JSON lines in a folder.
 
     chunk turns meetings into chunks (meeting_id, level, chunk_id, text, ...). A meeting that the index has is skipped,
-    so a batch that is run again after a failure adds nothing twice.
+    so a batch that is run again after a failure adds nothing twice. dimension is that of the chunks' vectors, 0 for none.
     """
 
     def add(batch: DataFrame, _: int) -> None:
@@ -23,7 +23,7 @@ def follow(spark: SparkSession, folder: str, schema: str, index_path: str, check
         indexed = index.load_or_empty(own, index_path, chunks.schema)
         fresh = index.unseen(chunks, indexed)
         if indexed.isEmpty():
-            index.save(fresh, index_path, 0)
+            index.save(fresh, index_path, dimension)
         else:
             index.append(own, fresh, index_path)
 
