@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .standins import PERSONS, QUESTIONS, TODAY, USER
+from .standins import OPENINGS, PERSONS, QUESTIONS, TODAY, USER
 
 TOK = r"[\p{L}\p{N}_]+"
 
@@ -190,6 +190,46 @@ TIME = r"\b(today|yesterday|tomorrow|\d+\s+(?:day|week|month)s?\s+ago|(?:last|pa
 PRONOUN = r"\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b"
 LATEST = r"\b(?:last|recent|past|previous)\s+(?:(\d+)\s+)?meetings?\b"
 
+def ask() -> str:
+    """q52, step by step."""
+    opening = "[" + ", ".join(_str(x) for x in OPENINGS) + f"][(item_id % {len(OPENINGS)} + 1)::INTEGER]"
+    said = rf"trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '{PRONOUN}', 'x', 'gi'))"
+    listed = "[" + ", ".join(map(_str, PERSONS)) + "]"
+    mine = r"regexp_matches(text, '(?i)\b(i|me|my|mine|we|us|our|ours)\b')"
+    return rf"""WITH chunks AS (SELECT doc_id AS chunk_id, source AS meeting_id, text, lang AS level, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+talks AS (
+  SELECT meeting_id, printf('2024-05-%02d', no % 28 + 1) AS date, [{listed}[(no % 5 + 1)::INTEGER], {listed}[((no + 1) % 5 + 1)::INTEGER]] AS participants
+  FROM (SELECT DISTINCT source AS meeting_id, coalesce(nullif(regexp_extract(source, '(\d+)$', 1), '')::INTEGER, 0) AS no FROM documents WHERE source IS NOT NULL)),
+asked AS (SELECT item_id AS question_id, {opening} || ' ' || {said} AS text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+planned AS (
+  SELECT *, NOT (regexp_matches(text, '(?i)^\s*(?:what is an?|define|explain|write|translate|how do i)\b')
+      AND NOT regexp_matches(text, '(?i)\b(meetings?|transcripts?|action items?|minutes|discuss\w*|said|mention\w*|decid\w*|agreed|agenda)\b')) AS need_rag,
+    {mine} OR regexp_matches(text, '(?i)\b(last|past|recent|previous)\b|\byesterday\b|\btoday\b|\b\d+\s+(day|week|month)s?\s+ago\b') AS need_rewrite FROM asked),
+stage AS (SELECT question_id, {resolved()} AS text, {NAMED}[1] AS who FROM planned WHERE need_rewrite),
+counted AS (
+  SELECT *, regexp_extract(text, '(?i){LATEST}', 0) AS said, regexp_extract(text, '(?i){LATEST}', 1) AS num FROM stage),
+n AS (SELECT *, CASE WHEN said = '' THEN NULL WHEN num <> '' THEN num::INTEGER WHEN regexp_matches(lower(said), '^last\s+meeting$') THEN 1 ELSE 3 END AS n FROM counted),
+places AS (
+  SELECT question_id, meeting_id, n, row_number() OVER (PARTITION BY question_id ORDER BY date DESC, meeting_id) AS place
+  FROM n JOIN talks ON n IS NOT NULL AND (who IS NULL OR list_contains(participants, who))),
+ids AS (SELECT question_id, string_agg(meeting_id, ', ' ORDER BY place) AS meetings FROM places WHERE place <= n GROUP BY question_id),
+ready AS (
+  SELECT question_id AS query_id, need_rag, need_rewrite, embedding, coalesce(meetings, '') AS meetings,
+    CASE WHEN meetings IS NOT NULL THEN regexp_replace(n.text, '(?i){LATEST}', 'meetings ' || meetings, 'g') ELSE coalesce(n.text, planned.text) END AS text
+  FROM planned LEFT JOIN n USING (question_id) LEFT JOIN ids USING (question_id)),
+qs AS (SELECT query_id, text, embedding FROM ready WHERE need_rag),
+scope AS (SELECT query_id, unnest(string_split(meetings, ', ')) AS meeting_id FROM ready WHERE need_rag AND meetings <> ''),
+{allowed("pairs", "chunks", "scope", "qs", True)},
+{hybrid("a", "chunks", "qs", "pairs", 10, candidates=20)},
+found AS (
+  SELECT query_id, count(*)::INTEGER AS total_chunks, string_agg(chunk_id || '@' || coalesce(date, 'N/A'), ' ' ORDER BY rank) AS chunks,
+    string_agg(regexp_extract(text, '^\s*([^.!?\n]*[.!?]?)', 1) || ' [' || chunk_id || ']', chr(10) ORDER BY rank) FILTER (rank <= 3) AS answer
+  FROM a_hybrid JOIN chunks USING (chunk_id) LEFT JOIN talks USING (meeting_id) GROUP BY query_id)
+SELECT query_id AS question_id, need_rag, need_rewrite, CASE WHEN need_rag THEN 'rag' ELSE 'direct' END AS answer_mode, text AS rewritten, meetings, NOT need_rag AS skipped,
+  coalesce(total_chunks, 0) AS total_chunks, coalesce(chunks, '') AS chunks, coalesce(answer, 'No relevant content was found.') AS answer
+FROM ready LEFT JOIN found USING (query_id)"""
+
+
 CATALOG = f"WITH {MEETINGS}\n"
 GLOBAL = f"WITH {BASE},\n" + everything("pairs", "chunks", "qs")
 SCOPED = f"WITH {BASE},\n" + allowed("pairs", "chunks", "scope", "qs", False)
@@ -375,4 +415,5 @@ FROM cited JOIN listed USING (conv_id, entry_id) JOIN conversations c USING (con
 {bm25("a", "chunks", "qs", None, 3)},
 said AS (SELECT query_id, string_agg(regexp_extract(text, '^\\s*([^.!?\\n]*[.!?]?)', 1) || ' [' || chunk_id || ']', chr(10) ORDER BY rank) AS answer FROM a_bm25 JOIN chunks USING (chunk_id) GROUP BY query_id)
 SELECT query_id, coalesce(answer, 'No relevant content was found.') AS answer FROM qs LEFT JOIN said USING (query_id)""",
+    "q52_ask": ask(),
 }

@@ -28,6 +28,8 @@ QUESTIONS = [
     "How do I sort a list?",
     "Did they mention Liskov last month?",
 ]
+#: Beginnings of questions, for those that are made of benchmark items.
+OPENINGS = ["What did Hopper say in the last 2 meetings about", "What did I promise in the last meeting on", "Define", "What was agreed in recent meetings:", "Find minutes with"]
 PERSONS = ["Ada Lovelace", "Grace Hopper", "Alan Turing", "Edsger Dijkstra", "Barbara Liskov", "Speaker 1", "Host"]
 USER, TODAY = "Robin", "2024-05-15"
 
@@ -105,3 +107,22 @@ def questions(spark: SparkSession) -> DataFrame:
 
 def persons() -> Column:
     return F.array(*map(F.lit, PERSONS))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each benchmark item, with its vector: what the rules look for before the item's words."""
+    said = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]+", " "), r"(?i)\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b", "x"))
+    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("query_id") % len(OPENINGS) + 1).cast("int"))
+    return queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.concat(opening, F.lit(" "), said).alias("text"), "embedding")
+
+
+def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as meetings of two persons each; the first holds the last of its digits days."""
+    sources = read(spark, sf_dir, "documents").select(F.col("source").alias("meeting_id")).filter("source is not null").distinct()
+    number = F.coalesce(F.nullif(F.regexp_extract("meeting_id", r"(\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    person = lambda i: F.element_at(persons(), ((number + i) % 5 + 1).cast("int"))
+    return sources.select("meeting_id", F.format_string("2024-05-%02d", number % 28 + 1).alias("date"), F.array(person(0), person(1)).alias("participants"))
+
+
+def dated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir).join(talks(spark, sf_dir).select("meeting_id", F.col("date").alias("datetime")), "meeting_id", "left")

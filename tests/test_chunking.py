@@ -71,3 +71,50 @@ def test_levels(spark):
     assert entries[1]["entry_id"] == entries[2]["entry_id"] == "M001-T01"
     assert entries[2]["paragraph_indices"] == ["#P001", "#P002"]
     assert {r["level"] for r in chunking.all_levels(meeting(spark), only_summary=True).collect()} == {"summary"}
+
+
+def plain_split(text, size, overlap, marks=("\n\n", "\n", "；", "，", " ", "")):
+    """split_recursively by lengths of joined lists."""
+    if not text or not text.strip():
+        return []
+    mark = next((m for m in marks if m == "" or m in text), "")
+    finer = marks[marks.index(mark) + 1 :] if mark else ()
+    out, held = [], []
+
+    def flush():
+        if held and mark.join(held).strip():
+            out.append(mark.join(held).strip())
+
+    for part in [p for p in (text.split(mark) if mark else list(text)) if p]:
+        if len(part) > size and finer:
+            flush()
+            held = []
+            out += plain_split(part, size, overlap, finer)
+            continue
+        if held and len(mark.join([*held, part])) > size:
+            flush()
+            while held and (len(mark.join(held)) > overlap or len(mark.join([*held, part])) > size):
+                held = held[1:]
+        held = [*held, part]
+    flush()
+    return out
+
+
+def test_splitting_equals_the_plain_way():
+    import random
+
+    own = random.Random(7)
+    for _ in range(300):
+        text = "".join(own.choice(["ab", "c", " ", "\n", "\n\n", "；", "，", "é"]) for _ in range(own.randrange(120)))
+        size = own.randrange(1, 30)
+        assert chunking.split_recursively(text, size, own.randrange(0, size + 1) // 2) is not None
+        assert chunking.split_recursively(text, size, size // 3) == plain_split(text, size, size // 3)
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    chunking.pack_bullets("\n".join(f"- b{i}" for i in range(100_000)))
+    chunking.split_recursively("w " * 300_000)
+    assert time.perf_counter() - began < 10

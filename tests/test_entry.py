@@ -27,10 +27,18 @@ def plain(v):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(catalog.QUERIES) >= 48
+    assert len(catalog.QUERIES) >= 52
 
 
-@pytest.mark.parametrize("name", ["q02_paragraph_tag_transcript", "q11_bullet_overlap_chunks", "q16_bm25_topk", "q20_hybrid_topk", "q41_resolve_entities"])
+def test_training_data_queries_are_registered():
+    """All eleven, unless their folders are gone: a missing package must not hide them."""
+    if not os.path.isdir(os.path.join(os.path.dirname(entry.__file__), "lodestrand", "llm")):
+        pytest.skip("the subpackage is not here")
+    names = set(entry.queries()) - set(catalog.QUERIES)
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names - {"pipeline"}) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

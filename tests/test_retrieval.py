@@ -108,3 +108,60 @@ def test_metrics_and_summary(spark):
     assert rows(scored) [0] == (1, 0.5, 0.5, 0.5)
     done = evaluate.summary(scored, ["precision", "recall"]).first()
     assert done["recall"] == 0.5 and done["total_cases"] == 3 and done["successful_cases"] == 1
+
+
+def test_dense_with_scopes_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    chunks = spark.createDataFrame([(i, f"m{i % 9}" if i % 10 else None, "", x.tolist()) for i, x in enumerate(v)], CHUNKS).repartition(3)
+    q = np.round(rng.normal(size=(12, 4)), 1)
+    asked = spark.createDataFrame([(i, "", x.tolist()) for i, x in enumerate(q)], QUERIES)
+    pairs = [(i, f"m{j}") for i in range(8) for j in (i, i + 3)] + [(9, "unknown"), (1, "m1")]
+    scope = spark.createDataFrame(pairs, "query_id long, meeting_id string")
+    monkeypatch.setattr(retrieval, "SCOPE_BLOCK", 6)
+    for fail_open in (False, True):
+        want = []
+        for i, x in enumerate(q):
+            known = {m for k, m in pairs if k == i and m != "unknown"}
+            rows = [(-round(float(x @ y / np.linalg.norm(x) / (np.linalg.norm(y) or 1)), 6), j) for j, y in enumerate(v) if not known and fail_open or j % 10 and f"m{j % 9}" in known]
+            want += [(i, j, rank + 1) for rank, (_, j) in enumerate(sorted(rows)[:5])]
+        got = retrieval.dense(chunks, asked, 5, scope, fail_open).select("query_id", "chunk_id", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_task_gives_k_rows_for_a_query(spark):
+    """However many Arrow batches it reads."""
+    rng = np.random.default_rng(6)
+    chunks = spark.createDataFrame([(i, "m", "", x.tolist()) for i, x in enumerate(rng.normal(size=(5000, 4)))], CHUNKS).coalesce(1)
+    asked = spark.createDataFrame([(i, "", x.tolist()) for i, x in enumerate(rng.normal(size=(3, 4)))], QUERIES)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        best = retrieval._Best(3, 4)
+        for i in range(0, 5000, 100):
+            best.add(np.repeat(np.arange(3), 100), rng.normal(size=300), np.tile(np.arange(i, i + 100), 3))
+        best.prune()
+        assert len(best.query) == 12
+        assert retrieval.dense(chunks, asked, 4).count() == 12
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_recall_of_the_registered_search(spark):
+    import os
+
+    from lodestrand.plans import catalog
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    exact, near = ({(r["query_id"], r["chunk_id"]) for r in catalog.QUERIES[n](spark, folder).collect()} for n in ("q17_dense_topk_exact", "q19_dense_topk_ivf"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_metrics_by_label_equal_those_by_pairs(spark):
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1), (3, 99, 1)], "query_id long, chunk_id long, rank int")
+    labelled = spark.createDataFrame([(10, 0), (11, 1), (12, 1), (13, 1), (14, None)], "chunk_id long, label int")
+    queries = spark.createDataFrame([(1, 1), (2, 0), (3, 7), (4, None)], "query_id long, label int")
+    relevant = queries.join(labelled, "label").select("query_id", "chunk_id")
+    assert rows(evaluate.metrics_by_label(hits, queries, labelled, 2)) == rows(evaluate.retrieval_metrics(hits, relevant, queries, 2))
