@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: A Python worker looks at this many bytes of text at once; a longer text is a piece of its own.
 PIECE_BYTES = 2 << 20
 
@@ -31,9 +35,9 @@ def tune(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the test tables, with the session tuned for text."""
+    """One of the test tables, with the session tuned for text; small tables are dealt to all cores."""
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 class Scratch:
@@ -64,6 +68,21 @@ class Scratch:
             self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(path)
 
+    @staticmethod
+    def sweep(spark: SparkSession, hours: float) -> int:
+        """Remove the folders of runs that wrote nothing for so many hours, and say how many; for use between runs.
+
+        Tables that a result still reads stay until its reader is done, which no operator can know.
+        """
+        sc = spark.sparkContext
+        base = sc._jvm.org.apache.hadoop.fs.Path(Scratch(spark, "sweep").folder).getParent()
+        fs = base.getFileSystem(sc._jsc.hadoopConfiguration())
+        old = int((time.time() - hours * 3600) * 1000)
+        gone = [s.getPath() for s in (fs.listStatus(base) if fs.exists(base) else []) if s.isDirectory() and re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", s.getPath().getName()) and s.getModificationTime() < old]
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
     def drop(self, *names: str) -> None:
         """Remove tables of this folder."""
         sc = self.spark.sparkContext
