@@ -23,7 +23,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is recognised; those without letters or with a score below one half go."""
+    """Documents in which some language is recognised; those without letters or with a score below one half go.
+
+    Null and empty texts have no letters. Rows without a language do not train; null ids and repeated rows are judged
+    by their text like any other.
+    """
     tune(spark)
     model = langid.fit(docs, sample_chars=1_500_000)
     found = langid.identify(docs, model, keep=tuple(COLUMNS))
@@ -50,14 +54,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without windows of 35 words that stand in more than one place."""
+    """Texts without windows of 35 words that stand in more than one place.
+
+    All documents stay, one without words left with an empty text, and a null text becomes empty; repeated rows are
+    documents of their own, so their windows repeat.
+    """
     tune(spark)
     kept = substring.repeated(docs, length=35, keep=("lang", "source"))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: weights 1, 2, 3 over the sources, each at most three times."""
+    """Documents as often as the mix takes them: weights 1, 2, 3 over the sources, each at most three times.
+
+    Documents without words are never taken. A null source is a source of its own; repeated rows are taken together.
+    """
     tune(spark)
     taken = mixing.mix(docs, weights=(1, 2, 3), share=1.0, most=3.0, keep=("text", "lang", "n_chars"))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
@@ -65,7 +76,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens; a null or empty text is the end id alone."""
     tune(spark)
     return packing.pack(docs, tokenizer_path(), size=1024, end_id=2)
 
