@@ -24,6 +24,8 @@ from ..sources.scratch import cut
 K1, B, EPSILON, ALPHA = 1.5, 0.75, 0.25, 0.6
 #: Queries whose vectors one pass over the chunks holds; more queries make more passes.
 QUERY_BLOCK = 4096
+#: Pairs of corpus and meeting that are sent to every task; more of them are joined by exchange.
+FEW_MEMBERS = 100_000
 #: Pairs of query and allowed meeting that one pass holds.
 SCOPE_BLOCK = 2_000_000
 
@@ -153,42 +155,61 @@ def scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, fail_open: b
     return scope.select("query_id", "meeting_id").distinct().join(meetings, "meeting_id", "left_semi")
 
 
+def _meeting_key(c: Column) -> Column:
+    """A meeting id that is never null."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def corpora(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None, fail_open: bool) -> tuple[DataFrame, DataFrame]:
-    """Chunks with a corpus column, once for each distinct scope, and queries with the corpus that each one searches."""
+    """corpus and meeting (a key) of each distinct scope's meetings, and queries with the corpus that each one searches.
+
+    Without a scope there is one corpus with one meeting of all chunks. Corpora are numbered, 0 is that of all chunks.
+    """
     if scope is None:
-        return chunks.withColumn("corpus", F.lit("")), queries.withColumn("corpus", F.lit(""))
-    sets = scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.sort_array(F.collect_set(F.col("meeting_id").cast("string"))).alias("meetings"))
-    sets = sets.withColumn("corpus", F.concat(F.lit("="), F.array_join("meetings", "\u0001")))
-    own = queries.join(sets.select("query_id", "corpus"), "query_id", "left")
-    own = own.withColumn("corpus", F.coalesce("corpus", F.lit(""))) if fail_open else own.filter(F.col("corpus").isNotNull())
-    members = sets.select("corpus", F.explode("meetings").alias("meeting")).distinct()
-    copies = chunks.join(members, chunks["meeting_id"].cast("string") == members["meeting"]).drop("meeting")
-    if fail_open:
-        whole = own.filter("corpus = ''").select("corpus").distinct()
-        copies = copies.unionByName(chunks.join(whole, F.lit(True), "inner"))
-    return copies, own
+        return chunks.sparkSession.createDataFrame([(0, "")], "corpus long, meeting string"), queries.withColumn("corpus", F.lit(0).cast("long"))
+    sets = scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.sort_array(F.collect_set(_meeting_key(F.col("meeting_id")))).alias("meetings"))
+    numbered = cut(sets.select("meetings").distinct().withColumn("corpus", F.monotonically_increasing_id() + 1))
+    own = queries.join(sets.join(numbered, "meetings").select("query_id", "corpus"), "query_id", "left")
+    own = cut(own.withColumn("corpus", F.coalesce("corpus", F.lit(0))) if fail_open else own.filter(F.col("corpus").isNotNull()))
+    members = numbered.select("corpus", F.explode("meetings").alias("meeting"))
+    if fail_open and not own.filter("corpus = 0").isEmpty():
+        members = members.unionByName(chunks.select(F.lit(0).cast("long").alias("corpus"), _meeting_key(F.col("meeting_id")).alias("meeting")).distinct())
+    members = cut(members)
+    return F.broadcast(members) if members.count() <= FEW_MEMBERS else members, own
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None = None, fail_open: bool = False) -> DataFrame:
     """query_id, chunk_id, score, rank: the k chunks with the largest positive BM25 score.
 
     idf(t) = ln(N - n + 0.5) - ln(n + 0.5); a negative one becomes EPSILON times the mean over all terms of the corpus.
-    Statistics are those of the query's corpus. Only tokens that some query has are counted by chunk; the join with
-    the query terms comes before the first exchange.
+    Statistics are those of the query's corpus: they are summed by meeting, and meetings are summed into corpora, so no
+    text is read once for each scope. Only tokens that some query has are counted by chunk; the join with the query
+    terms comes before the first exchange.
     """
-    copies, own = corpora(queries, chunks, scope, fail_open)
-    texts = copies.select("corpus", "chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-    sizes = texts.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    df = texts.select("corpus", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    idf = df.join(sizes, "corpus").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.groupBy("corpus").agg((EPSILON * F.avg("raw")).alias("floor"))
+    members, own = corpora(queries, chunks, scope, fail_open)
+    meeting = F.lit("") if scope is None else _meeting_key(F.col("meeting_id"))
+    texts = chunks.select(meeting.alias("meeting"), "chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
+
+    def in_corpora(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("corpus", F.lit(0).cast("long")) if scope is None else rows.join(members, "meeting")
+
+    sizes = in_corpora(texts.groupBy("meeting").agg(F.count("*").alias("n"), F.sum("length").alias("length")))
+    sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+    df = in_corpora(texts.select("meeting", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("meeting", "term").agg(F.count("*").alias("df")))
+    if scope is not None:
+        df = df.groupBy("corpus", "term").agg(F.sum("df").alias("df"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # Terms with one count have one weight, so the mean over all terms is that over the counts, which are few.
+    counts = df.groupBy("corpus", "df").agg(F.count("*").alias("terms")).join(sizes, "corpus")
+    floor = counts.groupBy("corpus").agg((EPSILON * F.sum(raw * F.col("terms")) / F.sum("terms")).alias("floor"))
     asked = own.select("query_id", "corpus", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("times"))
     terms = asked.select("corpus", "term").distinct()
-    weights = idf.join(terms, ["corpus", "term"], "left_semi").join(floor, "corpus").select("corpus", "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    tf = texts.select("corpus", "chunk_id", "length", F.explode("tokens").alias("term")).join(terms, ["corpus", "term"], "left_semi")
-    tf = tf.groupBy("corpus", "chunk_id", "length", "term").agg(F.count("*").alias("tf"))
+    weights = df.join(terms, ["corpus", "term"], "left_semi").join(sizes, "corpus").join(floor, "corpus")
+    weights = weights.select("corpus", "term", "mean_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
+    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = in_corpora(tf.groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = tf.join(weights, ["corpus", "term"]).join(sizes.select("corpus", "mean_length"), "corpus").select("corpus", "term", "chunk_id", part.alias("part"))
+    scored = tf.join(weights, ["corpus", "term"]).select("corpus", "term", "chunk_id", part.alias("part"))
     hits = scored.join(asked, ["corpus", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
     return top(hits.filter("score > 0"), k)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
+
 #: Questions, persons and the day they are asked; the tables' invented prose has nothing for rules to find.
 QUESTIONS = [
     "What did I promise in the last meeting?",
@@ -34,8 +36,13 @@ PERSONS = ["Ada Lovelace", "Grace Hopper", "Alan Turing", "Edsger Dijkstra", "Ba
 USER, TODAY = "Robin", "2024-05-15"
 
 
+#: Tables of texts, whose rows cost more than reading them does.
+TEXTS = ("documents", "conversations", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
