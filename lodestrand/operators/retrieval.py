@@ -24,6 +24,8 @@ from ..sources.scratch import cut
 K1, B, EPSILON, ALPHA = 1.5, 0.75, 0.25, 0.6
 #: Queries whose vectors one pass over the chunks holds; more queries make more passes.
 QUERY_BLOCK = 4096
+#: Terms of queries that are sent to every task; more of them are joined by exchange.
+FEW_TERMS = 200_000
 #: Pairs of corpus and meeting that are sent to every task; more of them are joined by exchange.
 FEW_MEMBERS = 100_000
 #: Pairs of query and allowed meeting that one pass holds.
@@ -206,11 +208,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     terms = asked.select("corpus", "term").distinct()
     weights = df.join(terms, ["corpus", "term"], "left_semi").join(sizes, "corpus").join(floor, "corpus")
     weights = weights.select("corpus", "term", "mean_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
-    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = in_corpora(tf.groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
+    # The queries' terms go to the chunks, if they are few; then a chunk's scores are summed where its tokens are.
+    asked = cut(asked.join(weights, ["corpus", "term"]))
+    spread = F.broadcast if asked.count() <= FEW_TERMS else lambda rows: rows
+    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(spread(asked.select("term").distinct()), "term", "left_semi")
+    tf = in_corpora(tf.repartition("chunk_id").groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = tf.join(weights, ["corpus", "term"]).select("corpus", "term", "chunk_id", part.alias("part"))
-    hits = scored.join(asked, ["corpus", "term"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+    scored = tf.join(spread(asked), ["corpus", "term"]).select("query_id", "chunk_id", (part * F.col("times")).alias("part"))
+    hits = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(hits.filter("score > 0"), k)
 
 
