@@ -66,6 +66,7 @@ class Scratch:
         if release:
             gc.collect()
             self.spark.sparkContext._jvm.System.gc()
+        give_back()
         return self.spark.read.schema(schema).parquet(path)
 
     @staticmethod
@@ -109,8 +110,10 @@ def deals(rows: DataFrame, column: str, size: int = 256 << 20) -> int:
     return max(partitions(rows.sparkSession), -(-total // size))
 
 
-def release() -> None:
-    """Give memory that earlier batches used back to the system: workers are kept and share an executor's memory."""
+def give_back() -> None:
+    """Give memory that earlier batches or steps used back to the system: workers are kept and share an executor's
+    memory, as the driver's Python shares its own with the JVM.
+    """
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -121,7 +124,7 @@ def release() -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in slices of about limit bytes of one string column, in order."""
     for batch in batches:
-        release()
+        give_back()
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

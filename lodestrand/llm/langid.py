@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, named_apart, slices
+from .common import Scratch, give_back, named_apart, slices
 
 LONGEST = 5
 UNKNOWN = "und"
@@ -129,7 +129,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     drawn = sample(rows, sample_chars)
     words = drawn.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
-    return Model.fit(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")))))
+    model = Model.fit(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")))))
+    del counts
+    give_back()
+    return model
 
 
 def sample(rows: DataFrame, sample_chars: int) -> DataFrame:

@@ -214,13 +214,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     signed = scratch.save(sign(docs, id_col, text_col), "signed")
-    rows = scratch.save(signed.select("doc_id", "text_hash", "n_shingles", "own"), "rows", release=False)
+    rows = scratch.save(signed.select("doc_id", "text_hash", "n_shingles", "own"), "rows")
     # A class has an id of its own; it is written once and then read, so the ids stay.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first")
     classes = signed.filter("n_shingles > 0").groupBy("own").agg(least, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("low").alias("low"))
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     scratch.drop("signed")
-    names = scratch.save(classes.select("node", "own", "first"), "names", release=False)
+    names = scratch.save(classes.select("node", "own", "first"), "names")
     bucketed = classes.select("node", "n", F.explode("bands").alias("bucket"))
     several = bucketed.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).filter("m > 1").drop("m")
     members = scratch.save(several, "members")
@@ -236,9 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, links = None, None
     for step in ("first", "second"):
         pairs = _leader_pairs(members, labels, percent)
-        found = scratch.save(confirm(pairs, texts, percent), f"{step}-links", release=False)
+        found = scratch.save(confirm(pairs, texts, percent), f"{step}-links")
         links = found if links is None else links.union(found)
-        labels = scratch.save(components(links, scratch, step), f"{step}-labels", release=False)
+        labels = scratch.save(components(links, scratch, step), f"{step}-labels")
     apart = _apart(members, labels, met)
     found = scratch.save(confirm_groups(compare(apart, percent), texts, percent), "last-links")
     labels = scratch.save(components(links.union(found), scratch, "last"), "last-labels")

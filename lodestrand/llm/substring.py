@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, Spans, Words, named_apart, partitions, release, slices
+from .common import Rolling, Scratch, Spans, Words, give_back, named_apart, partitions, slices
 
 #: Bytes of text in a shard and in a bucket of shards, words in an anchor, and windows in a passage.
 SHARD_BYTES, BUCKET_BYTES, ANCHOR, PASSAGE = 2 << 20, 256 << 20, 8, 64
@@ -250,7 +250,7 @@ def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), _signed(keys), pa.array(counts.astype(np.int32))], ["shard", "hash", "n"])
 
     def find_windows(docs: pa.Table, anchors: pa.Table) -> pa.Table:
-        release()
+        give_back()
         known = np.sort(anchors.column("hash").to_numpy().view(np.uint64)) if anchors.num_rows else np.zeros(0, np.uint64)
         windows = Windows(_one(docs, "text"), length, bits=bits)
         made = passages(windows, _among(windows.anchors()[0], known))
@@ -259,7 +259,7 @@ def repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col
         return pa.table({"shard": pa.array(np.full(made.num_rows, number, np.int32)), "place": pa.array(place.astype(np.int64)), "said": made.column("said"), "hashes": made.column("hashes"), "many": made.column("many")})
 
     def remove(docs: pa.Table, known: pa.Table) -> pa.Table:
-        release()
+        give_back()
         texts = _one(docs, "text")
         windows = Windows(texts, length, bits=bits)
         masks, own = (known.column(c).to_numpy() if known.num_rows else np.zeros(0, np.int64) for c in ("mask", "own"))
