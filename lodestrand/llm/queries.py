@@ -134,5 +134,17 @@ chosen AS (
 SELECT doc_id, source, size, source_size, target,
        (size * (rounds + CASE WHEN upto <= budget OR (upto - here <= budget AND upto - budget < budget - (upto - here)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM chosen
+""",
+    "op9_chat_parts": """
+WITH turns AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS said
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn NULLS FIRST, role, said)) AS turns_sha256,
+       coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(16 + length(role || said) + length(regexp_replace(role || said, '[^][<>|\\\\]', '', 'g')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id, alone
 """,
 }

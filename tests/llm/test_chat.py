@@ -61,23 +61,17 @@ def test_odd_parts(spark):
     assert next(r for r in chat.read_back(chat.format_conversations(df)).collect() if r["conv_id"] == 1)["n_turns"] == 2
 
 
-def test_query_equals_sql(spark):
-    """All that the query says of the turns, from the table alone."""
-    import os
-
+def test_query_equals_sql(spark, tmp_path):
+    """The query's rows equal its SQL, control characters, nulls, ties and rows without an id included."""
     import duckdb
 
     from lodestrand.llm import queries
 
-    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-    if not os.path.isdir(folder):
-        pytest.skip("no test tables")
-    want = duckdb.sql(f"""
-        WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS said FROM '{folder}/conversations.parquet'
-                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-        SELECT conv_id, count(*), sha256(string_agg(role || chr(10) || said || chr(10), '' ORDER BY turn)),
-               coalesce(sum(length(said)) FILTER (role = 'assistant'), 0)::BIGINT,
-               sha256(coalesce(string_agg(said, '' ORDER BY turn) FILTER (role = 'assistant'), ''))
-        FROM t GROUP BY conv_id""").fetchall()
-    got = queries.QUERIES["op9_chat_parts"](spark, folder).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    rows = [(1, 0, "user", "a\\b]c[d|e<f>g"), (1, 1, "assistant", "\\0\\"), (1, 1, "assistant", "\\0\\"), (1, None, None, None), (2, 0, "assistant", "\u00e9\U0001f600\n"), (None, 0, "user", "x"), (None, 0, "assistant", "x"), (3, 0, "]\n</s>", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op9_chat_parts"])
+    got = queries.QUERIES["op9_chat_parts"](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
