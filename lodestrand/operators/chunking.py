@@ -1,7 +1,8 @@
 """Chunking: paragraph numbers, sections, entries, bullet packing and recursive splitting, by level.
 
-Line-wise steps are windows over (document, line number). The two splitters fold over a text from left to right; they
-are Arrow functions from a text to an array of texts.
+Sections and entries are cut within a row, so no line moves between tasks; paragraph numbers are windows over
+(document, line number). The two splitters fold over a text from left to right; they are Arrow functions from a text to
+an array of texts.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from ..functions import text as T
 LIMIT = 1200
 
 
+#: A line that begins an entry, and a stripped line that begins a section.
+ENTRY_HEAD = r"[ \r\t]*-[^\S\n]*\*\*(?:Topic Title|Responsible Person):\*\*"
+SECTION_HEAD = r"##[^\S\n]+[^\n]"
+
+
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, line_no (from 0) and line of each line; a null text has none."""
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
@@ -48,11 +54,8 @@ def entries(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     What stands before the first is an entry of its own.
     """
-    rows = lines(docs, key, text).withColumn("head", T.strip(F.col("line")).rlike(r"^-\s*\*\*(Topic Title|Responsible Person):\*\*"))
-    running = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = rows.withColumn("entry_no", F.sum((F.col("head") | (F.col("line_no") == 0)).cast("int")).over(running).cast("int"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return numbered.groupBy(key, "entry_no").agg(joined.alias("entry"))
+    cut = docs.select(key, F.posexplode(F.split(F.col(text), rf"\n(?={ENTRY_HEAD})")).alias("place", "entry"))
+    return cut.select(key, (F.col("place") + 1).alias("entry_no"), "entry")
 
 
 def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -61,13 +64,17 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Lines are stripped and blank ones dropped, the rest joined by two spaces and a line break; what comes before the
     first header is section Unknown, if it has content.
     """
-    rows = lines(docs, key, text).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
-    head = F.col("line").rlike(r"^##\s+[^\n]+")
-    running = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    title = F.when(head, T.strip(F.regexp_replace("line", r"^##\s+", "")))
-    numbered = rows.withColumn("section_no", F.sum(head.cast("int")).over(running).cast("int")).withColumn("section", F.coalesce(F.last(title, ignorenulls=True).over(running), F.lit("Unknown"))).filter(~head)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "  \n")
-    return numbered.groupBy(key, "section_no", "section").agg(joined.alias("body"))
+    full = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: T.strip(x)), lambda x: x != "")
+    rows = docs.select(key, F.array_join(full, "\n").alias("full"))
+    # What a row gives once is computed before its pieces become rows, so that no piece carries the whole text.
+    pieces = rows.select(key, F.col("full").rlike(rf"^{SECTION_HEAD}").cast("int").alias("first"), F.split("full", rf"\n(?={SECTION_HEAD})").alias("pieces"))
+    cut = pieces.select(key, "first", F.posexplode("pieces").alias("place", "piece"))
+    head = F.col("piece").rlike(rf"^{SECTION_HEAD}")
+    title = T.strip(F.regexp_replace(F.substring_index("piece", "\n", 1), r"^##\s+", ""))
+    below = F.regexp_extract("piece", r"^[^\n]*\n([\s\S]*)$", 1)
+    body = F.replace(F.when(head, below).otherwise(F.col("piece")), F.lit("\n"), F.lit("  \n"))
+    named = cut.select(key, (F.col("place") + F.col("first")).alias("section_no"), F.when(head, title).otherwise(F.lit("Unknown")).alias("section"), body.alias("body"))
+    return named.filter("body <> ''")
 
 
 def _segments(text: str) -> tuple[list[str], list[bool]]:
@@ -185,14 +192,15 @@ def meeting_level(meetings: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     Every part of an entry has the whole entry's id, reference and paragraphs.
     """
-    cut = sections(meetings, "meeting_id", "meeting_level_text").withColumn("at", F.struct("meeting_id", "section_no", "section"))
+    named = meetings.select(F.struct("meeting_id", "title", "datetime").alias("of"), "meeting_level_text")
+    cut = sections(named, "of", "meeting_level_text").withColumn("at", F.struct("of", "section_no", "section"))
     listed = entries(cut, "at", "body").withColumn("entry_key", T.entry_id(F.col("entry"))).withColumn("reference", T.entry_reference(F.col("entry")))
     parts = F.when(F.length("entry") > limit, bullet_chunks(F.col("entry"), limit)).otherwise(F.array("entry"))
     exploded = listed.filter(T.strip(F.col("entry")) != "").select("at", "entry_no", "entry_key", "reference", F.posexplode(parts).alias("part_no", "part"))
-    order = Window.partitionBy("at.meeting_id").orderBy("at.section_no", "entry_no", "part_no")
-    numbered = exploded.withColumn("n", F.row_number().over(order) - 1).select("at.meeting_id", "at.section", "entry_key", "reference", "n", "part")
+    order = Window.partitionBy("at.of.meeting_id").orderBy("at.section_no", "entry_no", "part_no")
+    numbered = exploded.withColumn("n", F.row_number().over(order) - 1).select("at.of.*", "at.section", "entry_key", "reference", "n", "part")
     paragraphs = F.coalesce(T.paragraph_range(F.col("reference")), F.array().cast("array<string>"))
-    return numbered.join(meetings.select("meeting_id", "title", "datetime"), "meeting_id").select(
+    return numbered.select(
         "meeting_id",
         F.lit("meeting").alias("level"),
         F.concat("meeting_id", F.lit("_meeting_"), F.col("n").cast("string")).alias("chunk_id"),

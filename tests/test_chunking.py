@@ -1,3 +1,6 @@
+import random
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,7 +51,51 @@ def test_paragraph_numbers(spark):
     starts = [(r["line"], r["paragraph"]) for r in rows.filter("is_start").orderBy("id", "line_no").collect()]
     assert starts == [("first", 1), ("last", 2)]
     tagged = {r["id"]: r["text"] for r in chunking.tagged(rows, "id").collect()}
-    assert tagged[1].split("\n")[2] == "[#P001] first" and tagged[3] == ""
+    assert tagged[1].split("\n")[2] == "[#P001] first" and tagged[3] == "" and 2 not in tagged
+    assert [(r["line_no"], r["paragraph"]) for r in rows.filter("id = 1").orderBy("line_no").collect()] == [(i, int(i >= 2) + int(i >= 11)) for i in range(12)]
+
+
+def test_sections_and_entries_do_not_move(spark):
+    docs = spark.range(3).selectExpr("id", "'## a\n- **Topic Title:** b\n\nc' as text")
+    for made in (chunking.entries(docs, "id"), chunking.sections(docs, "id")):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_sections(text):
+    """Sections line by line."""
+    out, number, name = {}, 0, "Unknown"
+    for line in filter(None, (row.strip(" \n\r\t") for row in text.split("\n"))):
+        if re.match(r"##\s+[^\n]+", line):
+            number, name = number + 1, re.sub(r"^##\s+", "", line).strip(" \n\r\t")
+        else:
+            out.setdefault((number, name), []).append(line)
+    return sorted((k, n, "  \n".join(lines)) for (k, n), lines in out.items())
+
+
+def plain_entries(text):
+    """Entries line by line."""
+    out = []
+    for i, row in enumerate(text.split("\n")):
+        if i == 0 or re.match(r"-\s*\*\*(Topic Title|Responsible Person):\*\*", row.strip(" \n\r\t")):
+            out.append([])
+        out[-1].append(row)
+    return [(i + 1, "\n".join(rows)) for i, rows in enumerate(out)]
+
+
+def test_sections_and_entries_equal_plain_ones(spark):
+    pieces = ["## a", "##", "## ", "##\tb ", " ## c", "x", "", "  ", "\r", "### d", "- **Topic Title:** t", "\t-  **Responsible Person:** p", "-\x0b**Topic Title:**", "- ** Topic Title:**", "##\x0b", "##\x0b\x0b"]
+    pick = random.Random(5)
+    texts = ["", "\n", *pieces, *("\n".join(pick.choices(pieces, k=pick.randrange(1, 9))) for _ in range(300))]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "id int, text string")
+    found = {"sections": {}, "entries": {}}
+    for r in chunking.sections(docs, "id").collect():
+        found["sections"].setdefault(r["id"], []).append((r["section_no"], r["section"], r["body"]))
+    for r in chunking.entries(docs, "id").collect():
+        found["entries"].setdefault(r["id"], []).append((r["entry_no"], r["entry"]))
+    assert -1 not in found["sections"] and -1 not in found["entries"]
+    for i, text in enumerate(texts):
+        assert sorted(found["sections"].get(i, [])) == plain_sections(text), text
+        assert sorted(found["entries"][i]) == plain_entries(text), text
 
 
 def meeting(spark):
