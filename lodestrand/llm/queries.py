@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, html, langid, minhash, mixing, packing, quality_model, quality_rules, substring
+from . import chat, digest, html, langid, minhash, mixing, packing, pointintime, quality_model, quality_rules, simhash, substring, whitening
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeated_phrases, op2_html_wrappers, op3_source_mixing, op4_circulant_minhash, op5_language_id, op6_exact_fingerprint, op7_rule_ensemble, op8_compression_bands, op9_chat_parts, op10_best_fit_packing)}
+def op11_digit_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), most=32)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op12_multi_index_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4).select("doc_id", "fingerprint", "component_id")
+
+
+def op13_tournament_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    a, b, c, d = (F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 8 * i + 1, 8), 16, 10).cast("long") for i in range(4))
+    event = a % 200_000
+    versions = docs.select(F.col("source").alias("key"), event.alias("event"), (event - 60 + b % 1200).alias("arrival"), (event + c % 900).alias("expiry"), F.col("doc_id").alias("id"), "n_chars", "lang")
+    sources = docs.groupBy("doc_id").agg(F.min("source").alias("key"))
+    asks = table(spark, sf_dir, "labels").select("doc_id", (d % 200_000).alias("time")).join(sources.hint("merge"), "doc_id", "left")
+    found = pointintime.as_asked(asks, versions)
+    age = F.col("time") - F.col("event")
+    fresh = age <= 20
+    status = F.when(age.isNull(), "none").when(fresh, "fresh").otherwise("stale")
+    return found.select("doc_id", F.col("time").alias("t"), F.col("id").alias("version_id"), age.alias("age"), status.alias("status"), F.when(fresh, F.col("n_chars")).alias("n_chars"), F.when(fresh, F.col("lang")).alias("lang"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_repeated_phrases, op2_html_wrappers, op3_source_mixing, op4_circulant_minhash, op5_language_id, op6_exact_fingerprint, op7_rule_ensemble, op8_compression_bands, op9_chat_parts, op10_best_fit_packing, op11_digit_whitening, op12_multi_index_simhash, op13_tournament_asof)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_repeated_phrases": """
@@ -146,5 +169,21 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(said, '' ORDER BY turn NULLS FIRST, said) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(16 + length(role || said) + length(regexp_replace(role || said, '[^][<>|\\\\]', '', 'g')))::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id, alone
+""",
+    "op13_tournament_asof": """
+WITH hashed AS (SELECT doc_id, source, lang, n_chars, sha256(doc_id::VARCHAR) AS h FROM documents),
+versions AS (
+  SELECT doc_id, source, lang, n_chars, event, event - 60 + ('0x' || substr(h, 9, 8))::BIGINT % 1200 AS arrival, event + ('0x' || substr(h, 17, 8))::BIGINT % 900 AS expiry
+  FROM (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % 200000 AS event FROM hashed)),
+asks AS (
+  SELECT row_number() OVER () AS rid, l.doc_id, s.source, ('0x' || substr(sha256(l.doc_id::VARCHAR), 25, 8))::BIGINT % 200000 AS t
+  FROM labels l LEFT JOIN (SELECT doc_id, min(source) AS source FROM documents GROUP BY doc_id) s ON s.doc_id = l.doc_id),
+won AS (
+  SELECT a.rid, v.doc_id AS version_id, a.t - v.event AS age, v.n_chars, v.lang
+  FROM asks a JOIN versions v ON v.source = a.source AND v.event <= a.t AND v.arrival <= a.t AND a.t < v.expiry
+  QUALIFY row_number() OVER (PARTITION BY a.rid ORDER BY v.event DESC, v.arrival DESC, v.doc_id DESC, v.n_chars DESC NULLS LAST, v.lang DESC NULLS LAST) = 1)
+SELECT a.doc_id, a.t, w.version_id, w.age, CASE WHEN w.age IS NULL THEN 'none' WHEN w.age > 20 THEN 'stale' ELSE 'fresh' END AS status,
+       CASE WHEN w.age <= 20 THEN w.n_chars END AS n_chars, CASE WHEN w.age <= 20 THEN w.lang END AS lang
+FROM asks a LEFT JOIN won w ON w.rid = a.rid
 """,
 }
