@@ -12,6 +12,7 @@ each node is tested against a few leaders of each of its buckets, drawn by hash,
 component. Afterwards only nodes outside their bucket's largest component look up all others, and those inside look up
 the nodes outside; nodes of one component are never compared. Both sides of a bucket are packed into lists of bounded
 length, and each list meets each list of the other side in a row of its own, so neither a bucket nor a ball is one task.
+Who differs from all members of a bucket in too many bits that they have in common, or all lack, is not packed.
 
 Words are runs of characters other than white space, with A-Z in lower case; a null text is empty. A document with fewer
 words than a shingle is one shingle; without words its fingerprint is zero, which is linked like any other. Repeated rows
@@ -19,8 +20,8 @@ are equal fingerprints. A row with a null id takes part; a component has the sma
 has none. An empty table gives an empty result. Other columns of the documents are not read.
 
 What grows faster than the input: fingerprints of one bucket in different components are compared with each other, 64
-bits at a time. With N different fingerprints, a bucket of 21 bits has N / 2**21 of these by chance; `segments` is two
-(562 values looked up for each) once that costs more.
+bits at a time. With N different fingerprints, a bucket of 21 bits has N / 2**21 of these by chance, so there are two
+segments of 32 bits (some 280 values looked up for each) from five million fingerprints on.
 """
 
 from __future__ import annotations
@@ -101,11 +102,11 @@ def masks(width: int, radius: int) -> list[int]:
 
 
 def segments_for(n: int, radius: int = RADIUS) -> int:
-    """How many segments cost least for n fingerprints: lookups, each dearer than a verified pair, and pairs by chance."""
+    """How many segments cost least for n fingerprints: a row for each lookup, and pairs by chance, most in packed rows."""
 
     def cost(segments: int) -> float:
         looked = [(w, sum(comb(w, i) for i in range(r + 1)) / (2 if r else 1)) for _, w, r in plan(segments, radius)]
-        return n * sum(8 * m + m * n / 2**w for w, m in looked)
+        return n * sum(m + 5 * m * n / 2**w for w, m in looked)
 
     return min((2, 3, 4), key=cost)
 
@@ -199,18 +200,20 @@ def pc_lengths(lists: pa.ListArray) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
-def met_lists(nodes: DataFrame, segments: int) -> DataFrame:
+def met_lists(nodes: DataFrame, segments: int, radius: int = RADIUS) -> DataFrame:
     """asks and answers: packed lists of (fp, label) that may hold links between components.
 
     inside: whether those who ask are of the bucket's largest component; then only nodes outside it answer.
     """
     spark = nodes.sparkSession
     entries = _entries(nodes, segments)
-    by_label = entries.groupBy("segment", "value", "label").agg(F.count("*").alias("m"))
-    buckets = by_label.groupBy("segment", "value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"))
-    buckets = buckets.select("segment", "value", F.col("top.label").alias("largest"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("others"))
+    by_label = entries.groupBy("segment", "value", "label").agg(F.count("*").alias("m"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("each"))
+    buckets = by_label.groupBy("segment", "value").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.bit_or("some").alias("some"), F.bit_and("each").alias("each"))
+    buckets = buckets.select("segment", "value", F.col("top.label").alias("largest"), F.col("m").alias("all"), (F.col("m") - F.col("top.m")).alias("others"), "some", "each")
     of_bucket = entries.join(buckets, ["segment", "value"]).withColumn("outside", F.col("label") != F.col("largest"))
-    looked = _looked_up(nodes, segments).join(buckets, ["segment", "value"]).withColumn("outside", F.col("label") != F.col("largest"))
+    # No member is nearer than this: bits that none of them has, and bits that each of them has.
+    least = F.bit_count(F.col("fp").bitwiseAND(F.bitwise_not("some"))) + F.bit_count(F.bitwise_not("fp").bitwiseAND(F.col("each")))
+    looked = _looked_up(nodes, segments).join(buckets, ["segment", "value"]).filter(least <= radius).withColumn("outside", F.col("label") != F.col("largest"))
     asks = of_bucket.filter("outside").unionByName(looked.filter("outside or others > 0")).withColumn("inside", ~F.col("outside"))
     key = ["segment", "value", "inside"]
     counted = asks.groupBy(*key).agg(F.count("*").alias("asking"), F.first("all").alias("all"), F.first("others").alias("others"))
@@ -241,7 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = nodes.select("fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labelled = scratch.save(labelled, "labelled")
     # Components found so far are nodes of what is left.
-    rest = scratch.save(verify(met_lists(labelled, parts), radius), "rest-links")
+    rest = scratch.save(verify(met_lists(labelled, parts, radius), radius), "rest-links")
     merged = components(rest, scratch, "rest").select(F.col("node").alias("label"), F.col("label").alias("component"))
     of_node = nodes.join(labelled, "fp").join(merged, "label", "left").withColumn("component", F.coalesce("component", "label"))
     least = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
