@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
-from . import render, retrieval, rewrite
+from ..sources.store import Store
+from . import chunking, indexed, render, retrieval, rewrite
 from .models import Embedder, embed
 
 #: Chunks that a question gets, and how many more are fused before.
@@ -27,14 +28,19 @@ def rewrite_queries(questions: DataFrame, catalog: DataFrame, participants: Colu
     return done.select("question_id", "rewritten", F.coalesce("ids", F.array().cast("array<string>")).alias("meeting_ids"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = K, alpha: float = retrieval.ALPHA) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame | Store, k: int = K, alpha: float = retrieval.ALPHA) -> DataFrame:
     """Hits of questions that need the corpus, in the meetings that they name, or in all if they name none that is known.
 
     questions: question_id, need_rag, text, meeting_ids and embedding. Rows: question_id, chunk_id, rank, hybrid_score.
+    Of a saved index the summaries are searched.
     """
     asked = questions.filter("need_rag").withColumnRenamed("question_id", "query_id")
     scope = asked.select("query_id", F.explode("meeting_ids").alias("meeting_id"))
-    hits = retrieval.hybrid(chunks, asked.select("query_id", "text", "embedding"), k, alpha, scope, fail_open=True, candidates=WIDER * k)
+    queries = asked.select("query_id", "text", "embedding")
+    if isinstance(chunks, Store):
+        hits = indexed.search_meetings(chunks, queries, scope, k, alpha, candidates=WIDER * k)
+    else:
+        hits = retrieval.hybrid(chunks, queries, k, alpha, scope, fail_open=True, candidates=WIDER * k)
     return hits.select(F.col("query_id").alias("question_id"), "chunk_id", "rank", "hybrid_score")
 
 
@@ -45,12 +51,20 @@ def projected(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.groupBy("question_id").agg(F.sort_array(F.collect_list(one)).alias("chunks"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, participants: Column, user: str, today: str, embedder: Embedder | None = None, k: int = K) -> DataFrame:
+def index_meetings(meetings: DataFrame, store: Store, embedder: Embedder, only_summary: bool = False, include_chunk_level: bool = False, limit: int = chunking.LIMIT) -> dict[str, int]:
+    """Chunk, embed and index the meetings (sources.meetings.load) that the index has no chunk of; gives the counts."""
+    fresh = meetings if not store.batches else meetings.join(store.chunks().select("meeting_id").distinct(), "meeting_id", "left_anti")
+    chunks = chunking.all_levels(fresh, only_summary, include_chunk_level, limit)
+    dated = chunks.join(fresh.select("meeting_id", "datetime"), "meeting_id", "left")
+    return store.add(embed(dated, embedder))
+
+
+def ask(questions: DataFrame, chunks: DataFrame | Store, catalog: DataFrame, participants: Column, user: str, today: str, embedder: Embedder | None = None, k: int = K) -> DataFrame:
     """An answer for every question (question_id, text, and embedding if no embedder is given).
 
-    chunks: chunk_id, meeting_id, text, datetime, embedding. Rows: question_id, need_rag, need_rewrite, answer_mode,
-    rewritten, meeting_ids, skipped, total_chunks, chunks and answer. A question that does not need the corpus is not
-    searched for; its chunks are empty.
+    chunks: chunk_id, meeting_id, text, datetime, embedding, or a saved index of such chunks, whose summaries are
+    searched. Rows: question_id, need_rag, need_rewrite, answer_mode, rewritten, meeting_ids, skipped, total_chunks,
+    chunks and answer. A question that does not need the corpus is not searched for; its chunks are empty.
     """
     planned = rewrite.plan(questions)
     changed = rewrite_queries(planned.filter("need_rewrite"), catalog, participants, user, today)
@@ -58,7 +72,8 @@ def ask(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, participant
     ready = ready.withColumn("text", F.col("rewritten"))
     # Questions are few beside the corpus and used several times below.
     ready = cut(ready if embedder is None else embed(ready, embedder))
-    found = projected(cut(retrieve(ready, chunks, k)), chunks)
+    texts = chunks.chunks("summary") if isinstance(chunks, Store) else chunks
+    found = projected(cut(retrieve(ready, chunks, k)), texts)
     said = render.answers(ready.select(F.col("question_id").alias("query_id")), found.select(F.col("question_id").alias("query_id"), F.inline("chunks")))
     rows = ready.join(found, "question_id", "left").join(said.withColumnRenamed("query_id", "question_id"), "question_id")
     return rows.select(

@@ -10,7 +10,7 @@ corpus statistics are summed once for a set and not once for a query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.scratch import cut
+from ..sources.store import EPSILON, raw_idf
 
 #: BM25 and fusion parameters.
-K1, B, EPSILON, ALPHA = 1.5, 0.75, 0.25, 0.6
+K1, B, ALPHA = 1.5, 0.75, 0.6
 #: Queries whose vectors one pass over the chunks holds; more queries make more passes.
 QUERY_BLOCK = 4096
 #: Terms of queries that are sent to every task; more of them are joined by exchange.
@@ -157,7 +158,7 @@ def scoped(queries: DataFrame, chunks: DataFrame, scope: DataFrame, fail_open: b
     return scope.select("query_id", "meeting_id").distinct().join(meetings, "meeting_id", "left_semi")
 
 
-def _meeting_key(c: Column) -> Column:
+def meeting_key(c: Column) -> Column:
     """A meeting id that is never null."""
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
 
@@ -169,13 +170,13 @@ def corpora(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None, fail
     """
     if scope is None:
         return chunks.sparkSession.createDataFrame([(0, "")], "corpus long, meeting string"), queries.withColumn("corpus", F.lit(0).cast("long"))
-    sets = scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.sort_array(F.collect_set(_meeting_key(F.col("meeting_id")))).alias("meetings"))
+    sets = scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.sort_array(F.collect_set(meeting_key(F.col("meeting_id")))).alias("meetings"))
     numbered = cut(sets.select("meetings").distinct().withColumn("corpus", F.monotonically_increasing_id() + 1))
     own = queries.join(sets.join(numbered, "meetings").select("query_id", "corpus"), "query_id", "left")
     own = cut(own.withColumn("corpus", F.coalesce("corpus", F.lit(0))) if fail_open else own.filter(F.col("corpus").isNotNull()))
     members = numbered.select("corpus", F.explode("meetings").alias("meeting"))
     if fail_open and not own.filter("corpus = 0").isEmpty():
-        members = members.unionByName(chunks.select(F.lit(0).cast("long").alias("corpus"), _meeting_key(F.col("meeting_id")).alias("meeting")).distinct())
+        members = members.unionByName(chunks.select(F.lit(0).cast("long").alias("corpus"), meeting_key(F.col("meeting_id")).alias("meeting")).distinct())
     members = cut(members)
     return F.broadcast(members) if members.count() <= FEW_MEMBERS else members, own
 
@@ -189,7 +190,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     terms comes before the first exchange.
     """
     members, own = corpora(queries, chunks, scope, fail_open)
-    meeting = F.lit("") if scope is None else _meeting_key(F.col("meeting_id"))
+    meeting = F.lit("") if scope is None else meeting_key(F.col("meeting_id"))
     texts = chunks.select(meeting.alias("meeting"), "chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
 
     def in_corpora(rows: DataFrame) -> DataFrame:
@@ -200,22 +201,45 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     df = in_corpora(texts.select("meeting", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("meeting", "term").agg(F.count("*").alias("df")))
     if scope is not None:
         df = df.groupBy("corpus", "term").agg(F.sum("df").alias("df"))
-    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    # The queries' terms go to the chunks, if they are few; then a chunk's scores are summed where its tokens are.
+    asked = cut(weighed(asked_terms(own), sizes, df, floors(sizes, df)))
+    spread = few(asked)
+    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(spread(asked.select("term").distinct()), "term", "left_semi")
+    tf = in_corpora(tf.repartition("chunk_id").groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
+    return scored(tf, asked, k)
+
+
+def few(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """How terms of queries reach the tasks: sent to each of them while they are few, else by exchange."""
+    return F.broadcast if asked.count() <= FEW_TERMS else lambda rows: rows
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """query_id, corpus, term and times, of queries with their corpora."""
+    return queries.select("query_id", "corpus", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("times"))
+
+
+def floors(sizes: DataFrame, df: DataFrame) -> DataFrame:
+    """corpus and floor: what a negative idf becomes."""
     # Terms with one count have one weight, so the mean over all terms is that over the counts, which are few.
     counts = df.groupBy("corpus", "df").agg(F.count("*").alias("terms")).join(sizes, "corpus")
-    floor = counts.groupBy("corpus").agg((EPSILON * F.sum(raw * F.col("terms")) / F.sum("terms")).alias("floor"))
-    asked = own.select("query_id", "corpus", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "corpus", "term").agg(F.count("*").alias("times"))
+    return counts.groupBy("corpus").agg((EPSILON * F.sum(raw_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("floor"))
+
+
+def weighed(asked: DataFrame, sizes: DataFrame, df: DataFrame, floor: DataFrame) -> DataFrame:
+    """asked with idf and mean_length; terms that a corpus does not have are left out."""
     terms = asked.select("corpus", "term").distinct()
+    raw = raw_idf(F.col("n"), F.col("df"))
     weights = df.join(terms, ["corpus", "term"], "left_semi").join(sizes, "corpus").join(floor, "corpus")
     weights = weights.select("corpus", "term", "mean_length", F.when(raw < 0, F.col("floor")).otherwise(raw).alias("idf"))
-    # The queries' terms go to the chunks, if they are few; then a chunk's scores are summed where its tokens are.
-    asked = cut(asked.join(weights, ["corpus", "term"]))
-    spread = F.broadcast if asked.count() <= FEW_TERMS else lambda rows: rows
-    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(spread(asked.select("term").distinct()), "term", "left_semi")
-    tf = in_corpora(tf.repartition("chunk_id").groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
+    return asked.join(weights, ["corpus", "term"])
+
+
+def scored(tf: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query with positive scores, from tf (corpus, chunk_id, length, term, tf) and weighed terms."""
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = tf.join(spread(asked), ["corpus", "term"]).select("query_id", "chunk_id", (part * F.col("times")).alias("part"))
-    hits = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    parts = tf.join(few(asked)(asked), ["corpus", "term"]).select("query_id", "chunk_id", (part * F.col("times")).alias("part"))
+    hits = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top(hits.filter("score > 0"), k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as meetings
-from ..operators import agent, chunking, evaluate, filters, matching, render, retrieval, rewrite
+from ..operators import agent, chunking, evaluate, filters, indexed, matching, render, retrieval, rewrite
 from ..sources import index
 from ..sources.meetings import paired
 from . import standins as S
@@ -286,28 +286,28 @@ def q39_fuzzy_all_matches(spark, sf_dir):
     return matching.matches(*_names(spark, sf_dir), k=5)
 
 
-def _detected(spark) -> DataFrame:
-    return rewrite.detect(S.questions(spark), S.persons())
+def _detected(spark, sf_dir) -> DataFrame:
+    return rewrite.detect(S.questions(spark, sf_dir), S.persons())
 
 
 @query
 def q40_detect_pronouns_persons(spark, sf_dir):
-    return _detected(spark).select("question_id", *[F.array_join(c, ", ").alias(c) for c in ("persons", "pronouns", "time_terms")])
+    return _detected(spark, sf_dir).select("question_id", *[F.array_join(c, ", ").alias(c) for c in ("persons", "pronouns", "time_terms")])
 
 
 @query
 def q41_resolve_entities(spark, sf_dir):
-    return rewrite.resolve(_detected(spark), S.USER, S.TODAY).select("question_id", "resolved")
+    return rewrite.resolve(_detected(spark, sf_dir), S.USER, S.TODAY).select("question_id", "resolved")
 
 
 @query
 def q42_last_n_pattern_rewrite(spark, sf_dir):
-    return rewrite.rewrite_latest(S.questions(spark), _catalog(spark, sf_dir))
+    return rewrite.rewrite_latest(S.questions(spark, sf_dir), _catalog(spark, sf_dir))
 
 
 @query
 def q43_planner_flags(spark, sf_dir):
-    return rewrite.plan(S.questions(spark)).drop("text")
+    return rewrite.plan(S.questions(spark, sf_dir)).drop("text")
 
 
 @query
@@ -368,10 +368,78 @@ def q51_extractive_answers(spark, sf_dir):
 
 
 
-
-
 @query
 def q52_ask(spark, sf_dir):
     done = agent.ask(S.asked(spark, sf_dir), S.dated_chunks(spark, sf_dir), S.talks(spark, sf_dir), S.persons(), S.USER, S.TODAY)
+    return _asked_columns(done)
+
+
+def _asked_columns(done: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform("chunks", lambda c: F.concat(c["chunk_id"].cast("string"), F.lit("@"), c["datetime"])), " ")
     return done.select("question_id", "need_rag", "need_rewrite", "answer_mode", "rewritten", F.array_join("meeting_ids", ", ").alias("meetings"), "skipped", "total_chunks", F.coalesce(listed, F.lit("")).alias("chunks"), "answer")
+
+
+@query
+def q53_index_bm25(spark, sf_dir):
+    chunks = S.summaries_of_sources(spark, sf_dir)
+    store, late = S.saved_index(spark), F.coalesce(F.col("meeting_id") >= "src15", F.lit(True))
+    store.add(chunks.filter(~late))
+    store.add(chunks.filter(late))
+    return indexed.bm25(store, "summary", S.queries(spark, sf_dir), 10).select("query_id", "chunk_id", "score", "rank")
+
+
+@query
+def q54_index_replaced_and_removed(spark, sf_dir):
+    chunks = S.summaries_of_sources(spark, sf_dir)
+    store = S.saved_index(spark)
+    stale = chunks.withColumn("text", F.upper(F.substring("text", 1, 200))).withColumn("embedding", F.when(F.col("chunk_id") % 2 == 0, F.reverse("embedding")))
+    store.add(stale)
+    store.add(chunks)
+    store.remove(chunks.filter("meeting_id = 'src3'"))
+    return indexed.search_meetings(store, S.queries(spark, sf_dir), S.scope(spark, sf_dir), 10)
+
+
+#: The languages of documents as levels.
+AS_LEVELS = {"es": "metadata", "fr": "summary", "en": "meeting", "de": "chunk"}
+
+
+def _levels(spark, sf_dir) -> DataFrame:
+    """Documents as chunks of all levels, with entries and what refers to them."""
+    level = F.element_at(F.create_map(*[F.lit(x) for pair in AS_LEVELS.items() for x in pair]), F.col("level"))
+    named = F.array(*[F.format_string("M%03d", ((F.col("chunk_id") + i) % 12).cast("int")) for i in (0, 5)])
+    return _entries(S.chunks(spark, sf_dir)).withColumn("level", level).withColumn("references", named)
+
+
+@query
+def q55_index_levels(spark, sf_dir):
+    store = S.saved_index(spark)
+    store.add(_levels(spark, sf_dir))
+    return store.stats()
+
+
+@query
+def q56_index_hierarchical(spark, sf_dir):
+    store = S.saved_index(spark)
+    store.add(_levels(spark, sf_dir))
+    return indexed.hierarchical(store, S.queries(spark, sf_dir))
+
+
+@query
+def q57_index_filtered_knn(spark, sf_dir):
+    lines = S.read(spark, sf_dir, "lineitem").join(S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    action = F.struct(F.col("p_name").alias("task"), F.col("l_returnflag").alias("status"))
+    nested = lines.groupBy(F.col("l_orderkey").alias("chunk_id")).agg(F.array_sort(F.collect_list(action)).alias("actions"))
+    orders = S.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), "o_orderpriority")
+    store = S.saved_index(spark)
+    store.add(S.summaries_of_sources(spark, sf_dir).join(orders, "chunk_id", "left").join(nested, "chunk_id", "left"))
+    sources = [f"src{i}" for i in range(0, 20, 2)]
+    return indexed.knn(store, "summary", S.queries(spark, sf_dir), 5, {"actions.task": "red widget", "actions.status": ["A", "R"], "o_orderpriority": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}, sources, ("meeting_id", "o_orderpriority"))
+
+
+@query
+def q58_index_ask(spark, sf_dir):
+    chunks = S.dated_chunks(spark, sf_dir).withColumn("level", F.lit("summary"))
+    store = S.saved_index(spark)
+    store.add(chunks)
+    done = agent.ask(S.asked(spark, sf_dir), store, S.talks(spark, sf_dir), S.persons(), S.USER, S.TODAY)
+    return _asked_columns(done)

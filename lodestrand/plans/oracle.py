@@ -111,7 +111,16 @@ cat AS (
   SELECT *, coalesce(substr(datetime, 1, 10), '') AS date, substr(datetime, 1, 4)::INTEGER AS year, substr(datetime, 6, 2)::INTEGER AS month, substr(datetime, 9, 2)::INTEGER AS day,
     array_to_string(participants, ', ') AS participants_str, array_to_string(topics, '; ') AS topics_str, array_to_string(action_tasks, '; ') AS action_tasks_str
   FROM meetings)"""
-ASKED = "questions AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_str(q)})" for i, q in enumerate(QUESTIONS)) + ") v(question_id, text))"
+
+
+def opened(openings: list[str]) -> str:
+    """A benchmark item's words, without what rules look for, behind the opening of its turn."""
+    opening = "[" + ", ".join(map(_str, openings)) + f"][(item_id % {len(openings)} + 1)::INTEGER]"
+    return opening + rf" || ' ' || trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '{PRONOUN}', 'x', 'gi'))"
+
+
+PRONOUN = r"\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b"
+ASKED = f"questions AS (SELECT item_id AS question_id, {opened(QUESTIONS)} AS text FROM benchmark)"
 
 #: Numbered lines: the flag and the running count of paragraph starts.
 PARAGRAPHS = r"""lines AS (
@@ -187,20 +196,17 @@ def resolved() -> str:
 
 NAMED = "list_filter([" + ", ".join(_str(p) for p in PERSONS if p not in ("Speaker 1", "Host")) + rf"], lambda p: len(list_filter(string_split(lower(p), ' '), lambda w: length(w) >= 4 AND list_contains(regexp_extract_all(lower(text), '{TOK}'), w))) > 0)"
 TIME = r"\b(today|yesterday|tomorrow|\d+\s+(?:day|week|month)s?\s+ago|(?:last|past|next)\s+(?:week|month|year)|\d{4}-\d{2}-\d{2})\b"
-PRONOUN = r"\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b"
 LATEST = r"\b(?:last|recent|past|previous)\s+(?:(\d+)\s+)?meetings?\b"
 
-def ask() -> str:
-    """q52, step by step."""
-    opening = "[" + ", ".join(_str(x) for x in OPENINGS) + f"][(item_id % {len(OPENINGS)} + 1)::INTEGER]"
-    said = rf"trim(regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '{PRONOUN}', 'x', 'gi'))"
+def ask(chunks: str = "") -> str:
+    """q52 and q58, step by step; chunks is a condition on documents."""
     listed = "[" + ", ".join(map(_str, PERSONS)) + "]"
     mine = r"regexp_matches(text, '(?i)\b(i|me|my|mine|we|us|our|ours)\b')"
-    return rf"""WITH chunks AS (SELECT doc_id AS chunk_id, source AS meeting_id, text, lang AS level, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
+    return rf"""WITH chunks AS (SELECT doc_id AS chunk_id, source AS meeting_id, text, lang AS level, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id{chunks}),
 talks AS (
   SELECT meeting_id, printf('2024-05-%02d', no % 28 + 1) AS date, [{listed}[(no % 5 + 1)::INTEGER], {listed}[((no + 1) % 5 + 1)::INTEGER]] AS participants
   FROM (SELECT DISTINCT source AS meeting_id, coalesce(nullif(regexp_extract(source, '(\d+)$', 1), '')::INTEGER, 0) AS no FROM documents WHERE source IS NOT NULL)),
-asked AS (SELECT item_id AS question_id, {opening} || ' ' || {said} AS text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+asked AS (SELECT item_id AS question_id, {opened(OPENINGS)} AS text, embedding FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 planned AS (
   SELECT *, NOT (regexp_matches(text, '(?i)^\s*(?:what is an?|define|explain|write|translate|how do i)\b')
       AND NOT regexp_matches(text, '(?i)\b(meetings?|transcripts?|action items?|minutes|discuss\w*|said|mention\w*|decid\w*|agreed|agenda)\b')) AS need_rag,
@@ -230,7 +236,30 @@ SELECT query_id AS question_id, need_rag, need_rewrite, CASE WHEN need_rag THEN
 FROM ready LEFT JOIN found USING (query_id)"""
 
 
+def hierarchy(base: str, levels: tuple[str, str, str]) -> str:
+    """Three levels of chunks, each searched in what the one above names."""
+    return f"""WITH {base},
+c1 AS (SELECT * FROM chunks WHERE level = '{levels[0]}'), c2 AS (SELECT * FROM chunks WHERE level = '{levels[1]}'),
+c3 AS (SELECT *, printf('M%03d', chunk_id % 12) AS entry_id FROM chunks WHERE level = '{levels[2]}'),
+{everything("p1", "c1", "qs")},
+{hybrid("a", "c1", "qs", "p1", 5, True)},
+m2 AS (SELECT DISTINCT query_id, meeting_id FROM a_hybrid JOIN c1 USING (chunk_id)),
+q2 AS (SELECT * FROM qs SEMI JOIN m2 USING (query_id)),
+{allowed("p2", "c2", "m2", "q2", True)},
+{hybrid("b", "c2", "q2", "p2", 10)},
+m3 AS (SELECT DISTINCT query_id, printf('M%03d', (chunk_id + unnest([0, 5])) % 12) AS entry_id FROM b_hybrid),
+q3 AS (SELECT * FROM q2 SEMI JOIN m3 USING (query_id)),
+{allowed("p3", "c3", "m3", "q3", False, "entry_id")},
+{hybrid("c", "c3", "q3", "p3", 10)}
+SELECT query_id, 'metadata' AS level, chunk_id, rank::INTEGER AS rank, hybrid_score FROM a_hybrid
+UNION ALL SELECT query_id, 'summary', chunk_id, rank::INTEGER, hybrid_score FROM b_hybrid
+UNION ALL SELECT query_id, 'meeting', chunk_id, rank::INTEGER, hybrid_score FROM c_hybrid"""
+
+
 CATALOG = f"WITH {MEETINGS}\n"
+#: What a saved index holds: chunks with a text, at the levels that q55 and q56 give them.
+TEXTED = BASE.replace("ON vec_id = doc_id)", "ON vec_id = doc_id WHERE text IS NOT NULL)")
+LEVELLED = BASE.replace("lang AS level", "CASE lang WHEN 'es' THEN 'metadata' WHEN 'fr' THEN 'summary' WHEN 'en' THEN 'meeting' WHEN 'de' THEN 'chunk' END AS level").replace("ON vec_id = doc_id)", "ON vec_id = doc_id WHERE text IS NOT NULL)")
 GLOBAL = f"WITH {BASE},\n" + everything("pairs", "chunks", "qs")
 SCOPED = f"WITH {BASE},\n" + allowed("pairs", "chunks", "scope", "qs", False)
 
@@ -314,22 +343,7 @@ wanted AS (SELECT DISTINCT query_id, printf('M%03d', query_id % 15) AS entry_id
 {allowed("pairs", "named", "wanted", "qs", False, "entry_id")},
 {hybrid("a", "named", "qs", "pairs", 10)}
 SELECT * REPLACE (rank::INTEGER AS rank) FROM a_hybrid""",
-    "q26_hierarchical_search": f"""WITH {BASE},
-c1 AS (SELECT * FROM chunks WHERE level = 'es'), c2 AS (SELECT * FROM chunks WHERE level = 'fr'),
-c3 AS (SELECT *, printf('M%03d', chunk_id % 12) AS entry_id FROM chunks WHERE level = 'en'),
-{everything("p1", "c1", "qs")},
-{hybrid("a", "c1", "qs", "p1", 5, True)},
-m2 AS (SELECT DISTINCT query_id, meeting_id FROM a_hybrid JOIN c1 USING (chunk_id)),
-q2 AS (SELECT * FROM qs SEMI JOIN m2 USING (query_id)),
-{allowed("p2", "c2", "m2", "q2", True)},
-{hybrid("b", "c2", "q2", "p2", 10)},
-m3 AS (SELECT DISTINCT query_id, printf('M%03d', (chunk_id + unnest([0, 5])) % 12) AS entry_id FROM b_hybrid),
-q3 AS (SELECT * FROM q2 SEMI JOIN m3 USING (query_id)),
-{allowed("p3", "c3", "m3", "q3", False, "entry_id")},
-{hybrid("c", "c3", "q3", "p3", 10)}
-SELECT query_id, 'metadata' AS level, chunk_id, rank::INTEGER AS rank, hybrid_score FROM a_hybrid
-UNION ALL SELECT query_id, 'summary', chunk_id, rank::INTEGER, hybrid_score FROM b_hybrid
-UNION ALL SELECT query_id, 'meeting', chunk_id, rank::INTEGER, hybrid_score FROM c_hybrid""",
+    "q26_hierarchical_search": hierarchy(BASE, ("es", "fr", "en")),
     "q27_nested_filter_search": f"""WITH {BASE},
 fit AS (
   SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
@@ -416,4 +430,21 @@ FROM cited JOIN listed USING (conv_id, entry_id) JOIN conversations c USING (con
 said AS (SELECT query_id, string_agg(regexp_extract(text, '^\\s*([^.!?\\n]*[.!?]?)', 1) || ' [' || chunk_id || ']', chr(10) ORDER BY rank) AS answer FROM a_bm25 JOIN chunks USING (chunk_id) GROUP BY query_id)
 SELECT query_id, coalesce(answer, 'No relevant content was found.') AS answer FROM qs LEFT JOIN said USING (query_id)""",
     "q52_ask": ask(),
+    "q53_index_bm25": f"WITH {TEXTED},\n{bm25('a', 'chunks', 'qs', None, 10)}\nSELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM a_bm25",
+    "q54_index_replaced_and_removed": f"WITH {TEXTED.replace('text IS NOT NULL', "text IS NOT NULL AND source IS DISTINCT FROM 'src3'")},\n{allowed('pairs', 'chunks', 'scope', 'qs', True)},\n{hybrid('a', 'chunks', 'qs', 'pairs', 10)}\nSELECT * REPLACE (rank::INTEGER AS rank) FROM a_hybrid",
+    "q55_index_levels": f"""WITH {LEVELLED}, levels AS (SELECT unnest(['metadata', 'summary', 'meeting', 'chunk']) AS level)
+SELECT l.level, count(chunk_id) AS n_chunks, coalesce(sum(len(regexp_extract_all(lower(text), '{TOK}'))), 0)::BIGINT AS n_tokens,
+  count(DISTINCT CASE WHEN l.level = 'meeting' THEN printf('M%03d', chunk_id % 12) ELSE meeting_id END) AS n_scopes, count(embedding) AS n_embedded
+FROM levels l LEFT JOIN chunks c ON c.level = l.level GROUP BY l.level""",
+    "q56_index_hierarchical": hierarchy(LEVELLED, ("metadata", "summary", "meeting")),
+    "q57_index_filtered_knn": f"""WITH {TEXTED},
+fit AS (
+  SELECT o_orderkey, o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY o_orderkey, o_orderpriority
+  HAVING bool_or(list_has_any(string_split(p_name, ' '), ['red', 'widget'])) AND bool_or(l_returnflag IN ('A', 'R'))),
+found AS (SELECT chunks.*, o_orderpriority FROM chunks JOIN fit ON o_orderkey = chunk_id WHERE regexp_extract(meeting_id, '^src(\\d+)$', 1) IN ('0', '2', '4', '6', '8', '10', '12', '14', '16', '18')),
+{everything("pairs", "found", "qs")},
+{dense("a", "found", "qs", "pairs", 5)}
+SELECT query_id, chunk_id, round((1 + score) / 2, 7) AS score, rank::INTEGER AS rank, meeting_id, o_orderpriority FROM a_dense JOIN found USING (chunk_id)""",
+    "q58_index_ask": ask(" WHERE text IS NOT NULL"),
 }

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from ..sources.spread import spread
+from ..sources.store import Store
 
-#: Questions, persons and the day they are asked; the tables' invented prose has nothing for rules to find.
+#: How questions begin, persons and the day they are asked; the tables' invented prose has nothing for rules to find.
 QUESTIONS = [
     "What did I promise in the last meeting?",
     "Summarise the last 3 meetings for me",
@@ -108,8 +110,20 @@ def bulleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Summary\n- "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n- "))).alias("text"))
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(QUESTIONS)), "question_id int, text string")
+def _said() -> Column:
+    """A benchmark item's words without what rules look for."""
+    return F.trim(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]+", " "), r"(?i)\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b", "x"))
+
+
+def _opened(openings: list[str]) -> Column:
+    """The item's words behind the opening of its turn."""
+    return F.concat(F.element_at(F.array(*map(F.lit, openings)), (F.col("query_id") % len(openings) + 1).cast("int")), F.lit(" "), _said())
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each benchmark item: one of QUESTIONS in turn, and the item's words behind it."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items.select(F.col("query_id").alias("question_id"), _opened(QUESTIONS).alias("text"))
 
 
 def persons() -> Column:
@@ -118,9 +132,7 @@ def persons() -> Column:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for each benchmark item, with its vector: what the rules look for before the item's words."""
-    said = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^A-Za-z]+", " "), r"(?i)\b(i|me|my|mine|we|us|our|ours|he|she|they|him|her|them)\b", "x"))
-    opening = F.element_at(F.array(*map(F.lit, OPENINGS)), (F.col("query_id") % len(OPENINGS) + 1).cast("int"))
-    return queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.concat(opening, F.lit(" "), said).alias("text"), "embedding")
+    return queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), _opened(OPENINGS).alias("text"), "embedding")
 
 
 def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,5 +143,15 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("meeting_id", F.format_string("2024-05-%02d", number % 28 + 1).alias("date"), F.array(person(0), person(1)).alias("participants"))
 
 
+def saved_index(spark: SparkSession) -> Store:
+    """A new index in the shared folder."""
+    return Store(spark, folder(spark, "index"), 64)
+
+
+def summaries_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of the level "summary"."""
+    return chunks(spark, sf_dir).withColumn("level", F.lit("summary"))
+
+
 def dated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(talks(spark, sf_dir).select("meeting_id", F.col("date").alias("datetime")), "meeting_id", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import index
+from ..sources.store import Store
 
 
 def follow(spark: SparkSession, folder: str, schema: str, index_path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], available_now: bool = True, dimension: int = 0) -> StreamingQuery:
@@ -30,3 +31,17 @@ def follow(spark: SparkSession, folder: str, schema: str, index_path: str, check
     stream = spark.readStream.schema(schema).json(folder)
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def follow_store(spark: SparkSession, folder: str, schema: str, store_path: str, checkpoint: str, chunk: Callable[[DataFrame], DataFrame], available_now: bool = True, dimension: int = 0) -> StreamingQuery:
+    """Feed a saved index from the JSON lines in a folder; later lines of a chunk take the place of earlier ones.
+
+    The stream's batches are the index's, under the same numbers, so one that is run again after a failure is written
+    once. Nothing else may add to this index.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        Store(batch.sparkSession, store_path, dimension).add(chunk(batch), batch=number)
+
+    writer = spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
