@@ -222,7 +222,8 @@ def met_lists(nodes: DataFrame, segments: int, radius: int = RADIUS) -> DataFram
 
     def packed(rows: DataFrame, of: str, seed: int, name: str) -> DataFrame:
         dealt = rows.join(sized, key).withColumn(of, F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(f"{of}s")).cast("int"))
-        return dealt.groupBy(*key, of).agg(F.collect_list(F.struct("fp", "label")).alias(name), F.first("blocks").alias("blocks"), F.first("chunks").alias("chunks"))
+        # Lists of one bucket are packed in different tasks: the join has put the bucket into one.
+        return dealt.repartition(partitions(spark), *key, of).groupBy(*key, of).agg(F.collect_list(F.struct("fp", "label")).alias(name), F.first("blocks").alias("blocks"), F.first("chunks").alias("chunks"))
 
     both = of_bucket.withColumn("inside", F.explode(F.when(F.col("outside"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     left = packed(asks, "block", 1, "asks").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
