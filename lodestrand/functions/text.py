@@ -51,9 +51,9 @@ def summary_ids(text: Column) -> Column:
 
 
 def references(text: Column) -> Column:
-    """Identifiers M<n>-T<n> and M<n>-A<n> behind `Reference:` on each line, in order, repeats included."""
+    """Identifiers M<n>-T<n> and M<n>-A<n> behind the first `Reference:` of each line, in order, repeats included."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit("Reference:")))
-    return F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.substring_index(x, "Reference:", -1), F.lit(r"(M\d+-[TA]\d+)"), F.lit(1))))
+    return F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.regexp_extract(x, "Reference:(.*)", 1), F.lit(r"(M\d+-[TA]\d+)"), F.lit(1))))
 
 
 def paragraph_range(reference: Column) -> Column:
@@ -75,9 +75,9 @@ def entry_id(text: Column) -> Column:
 
 
 def entry_reference(text: Column) -> Column:
-    """The reference of an entry: a listed `- Reference:` before one on a line of its own."""
+    """The reference of an entry: a listed `- Reference:` before one behind white space."""
     listed = F.nullif(strip(F.regexp_extract(text, r"-\s*Reference:\s*([^\n]+)", 1)), F.lit(""))
-    plain = F.nullif(strip(F.regexp_extract(text, r"(?m)^\s*Reference:\s*([^\n]+)", 1)), F.lit(""))
+    plain = F.nullif(strip(F.regexp_extract(text, r"\s+Reference:\s*([^\n]+)", 1)), F.lit(""))
     return F.coalesce(listed, plain)
 
 

@@ -74,7 +74,7 @@ def ask(questions: DataFrame, chunks: DataFrame | Store, catalog: DataFrame, par
     ready = cut(ready if embedder is None else embed(ready, embedder))
     texts = chunks.chunks("summary") if isinstance(chunks, Store) else chunks
     found = projected(cut(retrieve(ready, chunks, k)), texts)
-    said = render.answers(ready.select(F.col("question_id").alias("query_id")), found.select(F.col("question_id").alias("query_id"), F.inline("chunks")))
+    said = render.dated_answers(ready.select(F.col("question_id").alias("query_id"), "text"), found.select(F.col("question_id").alias("query_id"), F.inline("chunks")))
     rows = ready.join(found, "question_id", "left").join(said.withColumnRenamed("query_id", "question_id"), "question_id")
     return rows.select(
         "question_id",

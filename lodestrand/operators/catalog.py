@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..sources import index
+from ..sources.scratch import cut
+from . import matching
 
 DEFAULT_N = 3
 
@@ -77,3 +80,105 @@ def query(catalog: DataFrame, query_type: str, **given) -> DataFrame:
     if query_type not in types:
         raise ValueError(f"unknown query type {query_type!r}; known: {', '.join(types)}")
     return types[query_type]()
+
+
+#: What a call may ask for, and what each needs.
+CALLS = ("find_person", "last_n_meetings", "date_from_relative", "filter_by_person", "filter_by_date", "filter_by_date_range", "get_all_participants")
+#: Columns of the rows that calls give.
+RESULT = ("call_id", "query_type", "place", "meeting_id", "date", "name", "score", "error")
+
+
+def tool_rows(calls: DataFrame, catalog: DataFrame, today: str) -> DataFrame:
+    """What a batch of catalog calls finds, a row for each thing found, numbered by place from 1.
+
+    calls: call_id, query_type and what the type needs of n, person_name, fuzzy_name, date_str, year, month, start_date
+    and end_date. find_person gives the three participants nearest to a name as typed, with scores; last_n_meetings the
+    n latest meetings, of a person if one is named (n of 0 or null is three); date_from_relative the day that a phrase
+    means; filter_by_person, filter_by_date and filter_by_date_range meetings by date, latest first; and
+    get_all_participants every name. A call without what it needs, or of another type, gives one row with an error.
+
+    The catalog is read once for each type, whatever the number of calls. Calls of a range meet the catalog by month.
+    """
+    known = calls.withColumn("query_type", F.coalesce("query_type", F.lit("null")))
+    wants = {"find_person": "fuzzy_name", "date_from_relative": "date_str", "filter_by_person": "fuzzy_name"}
+    problem = F.when(~F.col("query_type").isin(*CALLS), F.concat(F.lit("Unknown query_type: "), "query_type"))
+    for kind, column in wants.items():
+        problem = problem.when((F.col("query_type") == kind) & (F.coalesce(column, F.lit("")) == ""), f"{column} is required")
+    no_range = (F.coalesce("start_date", F.lit("")) == "") & (F.coalesce("end_date", F.lit("")) == "")
+    problem = problem.when((F.col("query_type") == "filter_by_date_range") & no_range, "At least one of start_date or end_date is required")
+    known = cut(known.withColumn("error", problem))
+    good = known.filter("error is null")
+
+    def of(kind: str) -> DataFrame:
+        return good.filter(F.col("query_type") == kind)
+
+    def rows(found: DataFrame) -> DataFrame:
+        kinds = {"place": "int", "meeting_id": catalog.schema["meeting_id"].dataType.simpleString(), "date": "string", "name": "string", "score": "double", "error": "string"}
+        return found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(kinds[c]).alias(c) for c in RESULT])
+
+    meetings = catalog.select("meeting_id", "date", "year", "month", "participants")
+    latest = Window.partitionBy("call_id").orderBy(F.desc("date"), "meeting_id")
+
+    def placed(found: DataFrame) -> DataFrame:
+        return rows(found.withColumn("place", F.row_number().over(latest)))
+
+    people = meetings.select("meeting_id", "date", F.explode(F.array_distinct("participants")).alias("person"))
+    asked = of("find_person")
+    near = matching.matches(asked.select(F.col("fuzzy_name").alias("name")), people.select(F.col("person").alias("candidate")), 3)
+    found = asked.select("call_id", "query_type", "fuzzy_name").join(near.withColumnRenamed("name", "fuzzy_name"), "fuzzy_name")
+    parts = [rows(found.select("call_id", "query_type", F.col("rank").alias("place"), F.col("candidate").alias("name"), "score"))]
+
+    asked = of("last_n_meetings").select("call_id", "query_type", "person_name", F.coalesce(F.nullif("n", F.lit(0)), F.lit(DEFAULT_N)).alias("n"))
+    most = asked.agg(F.max("n")).first()[0] or 0
+    # The latest of all, and of each person asked for, are ranked once for all calls.
+    newest = meetings.orderBy(F.desc("date"), "meeting_id").limit(most).select("meeting_id", "date", F.lit(None).cast("string").alias("person"))
+    theirs = people.join(asked.select(F.col("person_name").alias("person")).distinct(), "person", "left_semi").select("meeting_id", "date", "person")
+    ranked = newest.unionByName(theirs).withColumn("place", F.row_number().over(Window.partitionBy("person").orderBy(F.desc("date"), "meeting_id"))).filter(F.col("place") <= most)
+    parts.append(rows(asked.join(ranked, F.col("person_name").eqNullSafe(F.col("person")) & (F.col("place") <= F.col("n")))))
+
+    day = dates.resolve(F.col("date_str"), F.to_date(F.lit(today)))
+    parts.append(rows(of("date_from_relative").select("call_id", "query_type", F.lit(1).alias("place"), day.alias("date"))))
+
+    parts.append(placed(of("filter_by_person").select("call_id", "query_type", F.col("fuzzy_name").alias("person")).join(people, "person")))
+
+    # A call without year or month is one for each that the catalog has.
+    asked = of("filter_by_date").select("call_id", "query_type", F.nullif("year", F.lit(0)).alias("own_year"), F.nullif("month", F.lit(0)).alias("own_month"))
+    known_months = meetings.select("year", "month").distinct()
+    fits = (F.coalesce("own_year", "year").eqNullSafe(F.col("year"))) & (F.coalesce("own_month", "month").eqNullSafe(F.col("month")))
+    wanted = asked.join(known_months, fits).select("call_id", "query_type", F.col("year").alias("y"), F.col("month").alias("m"))
+    parts.append(placed(wanted.join(meetings, F.col("y").eqNullSafe(F.col("year")) & F.col("m").eqNullSafe(F.col("month")))))
+
+    asked = of("filter_by_date_range").select("call_id", "query_type", F.nullif("start_date", F.lit("")).alias("since"), F.nullif("end_date", F.lit("")).alias("until"))
+    inside = lambda c: F.coalesce(c >= F.col("since"), F.lit(True)) & F.coalesce(c <= F.col("until"), F.lit(True))
+    month_of = F.substring("date", 1, 7)
+    wanted = asked.join(meetings.select(month_of.alias("ym")).distinct(), F.coalesce(F.col("ym") >= F.substring("since", 1, 7), F.lit(True)) & F.coalesce(F.col("ym") <= F.substring("until", 1, 7), F.lit(True)))
+    parts.append(placed(wanted.join(meetings.withColumn("own_ym", month_of), F.col("ym") == F.col("own_ym")).filter(inside(F.col("date")))))
+
+    names = index_of(people.select(F.col("person").alias("name")).filter("name is not null").distinct(), "name")
+    parts.append(rows(of("get_all_participants").select("call_id", "query_type").withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one")))
+
+    parts.append(rows(known.filter("error is not null").select("call_id", "query_type", "error")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+def index_of(names: DataFrame, column: str) -> DataFrame:
+    """Distinct names with their place in order, from 1, without one task for all."""
+    return index.numbered(names.withColumnRenamed(column, "chunk_id"), 1).select(F.col("chunk_id").alias(column), F.col("ordinal").cast("int").alias("place"))
+
+
+def tool_results(calls: DataFrame, catalog: DataFrame, today: str) -> DataFrame:
+    """call_id, query_type, count and result, a JSON object with what tool_rows finds for each call.
+
+    Lists are in order of place. A call's whole result is one row, as its caller wants it.
+    """
+    one = F.struct("place", "meeting_id", "date", "name", "score")
+    found = tool_rows(calls, catalog, today).groupBy("call_id", "query_type").agg(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), one))).alias("items"), F.max("error").alias("error"))
+    rows = calls.select("call_id", F.coalesce("query_type", F.lit("null")).alias("query_type")).join(found, ["call_id", "query_type"], "left")
+    rows = rows.withColumn("items", F.coalesce("items", F.array().cast(found.schema["items"].dataType)))
+    listed = lambda c: F.filter(F.transform("items", lambda x: x[c]), lambda x: x.isNotNull())
+    count = F.size("items")
+    result = F.struct("query_type", listed("meeting_id").alias("meeting_ids"), listed("date").alias("dates"), listed("name").alias("names"), listed("score").alias("scores"), count.alias("count"), "error")
+    return rows.select("call_id", "query_type", count.alias("count"), F.to_json(result).alias("result"))

@@ -43,8 +43,10 @@ def paragraph_index(rows: DataFrame, key: str) -> DataFrame:
 
 
 def tagged(rows: DataFrame, key: str) -> DataFrame:
-    """key and the text with `[#P001] ` before each paragraph start, from numbered lines."""
-    line = F.when(F.col("is_start"), F.concat(F.format_string("[#P%03d] ", "paragraph"), F.col("line"))).otherwise(F.col("line"))
+    """key and the text with `[#P001] ` before each paragraph start, behind its indentation, from numbered lines."""
+    said = F.regexp_replace("line", r"^\s+", "")
+    indented = F.concat(F.repeat(F.lit(" "), F.length("line") - F.length(said)), F.format_string("[#P%03d] ", "paragraph"), said)
+    line = F.when(F.col("is_start"), indented).otherwise(F.col("line"))
     ordered = F.sort_array(F.collect_list(F.struct("line_no", line.alias("line"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
@@ -165,9 +167,9 @@ def recursive_chunks(text: Column, size: int = 800, overlap: int = 120) -> Colum
 
 
 def metadata_text(brief: Column, descriptions: Column) -> Column:
-    """`Brief Summary: …` and each description that is not empty, a line each."""
+    """`Brief Summary: …`, if there is one, and each description that is not empty, a line each."""
     listed = F.filter(descriptions, lambda d: F.coalesce(d, F.lit("")) != "")
-    return F.concat_ws("\n", F.concat(F.lit("Brief Summary: "), F.coalesce(brief, F.lit(""))), F.when(F.size(listed) > 0, F.array_join(listed, "\n")))
+    return F.concat_ws("\n", F.concat(F.lit("Brief Summary: "), F.nullif(brief, F.lit(""))), F.when(F.size(listed) > 0, F.array_join(listed, "\n")))
 
 
 def _dated(text: Column) -> Column:

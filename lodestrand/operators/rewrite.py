@@ -12,7 +12,12 @@ from . import matching
 FIRST_PERSON = "i me my mine we us our ours".split()
 THIRD_PERSON = "he she they him her them".split()
 #: Time phrases that are resolved to a day.
-TIME = r"(?i)\b(today|yesterday|tomorrow|\d+\s+(?:day|week|month)s?\s+ago|(?:last|past|next)\s+(?:week|month|year)|\d{4}-\d{2}-\d{2})\b"
+#: May is a month only beside a number.
+_MONTH = "|".join(m for m in dates.MONTHS if m != "may")
+TIME = (
+    r"(?i)\b(today|(?:the\s+)?day\s+before\s+yesterday|yesterday|tomorrow|\d+\s+(?:day|week|month|year)s?\s+ago|(?:last|past|next)\s+(?:week|month|year)|\d{4}-\d{2}-\d{2}"
+    rf"|\d{{1,2}}\s+(?:{_MONTH}|may)(?:\s+\d{{4}})?|(?:{_MONTH}|may)\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|(?:{_MONTH}|may)\s+\d{{4}}|(?:{_MONTH}))\b"
+)
 #: Phrases that name the latest meetings; the number is in a group of its own.
 LATEST = r"(?i)\b(?:last|recent|past|previous)\s+(?:(\d+)\s+)?meetings?\b"
 #: What needs the corpus, and what needs none.

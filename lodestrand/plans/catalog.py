@@ -443,3 +443,15 @@ def q58_index_ask(spark, sf_dir):
     store.add(chunks)
     done = agent.ask(S.asked(spark, sf_dir), store, S.talks(spark, sf_dir), S.persons(), S.USER, S.TODAY)
     return _asked_columns(done)
+
+
+@query
+def q59_catalog_tool_calls(spark, sf_dir):
+    calls = S.tool_calls(spark, sf_dir).filter("query_type <> 'find_person'")
+    return meetings.tool_rows(calls, _catalog(spark, sf_dir), S.TODAY).drop("score")
+
+
+@query
+def q60_find_person_calls(spark, sf_dir):
+    calls = S.tool_calls(spark, sf_dir).filter("query_type = 'find_person'")
+    return meetings.tool_rows(calls, _catalog(spark, sf_dir), S.TODAY).select("call_id", "place", "name", "score", "error")

@@ -179,11 +179,11 @@ SUMMARY_SEGMENTS = "segs AS (SELECT conv_id AS key, (row_number() OVER (PARTITIO
 def resolved() -> str:
     """The substitutions of q41, step by step."""
     text = rf"regexp_replace(text, '\b(?:i|me|my|mine|we|us|our|ours)\b', '{USER}', 'gi')"
+    for phrase, day in (("the day before yesterday", f"DATE '{TODAY}' - 2"), ("5 June 2023", "DATE '2023-06-05'"), ("November 2025", "DATE '2025-11-15'"), ("March", "DATE '2024-03-15'"), ("2 weeks ago", f"DATE '{TODAY}' - 14"), ("3 days ago", f"DATE '{TODAY}' - 3"), ("last week", f"DATE '{TODAY}' - 7"), ("last month", f"DATE '{TODAY}' - INTERVAL 1 MONTH")):
+        text = f"replace({text}, '{phrase}', strftime({day}, '%Y-%m-%d'))"
     days = {"yesterday": 1, "today": 0, "tomorrow": -1}
     for word, back in days.items():
         text = rf"regexp_replace({text}, '\b{word}\b', strftime(DATE '{TODAY}' - {back}, '%Y-%m-%d'), 'gi')"
-    for phrase, day in (("2 weeks ago", f"DATE '{TODAY}' - 14"), ("3 days ago", f"DATE '{TODAY}' - 3"), ("last week", f"DATE '{TODAY}' - 7"), ("last month", f"DATE '{TODAY}' - INTERVAL 1 MONTH")):
-        text = f"replace({text}, '{phrase}', strftime({day}, '%Y-%m-%d'))"
     for person in PERSONS:
         if person in ("Speaker 1", "Host"):
             continue
@@ -195,7 +195,11 @@ def resolved() -> str:
 
 
 NAMED = "list_filter([" + ", ".join(_str(p) for p in PERSONS if p not in ("Speaker 1", "Host")) + rf"], lambda p: len(list_filter(string_split(lower(p), ' '), lambda w: length(w) >= 4 AND list_contains(regexp_extract_all(lower(text), '{TOK}'), w))) > 0)"
-TIME = r"\b(today|yesterday|tomorrow|\d+\s+(?:day|week|month)s?\s+ago|(?:last|past|next)\s+(?:week|month|year)|\d{4}-\d{2}-\d{2})\b"
+_MONTH = "january|february|march|april|june|july|august|september|october|november|december"
+TIME = (
+    r"\b(today|(?:the\s+)?day\s+before\s+yesterday|yesterday|tomorrow|\d+\s+(?:day|week|month|year)s?\s+ago|(?:last|past|next)\s+(?:week|month|year)|\d{4}-\d{2}-\d{2}"
+    rf"|\d{{1,2}}\s+(?:{_MONTH}|may)(?:\s+\d{{4}})?|(?:{_MONTH}|may)\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|(?:{_MONTH}|may)\s+\d{{4}}|(?:{_MONTH}))\b"
+)
 LATEST = r"\b(?:last|recent|past|previous)\s+(?:(\d+)\s+)?meetings?\b"
 
 def ask(chunks: str = "") -> str:
@@ -227,13 +231,25 @@ qs AS (SELECT query_id, text, embedding FROM ready WHERE need_rag),
 scope AS (SELECT query_id, unnest(string_split(meetings, ', ')) AS meeting_id FROM ready WHERE need_rag AND meetings <> ''),
 {allowed("pairs", "chunks", "scope", "qs", True)},
 {hybrid("a", "chunks", "qs", "pairs", 10, candidates=20)},
+hits AS (
+  SELECT query_id, chunk_id, rank, date, regexp_extract(text, '^\s*([^.!?\n]*[.!?]?)', 1) || ' [' || chunk_id || ']' AS said
+  FROM a_hybrid JOIN chunks USING (chunk_id) LEFT JOIN talks USING (meeting_id)),
 found AS (
   SELECT query_id, count(*)::INTEGER AS total_chunks, string_agg(chunk_id || '@' || coalesce(date, 'N/A'), ' ' ORDER BY rank) AS chunks,
-    string_agg(regexp_extract(text, '^\s*([^.!?\n]*[.!?]?)', 1) || ' [' || chunk_id || ']', chr(10) ORDER BY rank) FILTER (rank <= 3) AS answer
-  FROM a_hybrid JOIN chunks USING (chunk_id) LEFT JOIN talks USING (meeting_id) GROUP BY query_id)
+    string_agg(said, chr(10) ORDER BY rank) FILTER (rank <= 3) AS best
+  FROM hits GROUP BY query_id),
+days AS (
+  SELECT query_id, d, min(pos) AS pos FROM (
+    SELECT query_id, unnest(l) AS d, unnest(generate_series(1, len(l))) AS pos FROM (SELECT query_id, regexp_extract_all(text, '\d{{4}}-\d{{2}}-\d{{2}}') AS l FROM ready)) GROUP BY query_id, d),
+of_day AS (SELECT d.query_id, d.d, d.pos, h.said, row_number() OVER (PARTITION BY d.query_id, d.d ORDER BY h.rank) AS n FROM days d LEFT JOIN hits h ON h.query_id = d.query_id AND h.date = d.d),
+sections AS (
+  SELECT query_id, pos, CASE WHEN count(said) > 0 THEN d || ':' || chr(10) || string_agg(said, chr(10) ORDER BY n) ELSE 'No information is available for ' || d || '.' END AS section
+  FROM of_day WHERE n <= 3 GROUP BY query_id, d, pos),
+by_day AS (SELECT query_id, string_agg(section, chr(10) || chr(10) ORDER BY pos) AS dated FROM sections GROUP BY query_id)
 SELECT query_id AS question_id, need_rag, need_rewrite, CASE WHEN need_rag THEN 'rag' ELSE 'direct' END AS answer_mode, text AS rewritten, meetings, NOT need_rag AS skipped,
-  coalesce(total_chunks, 0) AS total_chunks, coalesce(chunks, '') AS chunks, coalesce(answer, 'No relevant content was found.') AS answer
-FROM ready LEFT JOIN found USING (query_id)"""
+  coalesce(total_chunks, 0) AS total_chunks, coalesce(chunks, '') AS chunks,
+  CASE WHEN total_chunks IS NULL THEN 'No relevant information was found for your query.' ELSE coalesce(dated, best) END AS answer
+FROM ready LEFT JOIN found USING (query_id) LEFT JOIN by_day USING (query_id)"""
 
 
 def hierarchy(base: str, levels: tuple[str, str, str]) -> str:
@@ -266,7 +282,7 @@ SCOPED = f"WITH {BASE},\n" + allowed("pairs", "chunks", "scope", "qs", False)
 ORACLE_SQL: dict[str, str] = {
     "q01_paragraph_index": f"WITH docs AS (SELECT doc_id AS key, text FROM documents), {PARAGRAPHS}\nSELECT key AS doc_id, line_no::INTEGER AS line_no, is_start, paragraph FROM numbered",
     "q02_paragraph_tag_transcript": f"""WITH docs AS (SELECT conv_id AS key, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), {PARAGRAPHS}
-SELECT key AS conv_id, string_agg(CASE WHEN is_start THEN printf('[#P%03d] ', paragraph) || line ELSE line END, chr(10) ORDER BY line_no) AS text FROM numbered GROUP BY key""",
+SELECT key AS conv_id, string_agg(CASE WHEN is_start THEN repeat(' ', length(line) - length(regexp_replace(line, '^\\s+', ''))) || printf('[#P%03d] ', paragraph) || regexp_replace(line, '^\\s+', '') ELSE line END, chr(10) ORDER BY line_no) AS text FROM numbered GROUP BY key""",
     "q03_extract_topics": rf"""WITH {SUMMARIES},
 found AS (SELECT conv_id, participants, list_filter(list_transform(regexp_extract_all(summary_text, '\[S\d+-T\d+\]\s*Topic:\s*([^\n]+)', 1), lambda x: trim(rtrim(trim(x, E' \n\r\t'), '*'), E' \n\r\t')), lambda x: x <> '') AS t FROM summaries),
 chosen AS (SELECT conv_id, CASE WHEN len(t) > 0 THEN t ELSE participants END AS t FROM found)
@@ -282,7 +298,7 @@ FROM who""",
     "q06_extract_summary_ids": rf"""WITH {SUMMARIES}, found AS (SELECT conv_id, regexp_extract_all(summary_text, '\[(S\d+-[TA]\d+)\]', 1) AS t FROM summaries)
 SELECT conv_id, (unnest(generate_series(1, len(t))) - 1)::INTEGER AS place, unnest(t) AS summary_id FROM found""",
     "q07_extract_references": rf"""WITH {SUMMARIES},
-found AS (SELECT conv_id, flatten(list_transform(list_filter(string_split(summary_text, chr(10)), lambda x: contains(x, 'Reference:')), lambda x: regexp_extract_all(string_split(x, 'Reference:')[-1], '(M\d+-[TA]\d+)', 1))) AS t FROM summaries)
+found AS (SELECT conv_id, flatten(list_transform(list_filter(string_split(summary_text, chr(10)), lambda x: contains(x, 'Reference:')), lambda x: regexp_extract_all(regexp_extract(x, 'Reference:(.*)', 1), '(M\d+-[TA]\d+)', 1))) AS t FROM summaries)
 SELECT conv_id, (unnest(generate_series(1, len(t))) - 1)::INTEGER AS place, unnest(t) AS reference FROM found""",
     "q08_expand_paragraph_ranges": """WITH keys AS (SELECT o_orderkey, o_orderkey::INTEGER AS k FROM orders),
 spans AS (
@@ -294,7 +310,7 @@ once AS (SELECT o_orderkey, n, min(part) AS part FROM nums GROUP BY o_orderkey,
 SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderkey ORDER BY part, n) - 1)::INTEGER AS place, printf('#P%03d', n) AS paragraph FROM once""",
     "q09_entry_split": f"WITH {ENTRIES}, parts AS (SELECT conv_id AS key, text FROM entry_texts), {ENTRY_SPLIT}\nSELECT key AS conv_id, entry_no, entry, entry_id, reference FROM keyed",
     "q10_metadata_chunk_text": f"""{CATALOG}SELECT meeting_id, meeting_id || '_metadata' AS chunk_id,
-  'Brief Summary: ' || topics_str || CASE WHEN len(kept) > 0 THEN chr(10) || array_to_string(kept, chr(10)) ELSE '' END AS text
+  concat_ws(chr(10), 'Brief Summary: ' || nullif(topics_str, ''), CASE WHEN len(kept) > 0 THEN array_to_string(kept, chr(10)) END) AS text
 FROM (SELECT *, list_filter(action_tasks, lambda t: NOT contains(t, ' N ')) AS kept FROM cat)""",
     "q11_bullet_overlap_chunks": f"""WITH RECURSIVE segs AS (
   SELECT doc_id AS key, unnest(generate_series(1, len(l)))::INTEGER AS i, unnest(l) AS seg, unnest(generate_series(1, len(l))) > 1 AS bullet
@@ -358,9 +374,9 @@ SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM a_dense""",
 SELECT query_id, count(*) AS n_chunks, string_agg('[' || chunk_id || '] (Date: ' || coalesce(strftime(o_orderdate, '%Y-%m-%d'), 'None') || ')' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank) AS context
 FROM a_dense JOIN chunks USING (chunk_id) LEFT JOIN orders ON o_orderkey = chunk_id AND chunk_id % 3 <> 0 GROUP BY query_id""",
     "q29_outline_render": """WITH parts AS (
-  SELECT conv_id, coalesce(role, '') AS role, '  - ' || coalesce(role, '') || chr(10) || string_agg('    - ' || coalesce(text, ''), chr(10) ORDER BY turn) AS said
+  SELECT conv_id, coalesce(role, '') AS role, '- ' || coalesce(role, '') || chr(10) || string_agg('  - ' || coalesce(text, ''), chr(10) ORDER BY turn) AS said
   FROM conversations GROUP BY conv_id, coalesce(role, ''))
-SELECT conv_id, '- Conversation ' || conv_id || chr(10) || string_agg(said, chr(10) ORDER BY role) AS outline FROM parts GROUP BY conv_id""",
+SELECT conv_id, trim('Discussion on Conversation ' || conv_id || chr(10) || chr(10) || string_agg(said, chr(10) || chr(10) ORDER BY role), E' \\n\\r\\t') AS outline FROM parts GROUP BY conv_id""",
     "q30_catalog_flatten": f"{CATALOG}SELECT meeting_id, datetime, date, year, month, day, participants_str, topics_str, action_tasks_str FROM cat",
     "q31_last_n_meetings": f"{CATALOG}SELECT meeting_id, date, participants_str FROM cat ORDER BY date DESC, meeting_id LIMIT 10",
     "q32_last_n_for_person": f"{CATALOG}SELECT meeting_id, date, participants_str FROM cat WHERE list_contains(participants, 'Supplier#000000001') ORDER BY date DESC, meeting_id LIMIT 3",
@@ -418,7 +434,7 @@ UNION ALL SELECT doc_id, 'right', NULL, NULL FROM labels ANTI JOIN documents USI
 SELECT printf('data%03d', key) AS meeting_id, 'summary' AS level, printf('data%03d', key) || '_summary_' || chunk_no AS chunk_id,
   chunk || chr(10) || chr(10) || 'Meeting: Talk' || chr(10) || 'Date: None' AS text,
   array_to_string(regexp_extract_all(chunk, '\[(S\d+-[TA]\d+)\]', 1), ',') AS summary_ids,
-  array_to_string(flatten(list_transform(list_filter(string_split(chunk, chr(10)), lambda x: contains(x, 'Reference:')), lambda x: regexp_extract_all(string_split(x, 'Reference:')[-1], '(M\d+-[TA]\d+)', 1))), ',') AS "references"
+  array_to_string(flatten(list_transform(list_filter(string_split(chunk, chr(10)), lambda x: contains(x, 'Reference:')), lambda x: regexp_extract_all(regexp_extract(x, 'Reference:(.*)', 1), '(M\d+-[TA]\d+)', 1))), ',') AS "references"
 FROM packs""",
     "q50_reference_graph": r"""WITH cited AS (
   SELECT DISTINCT conv_id, unnest([printf('M%03d-T%02d', conv_id, turn + 1), printf('M%03d-A%02d', conv_id, turn + 2)]) AS entry_id FROM conversations),
@@ -428,7 +444,7 @@ FROM cited JOIN listed USING (conv_id, entry_id) JOIN conversations c USING (con
     "q51_extractive_answers": f"""WITH {BASE},
 {bm25("a", "chunks", "qs", None, 3)},
 said AS (SELECT query_id, string_agg(regexp_extract(text, '^\\s*([^.!?\\n]*[.!?]?)', 1) || ' [' || chunk_id || ']', chr(10) ORDER BY rank) AS answer FROM a_bm25 JOIN chunks USING (chunk_id) GROUP BY query_id)
-SELECT query_id, coalesce(answer, 'No relevant content was found.') AS answer FROM qs LEFT JOIN said USING (query_id)""",
+SELECT query_id, coalesce(answer, 'No relevant information was found for your query.') AS answer FROM qs LEFT JOIN said USING (query_id)""",
     "q52_ask": ask(),
     "q53_index_bm25": f"WITH {TEXTED},\n{bm25('a', 'chunks', 'qs', None, 10)}\nSELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM a_bm25",
     "q54_index_replaced_and_removed": f"WITH {TEXTED.replace('text IS NOT NULL', "text IS NOT NULL AND source IS DISTINCT FROM 'src3'")},\n{allowed('pairs', 'chunks', 'scope', 'qs', True)},\n{hybrid('a', 'chunks', 'qs', 'pairs', 10)}\nSELECT * REPLACE (rank::INTEGER AS rank) FROM a_hybrid",
@@ -447,4 +463,26 @@ found AS (SELECT chunks.*, o_orderpriority FROM chunks JOIN fit ON o_orderkey =
 {dense("a", "found", "qs", "pairs", 5)}
 SELECT query_id, chunk_id, round((1 + score) / 2, 7) AS score, rank::INTEGER AS rank, meeting_id, o_orderpriority FROM a_dense JOIN found USING (chunk_id)""",
     "q58_index_ask": ask(" WHERE text IS NOT NULL"),
+    "q59_catalog_tool_calls": f"""{CATALOG.rstrip()},
+calls AS (
+  SELECT item_id AS call_id, ['find_person', 'last_n_meetings', 'date_from_relative', 'filter_by_person', 'filter_by_date', 'filter_by_date_range', 'get_all_participants', 'find_topic'][(item_id % 8 + 1)::INTEGER] AS query_type,
+    turn % 5 AS n, CASE WHEN turn % 2 = 1 THEN person END AS person_name, CASE WHEN turn % 4 <> 3 THEN person END AS fuzzy_name,
+    ['yesterday', '2 weeks ago', 'November 2025', 'some day', ''][(turn % 5 + 1)::INTEGER] AS date_str, 1994 + turn % 7 AS y, turn % 13 AS m,
+    CASE WHEN turn % 3 <> 2 THEN (1993 + turn % 6) || '-03-15' END AS since, CASE WHEN turn % 3 = 0 THEN (1993 + turn % 6) || '-06-10' WHEN turn % 6 = 2 THEN '1993-01-31' END AS until
+  FROM (SELECT item_id, item_id // 8 AS turn, printf('Supplier#%09d', item_id % 5 + 1) AS person FROM benchmark)),
+judged AS (
+  SELECT *, CASE WHEN query_type = 'find_topic' THEN 'Unknown query_type: find_topic' WHEN query_type = 'filter_by_person' AND fuzzy_name IS NULL THEN 'fuzzy_name is required'
+    WHEN query_type = 'date_from_relative' AND date_str = '' THEN 'date_str is required'
+    WHEN query_type = 'filter_by_date_range' AND since IS NULL AND until IS NULL THEN 'At least one of start_date or end_date is required' END AS error FROM calls WHERE query_type <> 'find_person'),
+met AS (
+  SELECT call_id, query_type, row_number() OVER (PARTITION BY call_id ORDER BY date DESC, meeting_id) AS place, meeting_id, date, CASE WHEN query_type = 'last_n_meetings' THEN coalesce(nullif(n, 0), 3) END AS most
+  FROM judged JOIN cat ON error IS NULL AND CASE query_type
+    WHEN 'last_n_meetings' THEN person_name IS NULL OR list_contains(participants, person_name)
+    WHEN 'filter_by_person' THEN list_contains(participants, fuzzy_name)
+    WHEN 'filter_by_date' THEN (y = year) IS TRUE AND (m = 0 OR (m = month) IS TRUE)
+    WHEN 'filter_by_date_range' THEN (since IS NULL OR date >= since) AND (until IS NULL OR date <= until) END)
+SELECT call_id, query_type, place::INTEGER AS place, meeting_id, date, NULL::VARCHAR AS name, NULL::VARCHAR AS error FROM met WHERE most IS NULL OR place <= most
+UNION ALL SELECT call_id, query_type, 1, NULL, CASE date_str WHEN 'yesterday' THEN '2024-05-14' WHEN '2 weeks ago' THEN '2024-05-01' WHEN 'November 2025' THEN '2025-11-15' END, NULL, NULL FROM judged WHERE query_type = 'date_from_relative' AND error IS NULL
+UNION ALL SELECT call_id, query_type, (row_number() OVER (PARTITION BY call_id ORDER BY encode(name)))::INTEGER, NULL, NULL, name, NULL FROM judged, (SELECT DISTINCT unnest(participants) AS name FROM cat) WHERE query_type = 'get_all_participants'
+UNION ALL SELECT call_id, query_type, NULL, NULL, NULL, NULL, error FROM judged WHERE error IS NOT NULL""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import catalog
 from ..sources.scratch import folder
 from ..sources.spread import spread
 from ..sources.store import Store
@@ -31,9 +32,12 @@ QUESTIONS = [
     "Past meetings with Barbara, please",
     "How do I sort a list?",
     "Did they mention Liskov last month?",
+    "Summarise the talks of November 2025 on",
+    "Which risks came up in March:",
+    "What was agreed on 5 June 2023 and the day before yesterday?",
 ]
 #: Beginnings of questions, for those that are made of benchmark items.
-OPENINGS = ["What did Hopper say in the last 2 meetings about", "What did I promise in the last meeting on", "Define", "What was agreed in recent meetings:", "Find minutes with"]
+OPENINGS = ["What did Hopper say in the last 2 meetings about", "What did I promise in the last meeting on", "Define", "What was agreed in recent meetings:", "Find minutes with", "What was said on 2024-05-03, 2024-05-04 and in 2031 on", "Which talks of 2024-05-06 and yesterday were about"]
 PERSONS = ["Ada Lovelace", "Grace Hopper", "Alan Turing", "Edsger Dijkstra", "Barbara Liskov", "Speaker 1", "Host"]
 USER, TODAY = "Robin", "2024-05-15"
 
@@ -143,6 +147,26 @@ def talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.select("meeting_id", F.format_string("2024-05-%02d", number % 28 + 1).alias("date"), F.array(person(0), person(1)).alias("participants"))
 
 
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog call for each benchmark item: its number says which type, and what is asked for."""
+    kinds = F.array(*map(F.lit, [*catalog.CALLS, "find_topic"]))
+    key = F.col("item_id")
+    turn = (key / 8).cast("int")
+    person = F.format_string("Supplier#%09d", key % 5 + 1)
+    return read(spark, sf_dir, "benchmark").select(
+        key.alias("call_id"),
+        F.element_at(kinds, (key % 8 + 1).cast("int")).alias("query_type"),
+        (turn % 5).cast("int").alias("n"),
+        F.when(turn % 2 == 1, person).alias("person_name"),
+        F.when(turn % 4 != 3, F.when(key % 8 == 0, F.format_string("suplier %d", key % 90)).otherwise(person)).alias("fuzzy_name"),
+        F.element_at(F.array(*map(F.lit, ["yesterday", "2 weeks ago", "November 2025", "some day", ""])), (turn % 5 + 1).cast("int")).alias("date_str"),
+        (1994 + turn % 7).cast("int").alias("year"),
+        (turn % 13).cast("int").alias("month"),
+        F.when(turn % 3 != 2, F.concat((1993 + turn % 6).cast("string"), F.lit("-03-15"))).alias("start_date"),
+        F.when(turn % 3 == 0, F.concat((1993 + turn % 6).cast("string"), F.lit("-06-10"))).when(turn % 6 == 2, "1993-01-31").alias("end_date"),
+    )
+
+
 def saved_index(spark: SparkSession) -> Store:
     """A new index in the shared folder."""
     return Store(spark, folder(spark, "index"), 64)

@@ -67,11 +67,10 @@ def summary_metadata(meetings: DataFrame) -> DataFrame:
     part of the task, which then also gives a missing assignee; else it is numbered by its place.
     """
     names = F.filter(F.transform("participants", lambda p: strip(p["name"])), lambda n: n != "")
-    number = F.regexp_extract("meeting_id", r"(\d+)$", 1)
 
     def named(task, i):
         known = F.try_element_at(F.filter("actions", lambda a: (F.coalesce(a["description_plain"], F.lit("")) != "") & F.contains(F.lower(task), F.lower(a["description_plain"]))), F.lit(1))
-        numbered = F.concat(F.lit("M"), number, F.format_string("-A%02d", i + 1))
+        numbered = F.concat(F.replace("meeting_id", F.lit("data"), F.lit("M")), F.format_string("-A%02d", i + 1))
         return F.struct(F.coalesce(known["action_id"], numbered).alias("action_id"), task.alias("task"), F.coalesce(assignee(task, F.col("names")), known["assignee"]["name"]).alias("assignee"))
 
     return meetings.withColumn("names", names).select(

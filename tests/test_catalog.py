@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,4 +95,62 @@ def test_rendering(spark):
     hits = spark.createDataFrame([(1, 2, "c2", None, "Two. More"), (1, 1, "c1", "2024-01-01", "One! x")], "query_id int, rank int, chunk_id string, datetime string, text string")
     assert render.contexts(hits, 15).first()["context"] == "[c1] (Date: 2024-01-01)\nOne! x\n\n[c2] (Date: None)\nTwo. More\n"
     queries = spark.createDataFrame([(1,), (2,)], "query_id int")
-    assert {r["query_id"]: r["answer"] for r in render.answers(queries, hits).collect()} == {1: "One! [c1]\nTwo. [c2]", 2: "No relevant content was found."}
+    assert {r["query_id"]: r["answer"] for r in render.answers(queries, hits).collect()} == {1: "One! [c1]\nTwo. [c2]", 2: render.NOTHING}
+    shown = {r["query_id"]: (r["n_chunks"], r["context"]) for r in render.with_empty(queries, render.contexts(hits)).collect()}
+    assert shown[1][0] == 2 and shown[2] == (0, "No relevant context found.")
+
+
+def test_outlines(spark):
+    rows = spark.createDataFrame([(1, "Plans", [("A", [("x",), ("y",)]), ("B", []), ("C", [("z",)])]), (2, "None", [])], "id int, topic string, parts array<struct<topic_name:string,bullet_points:array<struct<point:string>>>>")
+    got = {r["id"]: r["t"] for r in rows.select("id", render.outline(F.col("topic"), F.col("parts")).alias("t")).collect()}
+    assert got == {1: "Discussion on Plans\n\n- A\n  - x\n  - y\n\n- B\n\n- C\n  - z", 2: "Discussion on None"}
+
+
+def test_answers_by_day(spark):
+    hits = [(1, 1, "a", "2024-05-03T10:00:00Z", "One. x"), (1, 2, "b", "2024-05-04", "Two! x"), (1, 3, "c", "2024-05-03", "Three"), (1, 4, "d", None, "Four"), (2, 1, "a", "2024-05-03", "One. x")]
+    hits = spark.createDataFrame(hits, "query_id int, rank int, chunk_id string, datetime string, text string")
+    asked = spark.createDataFrame([(1, "on 2024-05-04, 2024-05-03, 2024-05-04 or 2024-05-09?"), (2, "any day"), (3, "on 2024-05-04")], "query_id int, text string")
+    got = {r["query_id"]: r["answer"] for r in render.dated_answers(asked, hits).collect()}
+    assert got[1] == "2024-05-04:\nTwo! [b]\n\n2024-05-03:\nOne. [a]\nThree [c]\n\nNo information is available for 2024-05-09."
+    assert got[2] == "One. [a]" and got[3] == render.NOTHING
+
+
+CALL = "call_id int, query_type string, n int, person_name string, fuzzy_name string, date_str string, year int, month int, start_date string, end_date string"
+
+
+def test_catalog_calls(spark, meetings):
+    def call(i, kind, **given):
+        return (i, kind, *[given.get(c.split()[0]) for c in CALL.split(", ")[2:]])
+
+    calls = [
+        call(1, "last_n_meetings", n=2),
+        call(2, "last_n_meetings", n=0, person_name="Ann"),
+        call(3, "date_from_relative", date_str="yesterday"),
+        call(4, "date_from_relative", date_str="one day"),
+        call(5, "filter_by_person", fuzzy_name="Ann"),
+        call(6, "filter_by_person"),
+        call(7, "filter_by_date"),
+        call(8, "filter_by_date_range"),
+        call(9, "get_all_participants"),
+        call(10, "find_person", fuzzy_name="An"),
+        call(11, "nothing"),
+        call(12, None),
+        call(13, "filter_by_date_range", end_date="2024-12-31"),
+    ]
+    frame = spark.createDataFrame(calls, CALL)
+    rows = catalog.tool_rows(frame, meetings, "2024-05-15").collect()
+    got = {i: [r for r in sorted(rows, key=lambda r: r["place"] or 0) if r["call_id"] == i] for i in range(1, 14)}
+    assert [r["meeting_id"] for r in got[1]] == ids(catalog.last_n(meetings, 2))
+    assert [r["meeting_id"] for r in got[2]] == ids(catalog.last_n(meetings, 0, "Ann"))
+    assert [r["date"] for r in got[3]] == ["2024-05-14"] and [r["date"] for r in got[4]] == [None]
+    assert sorted(r["meeting_id"] for r in got[5]) == sorted(ids(catalog.by_person(meetings, "Ann")))
+    assert got[6][0]["error"] == "fuzzy_name is required" and got[8][0]["error"].startswith("At least one")
+    assert len(got[7]) == meetings.count() and [r["date"] for r in got[7]] == sorted((r["date"] for r in got[7]), reverse=True)
+    assert [r["name"] for r in got[9]] == sorted(r["participant"] for r in catalog.participants(meetings).collect())
+    assert [(r["place"], r["name"], r["score"]) for r in got[10]] == [(r["rank"], r["candidate"], r["score"]) for r in matching.find_person(meetings, "An").orderBy("rank").collect()]
+    assert got[11][0]["error"] == "Unknown query_type: nothing" and got[12][0]["error"] == "Unknown query_type: null"
+    assert sorted(r["meeting_id"] for r in got[13]) == sorted(ids(catalog.by_date_range(meetings, None, "2024-12-31")))
+    results = {r["call_id"]: (r["count"], json.loads(r["result"])) for r in catalog.tool_results(frame, meetings, "2024-05-15").collect()}
+    assert set(results) == set(range(1, 14)) and results[1][1]["meeting_ids"] == [r["meeting_id"] for r in got[1]]
+    assert results[6] == (0, {"query_type": "filter_by_person", "meeting_ids": [], "dates": [], "names": [], "scores": [], "count": 0, "error": "fuzzy_name is required"})
+    assert catalog.tool_rows(frame.limit(0), meetings, "2024-05-15").count() == 0

@@ -3,6 +3,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrand.operators import chunking
 
@@ -165,3 +166,15 @@ def test_long_texts_take_linear_time():
     chunking.pack_bullets("\n".join(f"- b{i}" for i in range(100_000)))
     chunking.split_recursively("w " * 300_000)
     assert time.perf_counter() - began < 10
+
+
+def test_tags_stand_behind_the_indentation(spark):
+    docs = spark.createDataFrame([(1, "  one\n\n\ttwo\nmore")], "id int, text string")
+    rows = chunking.paragraph_index(chunking.lines(docs, "id"), "id")
+    assert chunking.tagged(rows, "id").first()["text"] == "  [#P001] one\n\n [#P002] two\nmore"
+
+
+def test_metadata_without_a_brief(spark):
+    rows = spark.createDataFrame([(1, None, ["a", "", None]), (2, "", []), (3, "b", ["c"])], "id int, brief string, said array<string>")
+    got = {r["id"]: r["text"] for r in rows.select("id", chunking.metadata_text(F.col("brief"), F.col("said")).alias("text")).collect()}
+    assert got == {1: "a", 2: "", 3: "Brief Summary: b\nc"}

@@ -33,6 +33,7 @@ def test_assignee_is_the_first_name_that_fits(spark):
 def test_references_ignore_stray_marks(spark):
     text = "M000-T01\nReference: M001-T01, M001-T02)\n  Reference: M001-A01, M001-T01"
     assert value(spark, T.references(F.col("t")), t=text) == ["M001-T01", "M001-T02", "M001-A01", "M001-T01"]
+    assert value(spark, T.references(F.col("t")), t="M9-T9 Reference: M1-T1 Reference: M2-A2") == ["M1-T1", "M2-A2"]
     assert value(spark, T.summary_ids(F.col("t")), t="[S001-T01] x [S002-A03] (S1-T1)") == ["S001-T01", "S002-A03"]
 
 
@@ -52,6 +53,9 @@ def test_entry_keys_and_fences(spark):
     assert value(spark, T.entry_id(F.col("t")), t=entry) == "M001-T01"
     assert value(spark, T.entry_reference(F.col("t")), t=entry) == "P001"
     assert value(spark, T.entry_reference(F.col("t")), t="x\n   Reference: P9") == "P9"
+    assert value(spark, T.entry_reference(F.col("t")), t="said Reference: P7\n- Reference: P8") == "P8"
+    assert value(spark, T.entry_reference(F.col("t")), t="said Reference: P7") == "P7"
+    assert value(spark, T.entry_reference(F.col("t")), t="Reference: P7") is None
     assert value(spark, T.entry_id(F.col("t")), t="none") is None
     assert value(spark, T.without_fence(F.col("t")), t='a ```json\n{"x": 1}\n``` b') == '{"x": 1}'
     assert value(spark, T.without_fence(F.col("t")), t=" plain ") == "plain"
@@ -81,3 +85,16 @@ def test_days_in_words(spark):
     assert day("next week") == "2024-04-07"
     assert day("on 2023-01-02") == "2023-01-02"
     assert day("some day") is None
+    assert day("3 years ago") == "2021-03-31"
+    assert day("the day before yesterday") == "2024-03-29"
+
+
+def test_months_by_name(spark):
+    def day(t, today="2024-03-31"):
+        return value(spark, dates.resolve(F.col("t"), F.lit(today)), t=t)
+
+    assert day("November 2025") == "2025-11-30" and day("November") == "2024-11-30"
+    assert day("February") == "2024-02-29" and day("february 2023", "2024-03-15") == "2023-02-15"
+    assert day("5 June 2023") == day("June 5, 2023") == day("June 5th 2023") == "2023-06-05"
+    assert day("May 7") == "2024-05-07" and day("31 april") == "2024-04-30"
+    assert day("monthly") is None and day("0 May") is None and day(None) is None
