@@ -28,24 +28,29 @@ def bm25(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame
     members, own = retrieval.corpora(queries, known, _as_meetings(scope), fail_open)
     terms = cut(retrieval.asked_terms(own))
     spread = retrieval.few(terms)
-    posts = store.postings(level, terms, terms.count() <= retrieval.FEW_TERMS)
+    meeting = F.lit("") if scope is None else retrieval.meeting_key(F.col("scope_id"))
+    posts = store.postings(level, terms, terms.count() <= retrieval.FEW_TERMS).select(meeting.alias("meeting"), "chunk_id", "length", "term", "tf")
     if scope is None:
         total = store.summary(level)
         if total is None:
             return _none(store, queries)
         n, length, floor = total
-        posts = cut(posts.withColumn("corpus", F.lit(0).cast("long")))
-        one = store.spark.createDataFrame([(0, n, length / n, floor)], "corpus long, n long, mean_length double, floor double")
-        df = posts.groupBy("corpus", "term").agg(F.count("*").alias("df"))
+        one = store.spark.range(1).select(F.col("id").alias("corpus"), F.lit(n).cast("long").alias("n"), F.lit(length / n).alias("mean_length"), F.lit(floor).cast("double").alias("floor"))
+        df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("corpus", F.lit(0).cast("long"))
         asked = retrieval.weighed(terms, one.drop("floor"), df, one.select("corpus", "floor"))
-        return retrieval.scored(posts, cut(asked), k)
-    meeting = retrieval.meeting_key(F.col("scope_id")).alias("meeting")
-    sizes = store.sizes(level).select(meeting, "n", "length").join(members, "meeting")
-    sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
-    df = store.terms(level).select(meeting, "term", "df").join(members, "meeting").groupBy("corpus", "term").agg(F.sum("df").alias("df"))
-    asked = cut(retrieval.weighed(terms, sizes, df, retrieval.floors(sizes, df)))
-    tf = posts.select(meeting, "chunk_id", "length", "term", "tf").join(spread(asked.select("term").distinct()), "term", "left_semi").join(members, "meeting")
-    return retrieval.scored(tf, asked, k)
+    else:
+        sizes = store.sizes(level).select(meeting.alias("meeting"), "n", "length").join(members, "meeting")
+        sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+        df = store.terms(level).select(meeting.alias("meeting"), "term", "df").join(members, "meeting").groupBy("corpus", "term").agg(F.sum("df").alias("df"))
+        asked = retrieval.weighed(terms, sizes, df, retrieval.floors(sizes, df))
+    listed, held = retrieval.at_hand(asked, retrieval.FEW_TERMS), retrieval.at_hand(members, retrieval.FEW_MEMBERS)
+    if listed is not None and held is not None:
+        # A chunk's postings meet once, whatever the number of queries.
+        by_chunk = posts.groupBy("meeting", "chunk_id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
+        rows = by_chunk.select("meeting", "chunk_id", "length", F.col("words.term").alias("tokens"), F.col("words.tf").alias("tf"))
+        return retrieval.scored_in_tasks(rows, listed, held, k, queries.schema["query_id"].dataType.simpleString())
+    asked = cut(asked)
+    return retrieval.scored(posts.join(spread(asked.select("term").distinct()), "term", "left_semi").join(members, "meeting"), asked, k)
 
 
 def dense(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame | None = None, fail_open: bool = False, probes: int | None = None) -> DataFrame:

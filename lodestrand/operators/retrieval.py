@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ QUERY_BLOCK = 4096
 FEW_TERMS = 200_000
 #: Pairs of corpus and meeting that are sent to every task; more of them are joined by exchange.
 FEW_MEMBERS = 100_000
+#: Scores of chunks for queries that a task adds up at once.
+SCORES = 1 << 21
 #: Pairs of query and allowed meeting that one pass holds.
 SCOPE_BLOCK = 2_000_000
 
@@ -169,7 +172,8 @@ def corpora(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None, fail
     Without a scope there is one corpus with one meeting of all chunks. Corpora are numbered, 0 is that of all chunks.
     """
     if scope is None:
-        return chunks.sparkSession.createDataFrame([(0, "")], "corpus long, meeting string"), queries.withColumn("corpus", F.lit(0).cast("long"))
+        one = chunks.sparkSession.range(1).select(F.col("id").alias("corpus"), F.lit("").alias("meeting"))
+        return one, queries.withColumn("corpus", F.lit(0).cast("long"))
     sets = scoped(queries, chunks, scope, fail_open).groupBy("query_id").agg(F.sort_array(F.collect_set(meeting_key(F.col("meeting_id")))).alias("meetings"))
     numbered = cut(sets.select("meetings").distinct().withColumn("corpus", F.monotonically_increasing_id() + 1))
     own = queries.join(sets.join(numbered, "meetings").select("query_id", "corpus"), "query_id", "left")
@@ -186,8 +190,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
 
     idf(t) = ln(N - n + 0.5) - ln(n + 0.5); a negative one becomes EPSILON times the mean over all terms of the corpus.
     Statistics are those of the query's corpus: they are summed by meeting, and meetings are summed into corpora, so no
-    text is read once for each scope. Only tokens that some query has are counted by chunk; the join with the query
-    terms comes before the first exchange.
+    text is read once for each scope. Texts are read twice: for the statistics, and to be scored in place where the
+    terms of all queries are few enough to be sent to the tasks; beyond that terms and tokens are joined.
     """
     members, own = corpora(queries, chunks, scope, fail_open)
     meeting = F.lit("") if scope is None else meeting_key(F.col("meeting_id"))
@@ -196,19 +200,96 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     def in_corpora(rows: DataFrame) -> DataFrame:
         return rows.withColumn("corpus", F.lit(0).cast("long")) if scope is None else rows.join(members, "meeting")
 
-    sizes = in_corpora(texts.groupBy("meeting").agg(F.count("*").alias("n"), F.sum("length").alias("length")))
-    sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
-    df = in_corpora(texts.select("meeting", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("meeting", "term").agg(F.count("*").alias("df")))
-    if scope is not None:
-        df = df.groupBy("corpus", "term").agg(F.sum("df").alias("df"))
-    # The queries' terms go to the chunks, if they are few; then a chunk's scores are summed where its tokens are.
-    asked = cut(weighed(asked_terms(own), sizes, df, floors(sizes, df)))
-    spread = few(asked)
-    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(spread(asked.select("term").distinct()), "term", "left_semi")
+    # One pass counts the chunks that have a term, and under no term all chunks and their lengths.
+    each = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))))
+    counted = texts.select("meeting", "length", each.alias("term")).groupBy("meeting", "term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
+    counted = in_corpora(cut(counted))
+    sizes = counted.filter("term is null").groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+    df = counted.filter("term is not null").groupBy("corpus", "term").agg(F.sum("n").alias("df"))
+    asked = weighed(asked_terms(own), sizes, df, floors(sizes, df))
+    terms, held = at_hand(asked, FEW_TERMS), at_hand(members, FEW_MEMBERS)
+    if terms is not None and held is not None:
+        return scored_in_tasks(texts, terms, held, k, queries.schema["query_id"].dataType.simpleString())
+    asked = cut(asked)
+    tf = texts.select("meeting", "chunk_id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = in_corpora(tf.repartition("chunk_id").groupBy("meeting", "chunk_id", "length", "term").agg(F.count("*").alias("tf")))
     return scored(tf, asked, k)
 
 
+def at_hand(rows: DataFrame, most: int) -> list | None:
+    """The rows, if there are no more than so many."""
+    found = rows.limit(most + 1).collect()
+    return found if len(found) <= most else None
+
+
+def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: str) -> DataFrame:
+    """The k best chunks of each query with positive scores; terms of queries and members of corpora go to every task.
+
+    rows: meeting, chunk_id, length, tokens, and tf if tokens are distinct. terms: weighed terms of queries, members:
+    corpus and meeting, both at hand. A task adds up the scores of a batch of chunks for all queries and keeps a running
+    k best, so a pair of query and chunk is no row. kind: the type of query_id.
+    """
+    ids, names = sorted({r["query_id"] for r in terms}), sorted({r["term"] for r in terms})
+    at, place = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(names)}
+    held: dict[str, list[int]] = {}
+    for r in members:
+        held.setdefault(r["meeting"], []).append(r["corpus"])
+    key = np.array([r["corpus"] * len(names) + place[r["term"]] for r in terms], np.int64)
+    order = np.argsort(key, kind="stable")
+    query = np.array([at[r["query_id"]] for r in terms], np.int64)[order]
+    weight = np.array([r["idf"] * r["times"] * (K1 + 1) for r in terms], np.float64)[order]
+    mean = {r["corpus"]: r["mean_length"] for r in terms}
+    shared = rows.sparkSession.sparkContext.broadcast((ids, pa.array(names, pa.string()), key[order], query, weight, mean, held))
+    schema = f"query_id {kind}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double"
+    repeated = "tf" not in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, key, query, weight, mean, held = shared.value
+        best = _Best(len(ids), k)
+
+        def add(batch: pa.RecordBatch) -> None:
+            listed = batch.column("tokens")
+            sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+            coded = listed.flatten().dictionary_encode()
+            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
+            term = known[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            full = term >= 0
+            if repeated:
+                pairs, tf = np.unique(row[full] * len(names) + term[full], return_counts=True)
+                row, term = pairs // len(names), pairs % len(names)
+            else:
+                row, term, tf = row[full], term[full], batch.column("tf").flatten().to_numpy(zero_copy_only=False)[full]
+            length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.float64)
+            meeting = batch.column("meeting").dictionary_encode()
+            own = [held.get(m, ()) for m in meeting.dictionary.to_pylist()]
+            of = meeting.indices.to_numpy(zero_copy_only=False)
+            scores = np.zeros(batch.num_rows * len(ids))
+            for corpus in {c for some in own for c in some}:
+                if corpus in mean:
+                    inside = np.array([corpus in some for some in own])[of][row]
+                    r, t, n = row[inside], term[inside], tf[inside]
+                    part = n / (n + K1 * (1 - B + B * length[r] / mean[corpus]))
+                    low, high = (np.searchsorted(key, corpus * len(names) + t, side) for side in ("left", "right"))
+                    times = high - low
+                    entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+                    scores += np.bincount(np.repeat(r, times) * len(ids) + query[entry], np.repeat(part, times) * weight[entry], len(scores))
+            scores = np.round(scores, 6).reshape(batch.num_rows, -1)
+            r, q = np.nonzero((scores > 0) & (scores >= best.least))
+            best.add(q, scores[r, q], batch.column("chunk_id").to_numpy(zero_copy_only=False)[r])
+
+        # Rows of a step times queries stay below a bound.
+        step = max(1, SCORES // max(len(ids), 1))
+        for batch in batches:
+            for i in range(0, batch.num_rows if ids else 0, step):
+                add(batch.slice(i, step))
+        if best.key is not None and len(best.key):
+            best.prune()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], _arrow(schema, 0)), pa.array(best.key.tolist(), _arrow(schema, 1)), pa.array(best.score, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    return top(rows.select("meeting", "chunk_id", "length", "tokens", *([] if repeated else ["tf"])).mapInArrow(run, schema), k)
+
+
 def few(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """How terms of queries reach the tasks: sent to each of them while they are few, else by exchange."""
     return F.broadcast if asked.count() <= FEW_TERMS else lambda rows: rows

@@ -8,7 +8,7 @@ Tables, each in folders by batch:
 
 - chunks, by level: all columns of the chunks.
 - postings, by level and bucket of the term: term, chunk_id, scope_id, length (of the chunk) and tf.
-- terms, by level: scope_id, term and df; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
+- terms, by level: scope_id, term, df and cf; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
   what it replaces or removes, so sums over batches are the statistics of what is there.
 - vectors, by level and cell: chunk_id, scope_id, embedding. Cells are those of the level's first batch with vectors
   (`LEAST` or more of them, fitted on `SAMPLE` for each cell at most); later batches are dealt to the same cells.
@@ -196,10 +196,9 @@ class Store:
         self._write(own.dropDuplicates(["chunk_id"]), "chunks", batch, "level")
         new = self.spark.read.schema(wanted).parquet(f"{self.path}/chunks/batch={batch}")
         earlier = self.live(self._read("chunks", T.StructType([*wanted, T.StructField("batch", T.IntegerType())]), batch), batch)
-        self._write(earlier.join(new.select("chunk_id"), "chunk_id", "left_semi").select("chunk_id"), "gone", batch)
-        self._write_parts(new, batch)
-        failed = counts.first()["failed"]
-        return self._finish(batch, new.count(), failed)
+        replaced = self._write_gone(earlier.join(new.select("chunk_id"), "chunk_id", "left_semi"), batch)
+        self._write_parts(new, batch, replaced)
+        return self._finish(batch, new.count(), counts.first()["failed"], replaced)
 
     def remove(self, chunk_ids: DataFrame | None = None, levels: tuple[str, ...] = (), batch: int | None = None) -> dict[str, int]:
         """Take chunks out, by chunk_id or whole levels, and count them."""
@@ -209,20 +208,20 @@ class Store:
         out = rows.filter(F.col("level").isin(*map(index.check_level, levels))) if levels else rows.limit(0)
         if chunk_ids is not None:
             out = out.unionByName(rows.join(chunk_ids.select("chunk_id"), "chunk_id", "left_semi"))
-        self._write(out.select("chunk_id").distinct(), "gone", batch)
+        replaced = self._write_gone(out, batch)
         none = self.spark.createDataFrame([], wanted)
         self._write(none, "chunks", batch, "level")
-        self._write_parts(none, batch)
-        return self._finish(batch, 0, 0)
+        self._write_parts(none, batch, replaced)
+        return self._finish(batch, 0, 0, replaced)
 
     def compact(self) -> dict[str, int]:
         """One batch with what is there; readers no longer see earlier ones, whose folders sweep() removes."""
         batch = self._next(None)
         self._write(self.chunks(), "chunks", batch, "level")
         new = self.spark.read.schema(self._schema()).parquet(f"{self.path}/chunks/batch={batch}")
-        self._write(new.select("chunk_id").limit(0), "gone", batch)
-        self._write_parts(new, batch, base=True)
-        return self._finish(batch, new.count(), 0, base=True)
+        self._write_gone(new.limit(0), batch)
+        self._write_parts(new, batch, 0)
+        return self._finish(batch, new.count(), 0, 0, base=True)
 
     def sweep(self) -> None:
         """Remove the folders of batches that readers no longer see, manifests first."""
@@ -236,25 +235,31 @@ class Store:
                 if name.startswith("batch=") and int(name.removeprefix("batch=")) < first:
                     fs.delete(folder.getPath(), True)
 
-    def _write_parts(self, new: DataFrame, batch: int, base: bool = False) -> None:
-        """Everything but the chunks themselves, from a batch's chunks and what it takes out."""
+    def _write_parts(self, new: DataFrame, batch: int, replaced: int) -> None:
+        """Everything but the chunks themselves, from a batch's chunks and the number of those that it takes out."""
+        kind = self._kind("chunk_id")
         scope = F.when(F.col("level") == "meeting", F.col("entry_id") if "entry_id" in new.columns else F.lit(None)).otherwise(F.col("meeting_id")).cast("string")
-
-        def worded(rows: DataFrame) -> DataFrame:
-            return rows.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-
-        listed = worded(new).select("level", "chunk_id", "scope_id", "length", F.explode("tokens").alias("term")).groupBy("level", "chunk_id", "scope_id", "length", "term").agg(F.count("*").alias("tf"))
+        worded = new.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
+        listed = worded.select("level", "chunk_id", "scope_id", "length", F.explode("tokens").alias("term")).groupBy("level", "chunk_id", "scope_id", "length", "term").agg(F.count("*").alias("tf"))
         listed = listed.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         # Large buckets are split and small ones put together at run time; a file is in the order of its terms.
         self._write(listed.hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "term"), "postings", batch, "level", "bucket")
-        changes = worded(new).withColumn("sign", F.lit(1))
-        if not base:
-            out = self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch)
-            gone = self.spark.read.schema(f"chunk_id {self._kind('chunk_id')}").parquet(f"{self.path}/gone/batch={batch}")
-            changes = changes.unionByName(worded(self.live(out, batch).join(gone, "chunk_id", "left_semi")).withColumn("sign", F.lit(-1)))
-        terms = changes.select("level", "scope_id", "sign", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df")).filter("df <> 0")
+        # Statistics are read from postings: of the batch, and, subtracted, of what it takes out.
+        columns, sign = ("level", "scope_id", "term", "tf"), F.lit(1)
+        schema = f"term string, chunk_id {kind}, scope_id string, length int, tf long, level string, bucket int"
+        changes = self.spark.read.schema(schema).parquet(f"{self.path}/postings/batch={batch}").select(*columns, sign.alias("sign"))
+        counted = new.select("level", scope.alias("scope_id"), sign.alias("sign"))
+        if replaced:
+            gone = self.spark.read.schema(f"chunk_id {kind}").parquet(f"{self.path}/gone/batch={batch}")
+            out = self.live(self._read("postings", f"{schema}, batch int", batch).join(gone, "chunk_id", "left_semi"), batch)
+            changes = changes.unionByName(out.select(*columns, (-sign).alias("sign")))
+            old = self.live(self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi"), batch)
+            counted = counted.unionByName(old.select("level", scope.alias("scope_id"), (-sign).alias("sign")))
+        terms = changes.groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("cf")).filter("df <> 0 or cf <> 0")
         self._write(terms.hint("rebalance", "level", "scope_id").sortWithinPartitions("level", "scope_id", "term"), "terms", batch, "level")
-        sizes = changes.groupBy("level", "scope_id").agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("length")).alias("length"))
+        lengths = self.spark.read.schema("scope_id string, term string, df long, cf long, level string").parquet(f"{self.path}/terms/batch={batch}").groupBy("level", "scope_id").agg(F.sum("cf").alias("length"))
+        sizes = counted.groupBy("level", "scope_id").agg(F.sum("sign").alias("n")).withColumn("length", F.lit(0).cast("long"))
+        sizes = sizes.unionByName(lengths.withColumn("n", F.lit(0).cast("long"))).groupBy("level", "scope_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         self._write(sizes, "sizes", batch, "level")
         self._write_vectors(new, scope, batch)
 
@@ -289,9 +294,13 @@ class Store:
             centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
         self.spark.createDataFrame(centres, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(place)
 
-    def _finish(self, batch: int, ok: int, failed: int, base: bool = False) -> dict[str, int]:
+    def _write_gone(self, rows: DataFrame, batch: int) -> int:
+        """Write the chunk_ids that a batch takes out, and count them."""
+        self._write(rows.select("chunk_id").distinct(), "gone", batch)
+        return self.spark.read.schema(f"chunk_id {self._kind('chunk_id')}").parquet(f"{self.path}/gone/batch={batch}").count()
+
+    def _finish(self, batch: int, ok: int, failed: int, replaced: int, base: bool = False) -> dict[str, int]:
         """Write the summary and then the manifest, which makes the batch visible."""
-        replaced = self.spark.read.schema(f"chunk_id {self._kind('chunk_id')}").parquet(f"{self.path}/gone/batch={batch}").count()
         seen = [batch] if base else [*self.batches, batch]
         sizes = self._of("sizes", "scope_id string, n long, length long, level string", seen).groupBy("level").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
         df = self._of("terms", "scope_id string, term string, df long, level string", seen).groupBy("level", "term").agg(F.sum("df").alias("df")).filter("df > 0")

@@ -1,3 +1,5 @@
+import random
+
 import math
 
 import numpy as np
@@ -165,3 +167,19 @@ def test_metrics_by_label_equal_those_by_pairs(spark):
     queries = spark.createDataFrame([(1, 1), (2, 0), (3, 7), (4, None)], "query_id long, label int")
     relevant = queries.join(labelled, "label").select("query_id", "chunk_id")
     assert rows(evaluate.metrics_by_label(hits, queries, labelled, 2)) == rows(evaluate.retrieval_metrics(hits, relevant, queries, 2))
+
+
+@pytest.mark.parametrize("scores", [7, 1 << 21])
+def test_scores_in_tasks_equal_those_by_joins(spark, monkeypatch, scores):
+    """Of queries with repeated and unknown words, scopes that overlap, and texts that are null, empty or alike."""
+    own = random.Random(6)
+    texts = [" ".join(own.choice("abcdefgh") for _ in range(own.randrange(1, 12))) for _ in range(60)] + [None, "", "a", "a"]
+    chunks = spark.createDataFrame([(i, None if i % 9 == 8 else f"m{i % 5}", t) for i, t in enumerate(texts)], "chunk_id long, meeting_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(own.choice("abcdefghxyz") for _ in range(5))) for i in range(12)] + [(20, None), (21, "")], "query_id long, text string")
+    scope = spark.createDataFrame([(i, f"m{j}") for i in range(8) for j in range(i % 4)] + [(9, "none")], "query_id long, meeting_id string")
+    monkeypatch.setattr(retrieval, "SCORES", scores)
+    ways = [dict(), dict(scope=scope, fail_open=True), dict(scope=scope, fail_open=False)]
+    found = [sorted(map(tuple, retrieval.bm25(chunks, asked, 4, **w).select("query_id", "chunk_id", "score", "rank").collect())) for w in ways]
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    joined = [sorted(map(tuple, retrieval.bm25(chunks, asked, 4, **w).select("query_id", "chunk_id", "score", "rank").collect())) for w in ways]
+    assert found == joined and all(found)
