@@ -65,57 +65,73 @@ def similarity(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-#: Candidates that a task holds at once; more of them make more passes over the names.
-CANDIDATE_BLOCK = 50_000
+#: Names and candidates in a block; each block of one meets each block of the other in a row.
+NAME_BLOCK, CANDIDATE_BLOCK = 1000, 4000
+
+
+def _blocks(rows: DataFrame, column: str, size: int) -> tuple[DataFrame, int]:
+    """block and values: distinct values dealt by hash to lists of about so many, and the number of lists."""
+    values = cut(rows.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct())
+    n = max(1, -(-values.count() // size))
+    return values.groupBy(F.pmod(F.xxhash64("value"), F.lit(n)).cast("int").alias("block")).agg(F.collect_list("value").alias("values")), n
+
+
+class _Candidates:
+    """A block of candidates with the counts of their letters."""
+
+    def __init__(self, names: list[str]):
+        self.names = sorted(names)
+        self.tokens = [sorted_tokens(c) for c in self.names]
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(self.tokens))))}
+        self.lengths = np.array([len(t) for t in self.tokens], np.int32)
+        self.counts = np.zeros((len(self.names), len(self.letters)), np.int16)
+        for row, t in zip(self.counts, self.tokens):
+            for c, n in Counter(t).items():
+                row[self.letters[c]] = n
+
+    def best(self, name: str, k: int, least: float) -> list[tuple[float, str]]:
+        """Negated score and candidate of the k best that reach the least score."""
+        mine = sorted_tokens(name)
+        own = np.zeros(len(self.letters), np.int16)
+        for c, n in Counter(mine).items():
+            if c in self.letters:
+                own[self.letters[c]] = n
+        # The common subsequence has no more of a letter than either side.
+        most = np.round(200.0 * np.minimum(self.counts, own).sum(axis=1) / np.maximum(self.lengths + len(mine), 1), 6)
+        found: list[tuple[float, str]] = []
+        some = np.flatnonzero(most >= least)
+        for at in some[np.argsort(-most[some], kind="stable")]:
+            if len(found) == k and most[at] < -found[-1][0]:
+                break
+            x = self.tokens[at]
+            score = round(200.0 * common_subsequence(mine, x) / (len(mine) + len(x)), 6) if mine or x else 0.0
+            if score >= least:
+                found = sorted([*found, (-score, self.names[at])])[:k]
+        return found
 
 
 def matches(names: DataFrame, candidates: DataFrame, k: int = 3, threshold: float = THRESHOLD) -> DataFrame:
     """name, candidate, score, rank: the k best candidates of each name whose score reaches the threshold.
 
-    names are a batch of inputs, candidates the distinct participants. Candidates go to the tasks in blocks; a task
-    bounds each name's scores by the letters that both have, computes those that can reach the threshold and the k-th
-    best, and passes on k rows for a name, so pairs never become rows.
+    names are a batch of inputs, candidates the distinct participants; nulls are neither. Both are packed into blocks,
+    and each block of names meets each block of candidates in a task, which bounds scores by the letters that both have,
+    computes those that can reach the threshold and the k-th best, and passes on k rows for a name. So pairs never become
+    rows, and neither side goes through the driver.
     """
-    spark, least = names.sparkSession, 100 * threshold
-    known = cut(candidates.select("candidate").distinct().filter("candidate is not null"))
-    blocks = max(1, -(-known.count() // CANDIDATE_BLOCK))
-    asked, found = names.select("name").distinct(), None
-    for block in range(blocks):
-        own = sorted(r[0] for r in known.filter(F.pmod(F.xxhash64("candidate"), F.lit(blocks)) == block).collect())
-        shared = spark.sparkContext.broadcast(own)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            listed = shared.value
-            tokens = [sorted_tokens(c) for c in listed]
-            letters = {c: i for i, c in enumerate(sorted(set("".join(tokens))))}
-            lengths, counts = np.array([len(t) for t in tokens], np.int32), np.zeros((len(listed), len(letters)), np.int16)
-            for row, t in zip(counts, tokens):
-                for c, n in Counter(t).items():
-                    row[letters[c]] = n
-            for batch in batches:
-                rows: list[tuple] = []
-                for name in batch.column("name").to_pylist():
-                    mine = sorted_tokens(name)
-                    own = np.zeros(len(letters), np.int16)
-                    for c, n in Counter(mine).items():
-                        if c in letters:
-                            own[letters[c]] = n
-                    # The common subsequence has no more of a letter than either side.
-                    most = 200.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(lengths + len(mine), 1)
-                    best: list[tuple[float, str]] = []
-                    for at in np.argsort(-most, kind="stable"):
-                        if round(most[at], 6) < least or len(best) == k and round(most[at], 6) < -best[-1][0]:
-                            break
-                        x = tokens[at]
-                        score = round(200.0 * common_subsequence(mine, x) / (len(mine) + len(x)), 6) if mine or x else 0.0
-                        if score >= least:
-                            best = sorted([*best, (-score, listed[at])])[:k]
-                    rows += [(name, c, -s) for s, c in best]
+    least = 100 * threshold
+    asked, _ = _blocks(names, "name", NAME_BLOCK)
+    known, n = _blocks(candidates, "candidate", CANDIDATE_BLOCK)
+    sides = asked.select(F.col("values").alias("names"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(known, "block").select("names", "values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, theirs in zip(batch.column("names").to_pylist(), batch.column("values").to_pylist()):
+                block = _Candidates(theirs)
+                rows = [(name, c, -s) for name in mine for s, c in block.best(name, k, least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64()))], ["name", "candidate", "score"])
 
-        part = asked.mapInArrow(run, "name string, candidate string, score double")
-        found = part if found is None else found.unionByName(part)
+    found = sides.repartition(asked.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "name string, candidate string, score double")
     order = Window.partitionBy("name").orderBy(F.desc("score"), "candidate")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

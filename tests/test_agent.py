@@ -93,6 +93,7 @@ def test_matches_equal_all_pairs(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(matching, "CANDIDATE_BLOCK", 20)
+    monkeypatch.setattr(matching, "NAME_BLOCK", 7)
     own = random.Random(2)
     word = lambda: "".join(own.choice("abcdé") for _ in range(own.randrange(1, 7)))
     people = sorted({f"{word()} {word()}" for _ in range(70)})
