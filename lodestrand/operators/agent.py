@@ -12,6 +12,8 @@ from .models import Embedder, embed
 
 #: Chunks that a question gets, and how many more are fused before.
 K, WIDER = 10, 2
+#: Hits that are sent to every task.
+FEW_HITS = 100_000
 
 
 def rewrite_queries(questions: DataFrame, catalog: DataFrame, participants: Column, user: str, today: str) -> DataFrame:
@@ -28,7 +30,7 @@ def rewrite_queries(questions: DataFrame, catalog: DataFrame, participants: Colu
     return done.select("question_id", "rewritten", F.coalesce("ids", F.array().cast("array<string>")).alias("meeting_ids"))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame | Store, k: int = K, alpha: float = retrieval.ALPHA) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame | Store, k: int = K, alpha: float = retrieval.ALPHA, vectors: DataFrame | None = None) -> DataFrame:
     """Hits of questions that need the corpus, in the meetings that they name, or in all if they name none that is known.
 
     questions: question_id, need_rag, text, meeting_ids and embedding. Rows: question_id, chunk_id, rank, hybrid_score.
@@ -40,13 +42,15 @@ def retrieve(questions: DataFrame, chunks: DataFrame | Store, k: int = K, alpha:
     if isinstance(chunks, Store):
         hits = indexed.search_meetings(chunks, queries, scope, k, alpha, candidates=WIDER * k)
     else:
-        hits = retrieval.hybrid(chunks, queries, k, alpha, scope, fail_open=True, candidates=WIDER * k)
+        hits = retrieval.hybrid(chunks, queries, k, alpha, scope, fail_open=True, candidates=WIDER * k, vectors=vectors)
     return hits.select(F.col("query_id").alias("question_id"), "chunk_id", "rank", "hybrid_score")
 
 
 def projected(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id and chunks: array<struct<rank, chunk_id, text, datetime>> in order, which is what an answer sees."""
-    rows = hits.join(chunks.select("chunk_id", "text", "datetime"), "chunk_id")
+    # Few hits, a few for each question, go to the chunks; many meet them by exchange.
+    sent = F.broadcast(hits) if hits.count() <= FEW_HITS else hits
+    rows = chunks.select("chunk_id", "text", "datetime").join(sent, "chunk_id")
     one = F.struct("rank", "chunk_id", "text", F.coalesce("datetime", F.lit("N/A")).alias("datetime"))
     return rows.groupBy("question_id").agg(F.sort_array(F.collect_list(one)).alias("chunks"))
 
@@ -59,11 +63,11 @@ def index_meetings(meetings: DataFrame, store: Store, embedder: Embedder, only_s
     return store.add(embed(dated, embedder))
 
 
-def ask(questions: DataFrame, chunks: DataFrame | Store, catalog: DataFrame, participants: Column, user: str, today: str, embedder: Embedder | None = None, k: int = K) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame | Store, catalog: DataFrame, participants: Column, user: str, today: str, embedder: Embedder | None = None, k: int = K, vectors: DataFrame | None = None) -> DataFrame:
     """An answer for every question (question_id, text, and embedding if no embedder is given).
 
     chunks: chunk_id, meeting_id, text, datetime, embedding, or a saved index of such chunks, whose summaries are
-    searched. Rows: question_id, need_rag, need_rewrite, answer_mode, rewritten, meeting_ids, skipped, total_chunks,
+    searched. Vectors may stand in a table of their own (chunk_id, meeting_id, embedding). Rows: question_id, need_rag, need_rewrite, answer_mode, rewritten, meeting_ids, skipped, total_chunks,
     chunks and answer. A question that does not need the corpus is not searched for; its chunks are empty.
     """
     planned = rewrite.plan(questions)
@@ -73,7 +77,7 @@ def ask(questions: DataFrame, chunks: DataFrame | Store, catalog: DataFrame, par
     # Questions are few beside the corpus and used several times below.
     ready = cut(ready if embedder is None else embed(ready, embedder))
     texts = chunks.chunks("summary") if isinstance(chunks, Store) else chunks
-    found = projected(cut(retrieve(ready, chunks, k)), texts)
+    found = projected(cut(retrieve(ready, chunks, k, vectors=vectors)), texts)
     said = render.dated_answers(ready.select(F.col("question_id").alias("query_id"), "text"), found.select(F.col("question_id").alias("query_id"), F.inline("chunks")))
     rows = ready.join(found, "question_id", "left").join(said.withColumnRenamed("query_id", "question_id"), "question_id")
     return rows.select(

@@ -283,6 +283,7 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
         for batch in batches:
             for i in range(0, batch.num_rows if ids else 0, step):
                 add(batch.slice(i, step))
+            pa.default_memory_pool().release_unused()
         if best.key is not None and len(best.key):
             best.prune()
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], _arrow(schema, 0)), pa.array(best.key.tolist(), _arrow(schema, 1)), pa.array(best.score, pa.float64())], ["query_id", "chunk_id", "score"])
@@ -340,10 +341,15 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, k: int, alpha: float = AL
     return top(both.withColumn("score", F.round(score, 6)), k).select("query_id", "chunk_id", "rank", "vector_score", "bm25_score", F.col("score").alias("hybrid_score"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int, alpha: float = ALPHA, scope: DataFrame | None = None, fail_open: bool = False, candidates: int | None = None) -> DataFrame:
-    """Dense and BM25 lists of `candidates` hits (k if not given) fused into k."""
+def hybrid(
+    chunks: DataFrame, queries: DataFrame, k: int, alpha: float = ALPHA, scope: DataFrame | None = None, fail_open: bool = False, candidates: int | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """Dense and BM25 lists of `candidates` hits (k if not given) fused into k.
+
+    vectors (chunk_id, meeting_id, embedding) may stand in a table of their own, so that no text moves to meet them.
+    """
     n = candidates or k
-    return fuse(dense(chunks, queries, n, scope, fail_open), bm25(chunks, queries, n, scope, fail_open), k, alpha)
+    return fuse(dense(chunks if vectors is None else vectors, queries, n, scope, fail_open), bm25(chunks, queries, n, scope, fail_open), k, alpha)
 
 
 def by_entry(chunks: DataFrame, queries: DataFrame, entries: DataFrame, k: int, alpha: float = ALPHA) -> DataFrame:

@@ -142,13 +142,13 @@ def q19_dense_topk_ivf(spark, sf_dir):
 
 @query
 def q20_hybrid_topk(spark, sf_dir):
-    return retrieval.hybrid(S.chunks(spark, sf_dir), S.queries(spark, sf_dir), 10, candidates=20)
+    return retrieval.hybrid(S.texts(spark, sf_dir), S.queries(spark, sf_dir), 10, candidates=20, vectors=S.vectors(spark, sf_dir))
 
 
 @query
 def q21_hybrid_alpha_sweep(spark, sf_dir):
-    chunks, asked = S.chunks(spark, sf_dir), S.queries(spark, sf_dir)
-    dense, sparse = retrieval.dense(chunks, asked, 10), retrieval.bm25(chunks, asked, 10)
+    asked = S.queries(spark, sf_dir)
+    dense, sparse = retrieval.dense(S.vectors(spark, sf_dir), asked, 10), retrieval.bm25(S.texts(spark, sf_dir), asked, 10)
     found = None
     for alpha in (0.0, 0.3, 0.6, 1.0):
         own = retrieval.fuse(dense, sparse, 10, alpha).select(F.lit(alpha).alias("alpha"), "query_id", "chunk_id", "rank", "hybrid_score")
@@ -168,7 +168,7 @@ def q23_bm25_filtered_local_stats(spark, sf_dir):
 
 @query
 def q24_hybrid_meeting_filter_failopen(spark, sf_dir):
-    return retrieval.hybrid(S.chunks(spark, sf_dir), S.queries(spark, sf_dir), 10, scope=S.scope(spark, sf_dir), fail_open=True)
+    return retrieval.hybrid(S.texts(spark, sf_dir), S.queries(spark, sf_dir), 10, scope=S.scope(spark, sf_dir), fail_open=True, vectors=S.vectors(spark, sf_dir))
 
 
 def _entries(chunks: DataFrame) -> DataFrame:
@@ -370,7 +370,7 @@ def q51_extractive_answers(spark, sf_dir):
 
 @query
 def q52_ask(spark, sf_dir):
-    done = agent.ask(S.asked(spark, sf_dir), S.dated_chunks(spark, sf_dir), S.talks(spark, sf_dir), S.persons(), S.USER, S.TODAY)
+    done = agent.ask(S.asked(spark, sf_dir), S.dated_texts(spark, sf_dir), S.talks(spark, sf_dir), S.persons(), S.USER, S.TODAY, vectors=S.vectors(spark, sf_dir))
     return _asked_columns(done)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,3 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go that no plan at hand reads any more: Spark removes them once their owners are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,8 @@ batch is run again, and a batch that is done is never run twice. Readers see the
 Tables, each in folders by batch:
 
 - chunks, by level: all columns of the chunks.
-- postings, by level and bucket of the term: term, chunk_id, scope_id, length (of the chunk) and tf.
+- postings, by level and bucket of the term: term, and lists of chunk_ids that have it with their scope_ids, lengths (of
+  the chunks) and tfs; a term has a list for each batch of rows that was indexed at once.
 - terms, by level: scope_id, term, df and cf; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
   what it replaces or removes, so sums over batches are the statistics of what is there.
 - vectors, by level and cell: chunk_id, scope_id, embedding. Cells are those of the level's first batch with vectors
@@ -16,7 +17,7 @@ Tables, each in folders by batch:
 
 scope_id is what searches of a level are limited by: the entry of chunks of the level "meeting", else the meeting.
 
-Chunks without id, text or known level are not indexed but counted as failed. Of rows with one chunk_id in a batch one
+Chunks without id, text or known level are not indexed but counted and kept apart, see failed(). Of rows with one chunk_id in a batch one
 is taken. Null meetings and null vectors are allowed; such chunks are found by words alone.
 """
 
@@ -26,18 +27,25 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
 from . import index
+from .scratch import release
 
 #: Buckets of terms, cells of vectors, vectors that are searched without cells, and vectors a cell is fitted on.
 BUCKETS, CELLS, LEAST, SAMPLE = 32, 100, 1000, 256
+#: Tokens that are listed by term at once.
+TOKENS = 1 << 20
 #: An idf below zero becomes EPSILON times the mean over all terms.
 EPSILON = 0.25
 
+#: A list of postings: a term and the chunks of some batch of rows that have it.
+POSTINGS = "term string, chunk_ids array<{kind}>, scope_ids array<string>, lengths array<int>, tfs array<long>"
 MANIFEST = "dimension int, buckets int, columns string, base boolean, ok long, failed long, replaced long, batch int"
 
 
@@ -58,8 +66,10 @@ def raw_idf(n: Column, df: Column) -> Column:
 class Store:
     """The index in a folder; see the module. Methods that take `level` check it."""
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int = 0, buckets: int = BUCKETS, cells: int = CELLS, least: int = LEAST):
+    def __init__(self, spark: SparkSession, path: str, dimension: int = 0, buckets: int = BUCKETS, cells: int = CELLS, least: int = LEAST, recreate: bool = False):
         self.spark, self.path, self.cells, self.least = spark, path.rstrip("/"), cells, least
+        if recreate and index.exists(spark, f"{self.path}/manifest"):
+            index.drop(spark, self.path)
         self.buckets, self.dimension, self.columns = buckets, dimension, None
         if self.manifests:
             last = self.manifests[-1]
@@ -99,6 +109,12 @@ class Store:
         until = gone.groupBy(F.col("chunk_id").alias("_gone")).agg(F.max("batch").alias("_until"))
         return rows.join(until, (F.col("chunk_id") == F.col("_gone")) & (F.col("batch") < F.col("_until")), "left_anti")
 
+    def failed(self) -> DataFrame:
+        """The rows that batches did not index, with their batch."""
+        some = [r["batch"] for r in self.manifests if r["failed"]]
+        schema = T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())])
+        return self._of("failed", schema, some)
+
     def _schema(self) -> T.StructType:
         if self.columns is None:
             raise ValueError(f"{self.path} has no batch yet")
@@ -117,10 +133,11 @@ class Store:
     def postings(self, level: str, terms: DataFrame, few: bool = True) -> DataFrame:
         """term, chunk_id, scope_id, length and tf of some terms; only the buckets of these are read."""
         wanted = [r[0] for r in terms.select(bucket_of(F.col("term"), self.buckets)).distinct().collect()]
-        rows = self._read("postings", f"term string, chunk_id {self._kind('chunk_id')}, scope_id string, length int, tf long, level string, bucket int, batch int")
+        rows = self._read("postings", f"{POSTINGS.format(kind=self._kind('chunk_id'))}, level string, bucket int, batch int")
         rows = rows.filter((F.col("level") == index.check_level(level)) & F.col("bucket").isin(wanted))
         distinct = terms.select("term").distinct()
-        return self.live(rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")).select("term", "chunk_id", "scope_id", "length", "tf")
+        found = _each(rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi"), "batch")
+        return self.live(found).select("term", "chunk_id", "scope_id", "length", "tf")
 
     def terms(self, level: str) -> DataFrame:
         """scope_id, term and df, summed over batches."""
@@ -169,7 +186,7 @@ class Store:
     # What changes it.
 
     def _write(self, rows: DataFrame, table: str, batch: int, *by: str) -> None:
-        writer = rows.write.mode("overwrite")
+        writer = rows.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{table}/batch={batch}")
 
     def _next(self, batch: int | None) -> int:
@@ -190,7 +207,10 @@ class Store:
         if self.columns is None:
             names = [f for f in chunks.schema if f.name != "level"]
             self.columns = T.StructType([*names, T.StructField("level", T.StringType())]).toDDL()
-        good, _, counts = index.quarantine(chunks)
+        good, bad, counts = index.quarantine(chunks)
+        failed = counts.first()["failed"]
+        if failed:
+            self._write(bad, "failed", batch)
         wanted = self._schema()
         own = good.select(*[F.col(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
         self._write(own.dropDuplicates(["chunk_id"]), "chunks", batch, "level")
@@ -198,7 +218,7 @@ class Store:
         earlier = self.live(self._read("chunks", T.StructType([*wanted, T.StructField("batch", T.IntegerType())]), batch), batch)
         replaced = self._write_gone(earlier.join(new.select("chunk_id"), "chunk_id", "left_semi"), batch)
         self._write_parts(new, batch, replaced)
-        return self._finish(batch, new.count(), counts.first()["failed"], replaced)
+        return self._finish(batch, new.count(), failed, replaced)
 
     def remove(self, chunk_ids: DataFrame | None = None, levels: tuple[str, ...] = (), batch: int | None = None) -> dict[str, int]:
         """Take chunks out, by chunk_id or whole levels, and count them."""
@@ -227,7 +247,7 @@ class Store:
         """Remove the folders of batches that readers no longer see, manifests first."""
         first = self.batches[0] if self.batches else 0
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for table in ("manifest", "chunks", "postings", "terms", "sizes", "vectors", "gone", "summary"):
+        for table in ("manifest", "chunks", "postings", "terms", "sizes", "vectors", "gone", "failed", "summary"):
             root = hadoop.Path(f"{self.path}/{table}")
             fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
             for folder in fs.listStatus(root) if fs.exists(root) else []:
@@ -239,20 +259,21 @@ class Store:
         """Everything but the chunks themselves, from a batch's chunks and the number of those that it takes out."""
         kind = self._kind("chunk_id")
         scope = F.when(F.col("level") == "meeting", F.col("entry_id") if "entry_id" in new.columns else F.lit(None)).otherwise(F.col("meeting_id")).cast("string")
-        worded = new.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens"))
-        listed = worded.select("level", "chunk_id", "scope_id", "length", F.explode("tokens").alias("term")).groupBy("level", "chunk_id", "scope_id", "length", "term").agg(F.count("*").alias("tf"))
-        listed = listed.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        worded = new.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens"))
+        listed = worded.mapInArrow(_listed(self.buckets), f"{POSTINGS.format(kind=kind)}, level string, bucket int")
         # Large buckets are split and small ones put together at run time; a file is in the order of its terms.
         self._write(listed.hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "term"), "postings", batch, "level", "bucket")
+        release(self.spark)
         # Statistics are read from postings: of the batch, and, subtracted, of what it takes out.
-        columns, sign = ("level", "scope_id", "term", "tf"), F.lit(1)
-        schema = f"term string, chunk_id {kind}, scope_id string, length int, tf long, level string, bucket int"
-        changes = self.spark.read.schema(schema).parquet(f"{self.path}/postings/batch={batch}").select(*columns, sign.alias("sign"))
+        sign = F.lit(1)
+        schema = f"{POSTINGS.format(kind=kind)}, level string, bucket int"
+        posted = F.inline(F.arrays_zip(F.col("scope_ids").alias("scope_id"), F.col("tfs").alias("tf")))
+        changes = self.spark.read.schema(schema).parquet(f"{self.path}/postings/batch={batch}").select("level", "term", sign.alias("sign"), posted)
         counted = new.select("level", scope.alias("scope_id"), sign.alias("sign"))
         if replaced:
             gone = self.spark.read.schema(f"chunk_id {kind}").parquet(f"{self.path}/gone/batch={batch}")
-            out = self.live(self._read("postings", f"{schema}, batch int", batch).join(gone, "chunk_id", "left_semi"), batch)
-            changes = changes.unionByName(out.select(*columns, (-sign).alias("sign")))
+            out = _each(self._read("postings", f"{schema}, batch int", batch), "level", "batch").join(gone, "chunk_id", "left_semi")
+            changes = changes.unionByName(self.live(out, batch).select("level", "term", (-sign).alias("sign"), "scope_id", "tf"))
             old = self.live(self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi"), batch)
             counted = counted.unionByName(old.select("level", scope.alias("scope_id"), (-sign).alias("sign")))
         terms = changes.groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("cf")).filter("df <> 0 or cf <> 0")
@@ -314,6 +335,48 @@ class Store:
         return {"ok": ok, "failed": failed, "replaced": replaced}
 
 
+def _each(lists: DataFrame, *more: str) -> DataFrame:
+    """A row for each chunk of lists of postings: term, chunk_id, scope_id, length, tf and more columns."""
+    zipped = F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("scope_ids").alias("scope_id"), F.col("lengths").alias("length"), F.col("tfs").alias("tf"))
+    return lists.select("term", *more, F.inline(zipped))
+
+
+def _listed(buckets: int):
+    """A function from chunks and their tokens to lists of postings: for each term of a batch the chunks that have it."""
+
+    def steps(batches):
+        """Slices of batches with about TOKENS tokens, whole rows each."""
+        for batch in batches:
+            at = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)) // TOKENS
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), batch.num_rows]
+            yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+    def run(batches):
+        for batch in steps(batches):
+            listed, levels = batch.column("tokens"), batch.column("level").dictionary_encode()
+            sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = listed.flatten().dictionary_encode()
+            n, rows = max(len(coded.dictionary), 1), max(len(sizes), 1)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            level = levels.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            # In the order of level, term and chunk.
+            pairs, tf = np.unique((level * n + coded.indices.to_numpy(zero_copy_only=False)) * rows + row, return_counts=True)
+            if not len(pairs):
+                continue
+            group, row = pairs // rows, pairs % rows
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            starts = pa.array(np.append(first, len(pairs)), pa.int32())
+            at = pa.array(row)
+            terms = coded.dictionary.take(pa.array(group[first] % n))
+            # The hash that bucket_of has.
+            hashes = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
+            values = [batch.column("chunk_id").take(at), batch.column("scope_id").take(at), pa.array(sizes[row], pa.int32()), pa.array(tf, pa.int64())]
+            columns = [terms, *[pa.ListArray.from_arrays(starts, v) for v in values], levels.dictionary.take(pa.array(group[first] // n)), pa.array((hashes % buckets)[group[first] % n], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_ids", "scope_ids", "lengths", "tfs", "level", "bucket"])
+
+    return run
+
+
 def _nearest_cell(centres: dict[str, np.ndarray | None]):
     """A function that adds to vectors the cell with the nearest centre, 0 where there are no cells."""
 

@@ -106,6 +106,7 @@ def test_levels_and_counts(spark, tmp_path):
     bad = [(None, "m1", "summary", "x", None, None, None, None), ("a", "m1", "nothing", "x", None, None, None, None), ("b", "m1", "summary", None, None, None, None, None)]
     odd = [("c", None, "summary", "alone here", None, None, None, None), ("d", "m1", "summary", "", [0.0] * 4, None, None, None), ("d", "m1", "summary", "", [0.0] * 4, None, None, None)]
     assert own.add(frame(spark, bad + odd)) == {"ok": 2, "failed": 3, "replaced": 0}
+    assert {(r["chunk_id"], r["level"], r["text"], r["batch"]) for r in own.failed().collect()} == {(None, "summary", "x", 0), ("a", "nothing", "x", 0), ("b", "summary", None, 0)}
     got = {r["level"]: tuple(r)[1:] for r in own.stats().collect()}
     assert got["summary"] == (2, 2, 1, 1) and got["chunk"] == (0, 0, 0, 0)
     with pytest.raises(ValueError):
@@ -113,6 +114,9 @@ def test_levels_and_counts(spark, tmp_path):
     with pytest.raises(ValueError):
         Store(spark, own.path, 8)
     asked = spark.createDataFrame([(1, "alone", None)], QUERY)
+    assert Store(spark, str(tmp_path / "index"), 8, recreate=True).batches == [] and not (tmp_path / "index").exists()
+    own = store(spark, tmp_path)
+    own.add(frame(spark, odd))
     assert indexed.bm25(own, "meeting", asked, 5).count() == 0 and indexed.search(own, "metadata", asked, 5).count() == 0
 
 
