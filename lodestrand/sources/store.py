@@ -7,9 +7,9 @@ batch is run again, and a batch that is done is never run twice. Readers see the
 Tables, each in folders by batch:
 
 - chunks, by level: all columns of the chunks.
-- postings, by level and bucket of the term: term, and lists of chunk_ids that have it with their scope_ids, lengths (of
-  the chunks) and tfs; a term has a list for each batch of rows that was indexed at once.
-- terms, by level: scope_id, term, df and cf; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
+- postings, by level and bucket of the term: term, and lists of chunk_ids that have it and their tfs; a term has a list
+  for each batch of rows that was indexed at once. docs, by level: chunk_id, scope_id and length, which postings meet.
+- terms, by level: scope_id, term and df; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
   what it replaces or removes, so sums over batches are the statistics of what is there.
 - vectors, by level and cell: chunk_id, scope_id, embedding. Cells are those of the level's first batch with vectors
   (`LEAST` or more of them, fitted on `SAMPLE` for each cell at most); later batches are dealt to the same cells.
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ TOKENS = 1 << 20
 EPSILON = 0.25
 
 #: A list of postings: a term and the chunks of some batch of rows that have it.
-POSTINGS = "term string, chunk_ids array<{kind}>, scope_ids array<string>, lengths array<int>, tfs array<long>"
+POSTINGS = "term string, chunk_ids array<{kind}>, tfs array<int>"
 MANIFEST = "dimension int, buckets int, columns string, base boolean, ok long, failed long, replaced long, batch int"
 
 
@@ -136,12 +136,19 @@ class Store:
         rows = self._read("postings", f"{POSTINGS.format(kind=self._kind('chunk_id'))}, level string, bucket int, batch int")
         rows = rows.filter((F.col("level") == index.check_level(level)) & F.col("bucket").isin(wanted))
         distinct = terms.select("term").distinct()
-        found = _each(rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi"), "batch")
-        return self.live(found).select("term", "chunk_id", "scope_id", "length", "tf")
+        found = rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
+        found = found.select("term", "batch", F.inline(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("tf"))))
+        # Postings of chunks that a later batch replaces meet nothing.
+        return found.join(self.docs(level), ["chunk_id", "batch"]).select("term", "chunk_id", "scope_id", "length", "tf")
+
+    def docs(self, level: str) -> DataFrame:
+        """chunk_id, scope_id, length and batch of the level's chunks."""
+        rows = self._read("docs", f"chunk_id {self._kind('chunk_id')}, scope_id string, length int, level string, batch int")
+        return self.live(rows.filter(F.col("level") == index.check_level(level))).drop("level")
 
     def terms(self, level: str) -> DataFrame:
         """scope_id, term and df, summed over batches."""
-        rows = self._read("terms", "scope_id string, term string, df long, level string, batch int").filter(F.col("level") == index.check_level(level))
+        rows = self._read("terms", "scope_id string, term string, df long, level string, batch int").filter((F.col("level") == index.check_level(level)) & F.col("term").isNotNull())
         return rows.groupBy("scope_id", "term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def sizes(self, level: str) -> DataFrame:
@@ -207,13 +214,21 @@ class Store:
         if self.columns is None:
             names = [f for f in chunks.schema if f.name != "level"]
             self.columns = T.StructType([*names, T.StructField("level", T.StringType())]).toDDL()
-        good, bad, counts = index.quarantine(chunks)
-        failed = counts.first()["failed"]
+        wanted, seen = self._schema(), Observation()
+        ok = F.coalesce(F.col("chunk_id").isNotNull() & F.col("text").isNotNull() & F.col("level").isin(*index.LEVELS), F.lit(False))
+
+        def own(rows: DataFrame) -> DataFrame:
+            return index.quarantine(rows)[0].select(*[F.col(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+
+        # The chunks are computed once, and again only if some cannot be indexed or have the id of others.
+        self._write(own(chunks.observe(seen, F.count_if(~ok).alias("failed"))), "chunks", batch, "level")
+        ids = self.spark.read.schema(wanted).parquet(f"{self.path}/chunks/batch={batch}").agg(F.count("*"), F.countDistinct("chunk_id")).first()
+        if ids[0] != ids[1]:
+            self._write(own(chunks).dropDuplicates(["chunk_id"]), "chunks", batch, "level")
+        release(self.spark)
+        failed = seen.get.get("failed", 0)
         if failed:
-            self._write(bad, "failed", batch)
-        wanted = self._schema()
-        own = good.select(*[F.col(f.name) if f.name in chunks.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
-        self._write(own.dropDuplicates(["chunk_id"]), "chunks", batch, "level")
+            self._write(index.quarantine(chunks)[1], "failed", batch)
         new = self.spark.read.schema(wanted).parquet(f"{self.path}/chunks/batch={batch}")
         earlier = self.live(self._read("chunks", T.StructType([*wanted, T.StructField("batch", T.IntegerType())]), batch), batch)
         replaced = self._write_gone(earlier.join(new.select("chunk_id"), "chunk_id", "left_semi"), batch)
@@ -247,7 +262,7 @@ class Store:
         """Remove the folders of batches that readers no longer see, manifests first."""
         first = self.batches[0] if self.batches else 0
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for table in ("manifest", "chunks", "postings", "terms", "sizes", "vectors", "gone", "failed", "summary"):
+        for table in ("manifest", "chunks", "postings", "docs", "terms", "sizes", "vectors", "gone", "failed", "summary"):
             root = hadoop.Path(f"{self.path}/{table}")
             fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
             for folder in fs.listStatus(root) if fs.exists(root) else []:
@@ -259,29 +274,29 @@ class Store:
         """Everything but the chunks themselves, from a batch's chunks and the number of those that it takes out."""
         kind = self._kind("chunk_id")
         scope = F.when(F.col("level") == "meeting", F.col("entry_id") if "entry_id" in new.columns else F.lit(None)).otherwise(F.col("meeting_id")).cast("string")
-        worded = new.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens"))
-        listed = worded.mapInArrow(_listed(self.buckets), f"{POSTINGS.format(kind=kind)}, level string, bucket int")
+
+        def worded(rows: DataFrame) -> DataFrame:
+            return rows.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens"))
+
+        listed = worded(new).select("level", "chunk_id", "tokens").mapInArrow(_listed(self.buckets), f"{POSTINGS.format(kind=kind)}, level string, bucket int")
         # Large buckets are split and small ones put together at run time; a file is in the order of its terms.
         self._write(listed.hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "term"), "postings", batch, "level", "bucket")
         release(self.spark)
-        # Statistics are read from postings: of the batch, and, subtracted, of what it takes out.
-        sign = F.lit(1)
-        schema = f"{POSTINGS.format(kind=kind)}, level string, bucket int"
-        posted = F.inline(F.arrays_zip(F.col("scope_ids").alias("scope_id"), F.col("tfs").alias("tf")))
-        changes = self.spark.read.schema(schema).parquet(f"{self.path}/postings/batch={batch}").select("level", "term", sign.alias("sign"), posted)
-        counted = new.select("level", scope.alias("scope_id"), sign.alias("sign"))
+        self._write(worded(new).select("level", "chunk_id", "scope_id", F.size("tokens").alias("length")), "docs", batch, "level")
+        # Statistics in one pass: chunks with a term, and under no term all chunks and their lengths.
+        changes = worded(new).withColumn("sign", F.lit(1))
         if replaced:
             gone = self.spark.read.schema(f"chunk_id {kind}").parquet(f"{self.path}/gone/batch={batch}")
-            out = _each(self._read("postings", f"{schema}, batch int", batch), "level", "batch").join(gone, "chunk_id", "left_semi")
-            changes = changes.unionByName(self.live(out, batch).select("level", "term", (-sign).alias("sign"), "scope_id", "tf"))
-            old = self.live(self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi"), batch)
-            counted = counted.unionByName(old.select("level", scope.alias("scope_id"), (-sign).alias("sign")))
-        terms = changes.groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df"), F.sum(F.col("sign") * F.col("tf")).alias("cf")).filter("df <> 0 or cf <> 0")
+            old = self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi")
+            changes = changes.unionByName(worded(self.live(old, batch)).withColumn("sign", F.lit(-1)))
+        each = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))))
+        changes = changes.select("level", "scope_id", "sign", (F.col("sign") * F.size("tokens")).alias("length"), each.alias("term"))
+        changes = changes.groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
+        terms = changes.filter("df <> 0 or length <> 0")
         self._write(terms.hint("rebalance", "level", "scope_id").sortWithinPartitions("level", "scope_id", "term"), "terms", batch, "level")
-        lengths = self.spark.read.schema("scope_id string, term string, df long, cf long, level string").parquet(f"{self.path}/terms/batch={batch}").groupBy("level", "scope_id").agg(F.sum("cf").alias("length"))
-        sizes = counted.groupBy("level", "scope_id").agg(F.sum("sign").alias("n")).withColumn("length", F.lit(0).cast("long"))
-        sizes = sizes.unionByName(lengths.withColumn("n", F.lit(0).cast("long"))).groupBy("level", "scope_id").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-        self._write(sizes, "sizes", batch, "level")
+        release(self.spark)
+        sizes = self.spark.read.schema("scope_id string, term string, df long, length long, level string").parquet(f"{self.path}/terms/batch={batch}").filter("term is null")
+        self._write(sizes.select("level", "scope_id", F.col("df").alias("n"), "length"), "sizes", batch, "level")
         self._write_vectors(new, scope, batch)
 
     def _write_vectors(self, new: DataFrame, scope: Column, batch: int) -> None:
@@ -324,7 +339,7 @@ class Store:
         """Write the summary and then the manifest, which makes the batch visible."""
         seen = [batch] if base else [*self.batches, batch]
         sizes = self._of("sizes", "scope_id string, n long, length long, level string", seen).groupBy("level").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-        df = self._of("terms", "scope_id string, term string, df long, level string", seen).groupBy("level", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+        df = self._of("terms", "scope_id string, term string, df long, level string", seen).filter("term is not null").groupBy("level", "term").agg(F.sum("df").alias("df")).filter("df > 0")
         counts = df.groupBy("level", "df").agg(F.count("*").alias("terms")).join(sizes, "level")
         floor = counts.groupBy("level").agg((EPSILON * F.sum(raw_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("floor"))
         self._write(sizes.filter("n > 0").join(floor, "level", "left").coalesce(1), "summary", batch)
@@ -335,12 +350,6 @@ class Store:
         return {"ok": ok, "failed": failed, "replaced": replaced}
 
 
-def _each(lists: DataFrame, *more: str) -> DataFrame:
-    """A row for each chunk of lists of postings: term, chunk_id, scope_id, length, tf and more columns."""
-    zipped = F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("scope_ids").alias("scope_id"), F.col("lengths").alias("length"), F.col("tfs").alias("tf"))
-    return lists.select("term", *more, F.inline(zipped))
-
-
 def _listed(buckets: int):
     """A function from chunks and their tokens to lists of postings: for each term of a batch the chunks that have it."""
 
@@ -370,9 +379,9 @@ def _listed(buckets: int):
             terms = coded.dictionary.take(pa.array(group[first] % n))
             # The hash that bucket_of has.
             hashes = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
-            values = [batch.column("chunk_id").take(at), batch.column("scope_id").take(at), pa.array(sizes[row], pa.int32()), pa.array(tf, pa.int64())]
+            values = [batch.column("chunk_id").take(at), pa.array(tf, pa.int32())]
             columns = [terms, *[pa.ListArray.from_arrays(starts, v) for v in values], levels.dictionary.take(pa.array(group[first] // n)), pa.array((hashes % buckets)[group[first] % n], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_ids", "scope_ids", "lengths", "tfs", "level", "bucket"])
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_ids", "tfs", "level", "bucket"])
 
     return run
 
