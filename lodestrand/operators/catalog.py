@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -45,14 +48,30 @@ def by_person(catalog: DataFrame, name: str) -> DataFrame:
 
 def by_date_range(catalog: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Meetings from start to end, both included. An undated one passes if there is an end only."""
-    rows = catalog if start is None else catalog.filter(F.col("date") >= start)
-    return rows if end is None else rows.filter(F.col("date") <= end)
+    return catalog.filter(in_range(start, end))
 
 
 def by_year_month(catalog: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
     """Meetings of a year and month; 0 or None does not filter."""
-    rows = catalog.filter(F.col("year") == year) if year else catalog
-    return rows.filter(F.col("month") == month) if month else rows
+    return catalog.filter(in_month(year, month))
+
+
+def in_range(start: str | None = None, end: str | None = None) -> Column:
+    """Whether a meeting is in by_date_range."""
+    since = F.lit(True) if start is None else F.col("date") >= start
+    return since if end is None else since & (F.col("date") <= end)
+
+
+def in_month(year: int | None = None, month: int | None = None) -> Column:
+    """Whether a meeting is in by_year_month."""
+    own = F.col("year") == year if year else F.lit(True)
+    return own & (F.col("month") == month) if month else own
+
+
+def asked_of(catalog: DataFrame, wanted: dict[str, Column], name: str) -> DataFrame:
+    """The meetings that fit each of some predicates, with its name in a column: one pass over the catalog for all."""
+    fits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in wanted.items()]))
+    return catalog.filter(reduce(or_, wanted.values())).select("*", F.explode(fits).alias(name))
 
 
 def participants(catalog: DataFrame) -> DataFrame:

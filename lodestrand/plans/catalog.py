@@ -244,11 +244,8 @@ def q33_filter_by_person(spark, sf_dir):
 
 @query
 def q34_filter_by_date_range(spark, sf_dir):
-    rows, found = _catalog(spark, sf_dir).select("meeting_id", "date"), None
-    for mode, start, end in (("start", "2000-06-01", None), ("end", None, "1996-02-29"), ("both", "1998-01-01", "1998-03-31")):
-        own = meetings.by_date_range(rows, start, end).withColumn("mode", F.lit(mode))
-        found = own if found is None else found.unionByName(own)
-    return found
+    wanted = {"start": ("2000-06-01", None), "end": (None, "1996-02-29"), "both": ("1998-01-01", "1998-03-31")}
+    return meetings.asked_of(_catalog(spark, sf_dir).select("meeting_id", "date"), {mode: meetings.in_range(*ends) for mode, ends in wanted.items()}, "mode")
 
 
 @query

@@ -81,12 +81,20 @@ def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.filter("query_id % 5 <> 4").select("query_id", F.explode(named).alias("meeting_id"))
 
 
+#: Lines that one task gathers into orders. Keys in order compress so well that bytes of a shuffle do not bound a task.
+LINES = 400_000
+
+
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as meetings: suppliers take part, part names are topics, lines are actions; pending orders are undated."""
+    """Orders as meetings: suppliers take part, part names are topics, lines are actions; pending orders are undated.
+
+    Lines are dealt to tasks by their number, so what a task holds does not grow with the tables.
+    """
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_partkey")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
     named = lines.join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     task = F.format_string("%02d %s %s", F.col("l_linenumber"), "l_returnflag", "p_name")
-    by_order = named.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s_name")).alias("participants"), F.sort_array(F.collect_set("p_name")).alias("topics"), F.sort_array(F.collect_list(task)).alias("action_tasks"))
+    by_order = named.repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s_name")).alias("participants"), F.sort_array(F.collect_set("p_name")).alias("topics"), F.sort_array(F.collect_list(task)).alias("action_tasks"))
     dated = F.when(F.col("o_orderstatus") != "P", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00")))
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("meeting_id"), dated.alias("datetime"))
     return orders.join(by_order, F.col("meeting_id") == F.col("l_orderkey")).drop("l_orderkey")

@@ -4,6 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import catalog, filters, matching, render, rewrite
+from lodestrand.plans import catalog as plans
+from lodestrand.plans import standins
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")
@@ -154,3 +162,14 @@ def test_catalog_calls(spark, meetings):
     assert set(results) == set(range(1, 14)) and results[1][1]["meeting_ids"] == [r["meeting_id"] for r in got[1]]
     assert results[6] == (0, {"query_type": "filter_by_person", "meeting_ids": [], "dates": [], "names": [], "scores": [], "count": 0, "error": "fuzzy_name is required"})
     assert catalog.tool_rows(frame.limit(0), meetings, "2024-05-15").count() == 0
+
+
+def test_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    lines = standins.read(spark, SF, "lineitem").count()
+    monkeypatch.setattr(standins, "LINES", 100)
+    assert f"{-(-lines // 100)}), REPARTITION_BY_NUM" in plan_of(standins.meetings(spark, SF))
+
+
+def test_a_range_of_dates_reads_the_catalog_once(spark):
+    plan = plan_of(plans.QUERIES["q34_filter_by_date_range"](spark, SF))
+    assert plan.count("REPARTITION_BY_NUM") == 1
