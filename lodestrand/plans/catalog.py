@@ -250,11 +250,8 @@ def q34_filter_by_date_range(spark, sf_dir):
 
 @query
 def q35_filter_by_year_month(spark, sf_dir):
-    rows, found = _catalog(spark, sf_dir).select("meeting_id", "year", "month", "day"), None
-    for year, month in ((1997, 3), (1996, 0), (0, 12)):
-        own = meetings.by_year_month(rows, year, month).withColumn("asked", F.lit(f"{year}-{month}"))
-        found = own if found is None else found.unionByName(own)
-    return found
+    wanted = ((1997, 3), (1996, 0), (0, 12))
+    return meetings.asked_of(_catalog(spark, sf_dir).select("meeting_id", "year", "month", "day"), {f"{year}-{month}": meetings.in_month(year, month) for year, month in wanted}, "asked")
 
 
 @query

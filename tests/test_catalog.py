@@ -173,3 +173,8 @@ def test_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
 def test_a_range_of_dates_reads_the_catalog_once(spark):
     plan = plan_of(plans.QUERIES["q34_filter_by_date_range"](spark, SF))
     assert plan.count("REPARTITION_BY_NUM") == 1
+
+
+def test_years_and_months_read_the_catalog_once(spark):
+    plan = plan_of(plans.QUERIES["q35_filter_by_year_month"](spark, SF))
+    assert plan.count("hashpartitioning(l_orderkey") == 1
