@@ -26,7 +26,7 @@ def bm25(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame
     """
     known = store.sizes(level).withColumnRenamed("scope_id", "meeting_id")
     members, own = retrieval.corpora(queries, known, _as_meetings(scope), fail_open)
-    terms = cut(retrieval.asked_terms(own))
+    terms, held = cut(retrieval.asked_terms(own)), retrieval.at_hand(members, retrieval.FEW_MEMBERS)
     spread = retrieval.few(terms)
     meeting = F.lit("") if scope is None else retrieval.meeting_key(F.col("scope_id"))
     posts = store.postings(level, terms, terms.count() <= retrieval.FEW_TERMS).select(meeting.alias("meeting"), "chunk_id", "length", "term", "tf")
@@ -41,9 +41,9 @@ def bm25(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame
     else:
         sizes = store.sizes(level).select(meeting.alias("meeting"), "n", "length").join(members, "meeting")
         sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
-        df = store.terms(level).select(meeting.alias("meeting"), "term", "df").join(members, "meeting").groupBy("corpus", "term").agg(F.sum("df").alias("df"))
-        asked = retrieval.weighed(terms, sizes, df, retrieval.floors(sizes, df))
-    listed, held = retrieval.at_hand(asked, retrieval.FEW_TERMS), retrieval.at_hand(members, retrieval.FEW_MEMBERS)
+        words = store.terms(level).select(meeting.alias("meeting"), "term", "df")
+        asked = retrieval.weighed(terms, sizes, *retrieval.by_corpus(words, terms, sizes, held, lambda rows: rows.join(members, "meeting")))
+    listed = retrieval.at_hand(asked, retrieval.FEW_TERMS)
     if listed is not None and held is not None:
         # A chunk's postings meet once, whatever the number of queries.
         by_chunk = posts.groupBy("meeting", "chunk_id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("words"))

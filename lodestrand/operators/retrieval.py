@@ -203,11 +203,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, scope: DataFrame | None
     # One pass counts the chunks that have a term, and under no term all chunks and their lengths.
     each = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))))
     counted = texts.select("meeting", "length", each.alias("term")).groupBy("meeting", "term").agg(F.count("*").alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
-    counted = in_corpora(cut(counted))
-    sizes = counted.filter("term is null").groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
-    df = counted.filter("term is not null").groupBy("corpus", "term").agg(F.sum("n").alias("df"))
-    asked = weighed(asked_terms(own), sizes, df, floors(sizes, df))
-    terms, held = at_hand(asked, FEW_TERMS), at_hand(members, FEW_MEMBERS)
+    counted = cut(counted)
+    sizes = in_corpora(counted.filter("term is null")).groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
+    words, held, asked = counted.filter("term is not null").select("meeting", "term", F.col("n").alias("df")), at_hand(members, FEW_MEMBERS), asked_terms(own)
+    asked = weighed(asked, sizes, *by_corpus(words, asked, sizes, None if scope is None else held, in_corpora))
+    terms = at_hand(asked, FEW_TERMS)
     if terms is not None and held is not None:
         return scored_in_tasks(texts, terms, held, k, queries.schema["query_id"].dataType.simpleString())
     asked = cut(asked)
@@ -234,17 +234,23 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
     held: dict[str, list[int]] = {}
     for r in members:
         held.setdefault(r["meeting"], []).append(r["corpus"])
-    key = np.array([r["corpus"] * len(names) + place[r["term"]] for r in terms], np.int64)
+    key = np.array([place[r["term"]] for r in terms], np.int64)
     order = np.argsort(key, kind="stable")
+    # A term's queries stand side by side.
+    edges = np.searchsorted(key[order], np.arange(len(names) + 1))
+    corpora = {c: i for i, c in enumerate(sorted({r["corpus"] for r in terms}))}
+    corpus = np.array([corpora[r["corpus"]] for r in terms], np.int64)[order]
     query = np.array([at[r["query_id"]] for r in terms], np.int64)[order]
     weight = np.array([r["idf"] * r["times"] * (K1 + 1) for r in terms], np.float64)[order]
-    mean = {r["corpus"]: r["mean_length"] for r in terms}
-    shared = rows.sparkSession.sparkContext.broadcast((ids, pa.array(names, pa.string()), key[order], query, weight, mean, held))
+    mean = np.zeros(len(corpora))
+    mean[corpus] = np.array([r["mean_length"] for r in terms], np.float64)[order]
+    held = {m: np.array([corpora[c] for c in some if c in corpora], np.int64) for m, some in held.items()}
+    shared = rows.sparkSession.sparkContext.broadcast((ids, pa.array(names, pa.string()), edges, corpus, query, weight, mean, held))
     schema = f"query_id {kind}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double"
     repeated = "tf" not in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, names, key, query, weight, mean, held = shared.value
+        ids, names, edges, corpus, query, weight, mean, held = shared.value
         best = _Best(len(ids), k)
 
         def add(batch: pa.RecordBatch) -> None:
@@ -262,27 +268,30 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
                 row, term, tf = row[full], term[full], batch.column("tf").flatten().to_numpy(zero_copy_only=False)[full]
             length = batch.column("length").to_numpy(zero_copy_only=False).astype(np.float64)
             meeting = batch.column("meeting").dictionary_encode()
-            own = [held.get(m, ()) for m in meeting.dictionary.to_pylist()]
+            inside = np.zeros((len(meeting.dictionary), len(mean)), bool)
+            for i, m in enumerate(meeting.dictionary.to_pylist()):
+                inside[i, held.get(m, ())] = True
             of = meeting.indices.to_numpy(zero_copy_only=False)
             scores = np.zeros(batch.num_rows * len(ids))
-            for corpus in {c for some in own for c in some}:
-                if corpus in mean:
-                    inside = np.array([corpus in some for some in own])[of][row]
-                    r, t, n = row[inside], term[inside], tf[inside]
-                    part = n / (n + K1 * (1 - B + B * length[r] / mean[corpus]))
-                    low, high = (np.searchsorted(key, corpus * len(names) + t, side) for side in ("left", "right"))
-                    times = high - low
-                    entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
-                    scores += np.bincount(np.repeat(r, times) * len(ids) + query[entry], np.repeat(part, times) * weight[entry], len(scores))
+            low, times = edges[term], edges[term + 1] - edges[term]
+            for a, b in cuts(times, SCORES):
+                entry = expanded(low[a:b], times[a:b])
+                at = np.repeat(np.arange(a, b), times[a:b])
+                # Terms of queries that may not find the chunk do not count.
+                full = inside[of[row[at]], corpus[entry]]
+                entry, at = (entry, at) if full.all() else (entry[full], at[full])
+                r, n = row[at], tf[at]
+                part = n / (n + K1 * (1 - B + B * length[r] / mean[corpus[entry]]))
+                scores += np.bincount(r * len(ids) + query[entry], part * weight[entry], len(scores))
             scores = np.round(scores, 6).reshape(batch.num_rows, -1)
             r, q = np.nonzero((scores > 0) & (scores >= best.least))
             best.add(q, scores[r, q], batch.column("chunk_id").to_numpy(zero_copy_only=False)[r])
 
-        # Rows of a step times queries stay below a bound.
-        step = max(1, SCORES // max(len(ids), 1))
+        # Scores and tokens of a step stay below a bound.
         for batch in batches:
-            for i in range(0, batch.num_rows if ids else 0, step):
-                add(batch.slice(i, step))
+            sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in cuts(len(ids) + sizes, SCORES) if ids else []:
+                add(batch.slice(a, b - a))
             pa.default_memory_pool().release_unused()
         if best.key is not None and len(best.key):
             best.prune()
@@ -308,6 +317,71 @@ def floors(sizes: DataFrame, df: DataFrame) -> DataFrame:
     return counts.groupBy("corpus").agg((EPSILON * F.sum(raw_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("floor"))
 
 
+def by_corpus(words: DataFrame, asked: DataFrame, sizes: DataFrame, members: list | None, in_corpora: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """df of the asked terms and floors, both by corpus, from words (meeting, term, df).
+
+    Only asked terms are summed into corpora as rows. With members at hand floors are summed in tasks, so a term of a
+    corpus is no row either; without, all terms are.
+    """
+    if members is None:
+        df = in_corpora(words).groupBy("corpus", "term").agg(F.sum("df").alias("df"))
+        return df, floors(sizes, df)
+    own = words.join(asked.select("term").distinct(), "term", "left_semi")
+    return in_corpora(own).groupBy("corpus", "term").agg(F.sum("df").alias("df")), floors_in_tasks(words, members, sizes)
+
+
+def floors_in_tasks(words: DataFrame, members: list, sizes: DataFrame) -> DataFrame:
+    """What floors gives, from words (meeting, term, df) and corpora whose meetings are at hand."""
+    n = {r["corpus"]: r["n"] for r in sizes.collect()}
+    pairs = sorted((r["meeting"], r["corpus"]) for r in members if r["corpus"] in n)
+    ids = sorted(n)
+    at = {c: i for i, c in enumerate(ids)}
+    names = sorted({m for m, _ in pairs})
+    corpus = np.array([at[c] for _, c in pairs], np.int64)
+    # The corpora of a meeting stand side by side; the last edge is that of unknown meetings, which have none.
+    edges = np.append(np.searchsorted(np.array([m for m, _ in pairs], object), np.array([*names], object)), [len(pairs), len(pairs)]).astype(np.int64)
+    shared = words.sparkSession.sparkContext.broadcast((np.array([n[c] for c in ids], np.float64), ids, pa.array(names, pa.string()), corpus, edges))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, ids, names, corpus, edges = shared.value
+        total, terms = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for batch in batches:
+            if not ids or not batch.num_rows:
+                continue
+            lengths = pc.list_value_length(batch.column("meetings")).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = batch.column("meetings").flatten().dictionary_encode()
+            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), len(names)).to_numpy(zero_copy_only=False).astype(np.int64)
+            meeting, df = known[coded.indices.to_numpy(zero_copy_only=False)], batch.column("dfs").flatten().to_numpy(zero_copy_only=False)
+            low, times = edges[meeting], edges[meeting + 1] - edges[meeting]
+            ends = np.append(0, np.cumsum(lengths))
+            spread = np.append(0, np.cumsum(times))
+            for a, b in cuts(len(ids) + np.diff(spread[ends]), SCORES):
+                of = slice(ends[a], ends[b])
+                row = np.repeat(np.arange(b - a), lengths[a:b])
+                key = np.repeat(row * len(ids), times[of]) + corpus[expanded(low[of], times[of])]
+                found = np.bincount(key, np.repeat(df[of], times[of]), (b - a) * len(ids)).reshape(b - a, -1)
+                total += np.where(found > 0, np.log(size - found + 0.5) - np.log(found + 0.5), 0).sum(axis=0)
+                terms += (found > 0).sum(axis=0)
+        if terms.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total), pa.array(terms)], ["corpus", "total", "terms"])
+
+    listed = words.groupBy("term").agg(F.collect_list(F.struct("meeting", "df")).alias("in")).select(F.col("in.meeting").alias("meetings"), F.col("in.df").alias("dfs"))
+    summed = listed.mapInArrow(run, "corpus long, total double, terms long").groupBy("corpus").agg(F.sum("total").alias("total"), F.sum("terms").alias("terms"))
+    return summed.filter("terms > 0").select("corpus", (EPSILON * F.col("total") / F.col("terms")).alias("floor"))
+
+
+def cuts(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive places whose sizes add up to about `most`; a larger one stands alone or ends its range."""
+    at = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def expanded(low: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... of each place, so many as times says."""
+    return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+
+
 def weighed(asked: DataFrame, sizes: DataFrame, df: DataFrame, floor: DataFrame) -> DataFrame:
     """asked with idf and mean_length; terms that a corpus does not have are left out."""
     terms = asked.select("corpus", "term").distinct()
@@ -352,26 +426,30 @@ def hybrid(
     return fuse(dense(chunks if vectors is None else vectors, queries, n, scope, fail_open), bm25(chunks, queries, n, scope, fail_open), k, alpha)
 
 
-def by_entry(chunks: DataFrame, queries: DataFrame, entries: DataFrame, k: int, alpha: float = ALPHA) -> DataFrame:
+def by_entry(chunks: DataFrame, queries: DataFrame, entries: DataFrame, k: int, alpha: float = ALPHA, vectors: DataFrame | None = None) -> DataFrame:
     """Hybrid search among chunks whose entry_id is allowed (query_id, entry_id); nothing allowed finds nothing."""
-    keyed = chunks.drop("meeting_id").withColumnRenamed("entry_id", "meeting_id")
-    return hybrid(keyed, queries, k, alpha, entries.withColumnRenamed("entry_id", "meeting_id"), fail_open=False)
+    keyed = lambda rows: rows if rows is None else rows.drop("meeting_id").withColumnRenamed("entry_id", "meeting_id")
+    return hybrid(keyed(chunks), queries, k, alpha, entries.withColumnRenamed("entry_id", "meeting_id"), fail_open=False, vectors=keyed(vectors))
 
 
-def hierarchical(metadata: DataFrame, summaries: DataFrame, entries: DataFrame, queries: DataFrame, k: tuple[int, int, int] = (5, 10, 10), alpha: float = ALPHA) -> DataFrame:
+def hierarchical(
+    metadata: DataFrame, summaries: DataFrame, entries: DataFrame, queries: DataFrame, k: tuple[int, int, int] = (5, 10, 10), alpha: float = ALPHA, vectors: tuple[DataFrame | None, DataFrame | None, DataFrame | None] = (None, None, None)
+) -> DataFrame:
     """Three levels in one plan: meetings by metadata, summaries of these, entries that the summaries refer to.
 
     summaries have references (an array of entry ids); entries have entry_id. A query that finds nothing at a level
-    has no rows at the levels below. Rows: query_id, level, chunk_id, rank, hybrid_score.
+    has no rows at the levels below. Rows: query_id, level, chunk_id, rank, hybrid_score. The levels' vectors may stand
+    in tables of their own, as in hybrid; those of entries have entry_id.
     """
     # Each level's hits are few and used several times below, so they are computed once.
-    first = cut(hybrid(metadata, queries, k[0], alpha))
+    first = cut(hybrid(metadata, queries, k[0], alpha, vectors=vectors[0]))
     meetings = first.join(metadata.select("chunk_id", "meeting_id"), "chunk_id").select("query_id", "meeting_id").distinct()
-    on = queries.join(meetings.select("query_id").distinct(), "query_id", "left_semi")
-    second = cut(hybrid(summaries, on, k[1], alpha, meetings, fail_open=True))
+    meetings = cut(meetings)
+    on = cut(queries.join(meetings.select("query_id").distinct(), "query_id", "left_semi"))
+    second = cut(hybrid(summaries, on, k[1], alpha, meetings, fail_open=True, vectors=vectors[1]))
     named = second.join(summaries.select("chunk_id", "references"), "chunk_id")
-    wanted = named.select("query_id", F.explode("references").alias("entry_id")).distinct()
-    third = by_entry(entries, on.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), wanted, k[2], alpha)
+    wanted = cut(named.select("query_id", F.explode("references").alias("entry_id")).distinct())
+    third = by_entry(entries, on.join(wanted.select("query_id").distinct(), "query_id", "left_semi"), wanted, k[2], alpha, vectors[2])
     parts = [hits.select("query_id", F.lit(level).alias("level"), "chunk_id", "rank", "hybrid_score") for level, hits in (("metadata", first), ("summary", second), ("meeting", third))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -178,14 +178,14 @@ def _entries(chunks: DataFrame) -> DataFrame:
 @query
 def q25_hybrid_entry_filter_failclosed(spark, sf_dir):
     wanted = S.scope(spark, sf_dir).select("query_id", F.format_string("M%03d", (F.col("query_id") % 15).cast("int")).alias("entry_id"))
-    return retrieval.by_entry(_entries(S.chunks(spark, sf_dir)), S.queries(spark, sf_dir), wanted, 10)
+    return retrieval.by_entry(_entries(S.texts(spark, sf_dir)), S.queries(spark, sf_dir), wanted, 10, vectors=_entries(S.chunks(spark, sf_dir).drop("text")))
 
 
 @query
 def q26_hierarchical_search(spark, sf_dir):
-    chunks = S.chunks(spark, sf_dir)
     named = F.array(*[F.format_string("M%03d", ((F.col("chunk_id") + i) % 12).cast("int")) for i in (0, 5)])
-    return retrieval.hierarchical(chunks.filter("level = 'es'"), chunks.filter("level = 'fr'").withColumn("references", named), _entries(chunks.filter("level = 'en'")), S.queries(spark, sf_dir))
+    levels = lambda rows: (rows.filter("level = 'es'"), rows.filter("level = 'fr'").withColumn("references", named), _entries(rows.filter("level = 'en'")))
+    return retrieval.hierarchical(*levels(S.texts(spark, sf_dir)), S.queries(spark, sf_dir), vectors=levels(S.chunks(spark, sf_dir).drop("text")))
 
 
 @query

@@ -182,3 +182,32 @@ def test_scores_in_tasks_equal_those_by_joins(spark, monkeypatch, scores):
     monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
     joined = [sorted(map(tuple, retrieval.bm25(chunks, asked, 4, **w).select("query_id", "chunk_id", "score", "rank").collect())) for w in ways]
     assert found == joined and all(found)
+
+
+def scoped_case(spark):
+    rows = [(i, f"m{i % 5}", " ".join(f"w{(i * j) % 23}" for j in range(1, i % 9 + 3)), None) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id int, meeting_id string, text string, embedding array<float>")
+    queries = spark.createDataFrame([(q, f"w{q} w{2 * q} w{q + 7} w{q}", None) for q in range(8)], "query_id int, text string, embedding array<float>")
+    scope = spark.createDataFrame([(q, f"m{(q + i) % 5}") for q in range(8) for i in range(q % 3 + 1)], "query_id int, meeting_id string")
+    return chunks, queries, scope
+
+
+def test_scopes_at_hand_make_no_row_for_a_term_of_a_corpus(spark, monkeypatch):
+    chunks, queries, scope = scoped_case(spark)
+    found = sorted(map(tuple, retrieval.bm25(chunks, queries, 4, scope).collect()))
+    monkeypatch.setattr(retrieval, "FEW_MEMBERS", 0)
+    assert found == sorted(map(tuple, retrieval.bm25(chunks, queries, 4, scope).collect())) and len(found) > 8
+    monkeypatch.undo()
+    monkeypatch.setattr(retrieval, "floors", lambda *_: pytest.fail("all terms of all corpora became rows"))
+    assert found == sorted(map(tuple, retrieval.bm25(chunks, queries, 4, scope).collect()))
+
+
+def test_scores_are_added_up_in_bounded_steps(spark, monkeypatch):
+    chunks, queries, scope = scoped_case(spark)
+    want = [sorted(map(tuple, retrieval.bm25(chunks, queries, 4, s).collect())) for s in (None, scope)]
+    monkeypatch.setattr(retrieval, "SCORES", 16)
+    assert want == [sorted(map(tuple, retrieval.bm25(chunks, queries, 4, s).collect())) for s in (None, scope)]
+    sizes = np.array([1, 40, 2, 3, 9, 9, 0, 1])
+    for a, b in retrieval.cuts(sizes, 10):
+        assert sizes[a:b].sum() <= 10 + sizes[a]
+    assert sum((list(range(a, b)) for a, b in retrieval.cuts(sizes, 10)), []) == list(range(8))
