@@ -6,13 +6,17 @@ and statistics of any scope are sums over its meetings.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut
 from ..sources.store import Store
+from ..sources.store import total as total_of
 from . import filters, retrieval
 
 #: Chunks found by the three levels of the hierarchical search.
@@ -29,30 +33,78 @@ def bm25(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame
     terms, held = cut(retrieval.asked_terms(own)), retrieval.at_hand(members, retrieval.FEW_MEMBERS)
     spread = retrieval.few(terms)
     meeting = F.lit("") if scope is None else retrieval.meeting_key(F.col("scope_id"))
-    posts = store.postings(level, terms, terms.count() <= retrieval.FEW_TERMS).select(meeting.alias("meeting"), "chunk_id", "length", "term", "tf")
+    counts = store.counts(level)
     if scope is None:
         total = store.summary(level)
         if total is None:
             return _none(store, queries)
         n, length, floor = total
         one = store.spark.range(1).select(F.col("id").alias("corpus"), F.lit(n).cast("long").alias("n"), F.lit(length / n).alias("mean_length"), F.lit(floor).cast("double").alias("floor"))
-        df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("corpus", F.lit(0).cast("long"))
+        df = counts.join(spread(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum(total_of("dfs")).alias("df")).filter("df > 0").withColumn("corpus", F.lit(0).cast("long"))
         asked = retrieval.weighed(terms, one.drop("floor"), df, one.select("corpus", "floor"))
     else:
         sizes = store.sizes(level).select(meeting.alias("meeting"), "n", "length").join(members, "meeting")
         sizes = sizes.groupBy("corpus").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean_length"))
-        words = store.terms(level).select(meeting.alias("meeting"), "term", "df")
-        asked = retrieval.weighed(terms, sizes, *retrieval.by_corpus(words, terms, sizes, held, lambda rows: rows.join(members, "meeting")))
+        counts = counts.select("term", F.transform("scopes", retrieval.meeting_key).alias("meetings"), "dfs")
+        words = counts.select("term", F.inline(F.arrays_zip(F.col("meetings").alias("meeting"), F.col("dfs").alias("df"))))
+        one = F.collect_list(F.struct("meetings", "dfs"))
+        listed = counts.groupBy("term").agg(one.alias("in")).select(F.flatten("in.meetings").alias("meetings"), F.flatten("in.dfs").alias("dfs"))
+        asked = retrieval.weighed(terms, sizes, *retrieval.by_corpus(words, terms, sizes, held, lambda rows: rows.join(members, "meeting"), listed))
     listed = retrieval.at_hand(asked, retrieval.FEW_TERMS)
     if listed is not None and held is not None:
-        # A chunk's postings meet once, whatever the number of queries.
-        by_chunk = posts.groupBy("meeting", "chunk_id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("words"))
-        rows = by_chunk.select("meeting", "chunk_id", "length", F.col("words.term").alias("tokens"), F.col("words.tf").alias("tf"))
-        return retrieval.scored_in_tasks(rows, listed, held, k, queries.schema["query_id"].dataType.simpleString())
+        # A slice's lists meet its chunks in one task, whatever the number of queries.
+        rows = store.slices(level, terms).withColumn("meeting", meeting).drop("scope_id")
+        rows = rows.repartition("batch", "slice").sortWithinPartitions("batch", "slice")
+        return retrieval.scored_in_tasks(rows, listed, held, k, queries.schema["query_id"].dataType.simpleString(), store._kind("chunk_id"), by_chunk)
     asked = cut(asked)
+    posts = store.postings(level, terms, terms.count() <= retrieval.FEW_TERMS).select(meeting.alias("meeting"), "chunk_id", "length", "term", "tf")
     return retrieval.scored(posts.join(spread(asked.select("term").distinct()), "term", "left_semi").join(members, "meeting"), asked, k)
 
 
+def by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meeting, chunk_id, length, and lists of tokens and tf, from the lists of slices that come one after the other.
+
+    Postings of chunks that a later batch replaces meet nothing.
+    """
+    for table in _slices(batches):
+        none = pc.is_null(table.column("term"))
+        docs, lists = table.filter(none), table.filter(pc.invert(none))
+        if not docs.num_rows:
+            continue
+        chunk_id, length = docs.column("chunk_ids").combine_chunks().flatten(), docs.column("tfs").combine_chunks().flatten()
+        meeting = docs.column("meeting").combine_chunks().take(pa.array(np.repeat(np.arange(docs.num_rows), pc.list_value_length(docs.column("chunk_ids")).to_numpy())))
+        term = np.repeat(np.arange(lists.num_rows), pc.list_value_length(lists.column("chunk_ids")).to_numpy())
+        row = pc.index_in(lists.column("chunk_ids").combine_chunks().flatten(), value_set=chunk_id)
+        full = row.is_valid().to_numpy(zero_copy_only=False)
+        row = row.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.flatnonzero(full)
+        order = order[np.argsort(row[order], kind="stable")]
+        starts = pa.array(np.searchsorted(row[order], np.arange(len(chunk_id) + 1)), pa.int32())
+        tokens = lists.column("term").combine_chunks().take(pa.array(term[order]))
+        tf = lists.column("tfs").combine_chunks().flatten().take(pa.array(order))
+        yield pa.RecordBatch.from_arrays([meeting, chunk_id, length, pa.ListArray.from_arrays(starts, tokens), pa.ListArray.from_arrays(starts, tf)], ["meeting", "chunk_id", "length", "tokens", "tf"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one slice at a time, from rows in the order of their slices."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("batch", "slice")], axis=1).astype(np.int64)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(keys[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def dense(store: Store, level: str, queries: DataFrame, k: int, scope: DataFrame | None = None, fail_open: bool = False, probes: int | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the chunks with the largest cosine, exact within what is looked at.
 

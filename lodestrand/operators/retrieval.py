@@ -222,12 +222,13 @@ def at_hand(rows: DataFrame, most: int) -> list | None:
     return found if len(found) <= most else None
 
 
-def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: str) -> DataFrame:
+def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: str, chunk_kind: str | None = None, made: Callable | None = None) -> DataFrame:
     """The k best chunks of each query with positive scores; terms of queries and members of corpora go to every task.
 
     rows: meeting, chunk_id, length, tokens, and tf if tokens are distinct. terms: weighed terms of queries, members:
     corpus and meeting, both at hand. A task adds up the scores of a batch of chunks for all queries and keeps a running
-    k best, so a pair of query and chunk is no row. kind: the type of query_id.
+    k best, so a pair of query and chunk is no row. kind: the type of query_id. With made, a function that makes such rows
+    (with tf) of the rows in the tasks, chunk_kind is the type of chunk_id.
     """
     ids, names = sorted({r["query_id"] for r in terms}), sorted({r["term"] for r in terms})
     at, place = {q: i for i, q in enumerate(ids)}, {t: i for i, t in enumerate(names)}
@@ -246,8 +247,8 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
     mean[corpus] = np.array([r["mean_length"] for r in terms], np.float64)[order]
     held = {m: np.array([corpora[c] for c in some if c in corpora], np.int64) for m, some in held.items()}
     shared = rows.sparkSession.sparkContext.broadcast((ids, pa.array(names, pa.string()), edges, corpus, query, weight, mean, held))
-    schema = f"query_id {kind}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double"
-    repeated = "tf" not in rows.columns
+    schema = f"query_id {kind}, chunk_id {chunk_kind or rows.schema['chunk_id'].dataType.simpleString()}, score double"
+    repeated = made is None and "tf" not in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, names, edges, corpus, query, weight, mean, held = shared.value
@@ -288,7 +289,7 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
             best.add(q, scores[r, q], batch.column("chunk_id").to_numpy(zero_copy_only=False)[r])
 
         # Scores and tokens of a step stay below a bound.
-        for batch in batches:
+        for batch in batches if made is None else made(batches):
             sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in cuts(len(ids) + sizes, SCORES) if ids else []:
                 add(batch.slice(a, b - a))
@@ -297,7 +298,8 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
             best.prune()
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in best.query], _arrow(schema, 0)), pa.array(best.key.tolist(), _arrow(schema, 1)), pa.array(best.score, pa.float64())], ["query_id", "chunk_id", "score"])
 
-    return top(rows.select("meeting", "chunk_id", "length", "tokens", *([] if repeated else ["tf"])).mapInArrow(run, schema), k)
+    wanted = rows if made else rows.select("meeting", "chunk_id", "length", "tokens", *([] if repeated else ["tf"]))
+    return top(wanted.mapInArrow(run, schema), k)
 
 
 def few(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -317,21 +319,23 @@ def floors(sizes: DataFrame, df: DataFrame) -> DataFrame:
     return counts.groupBy("corpus").agg((EPSILON * F.sum(raw_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("floor"))
 
 
-def by_corpus(words: DataFrame, asked: DataFrame, sizes: DataFrame, members: list | None, in_corpora: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """df of the asked terms and floors, both by corpus, from words (meeting, term, df).
+def by_corpus(words: DataFrame, asked: DataFrame, sizes: DataFrame, members: list | None, in_corpora: Callable[[DataFrame], DataFrame], listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """df of the asked terms and floors, both by corpus, from words (meeting, term, df), whose rows may add up.
 
     Only asked terms are summed into corpora as rows. With members at hand floors are summed in tasks, so a term of a
-    corpus is no row either; without, all terms are.
+    corpus is no row either; without, all terms are. listed: the words as lists of meetings and dfs, a row for each term.
     """
     if members is None:
-        df = in_corpora(words).groupBy("corpus", "term").agg(F.sum("df").alias("df"))
+        df = in_corpora(words).groupBy("corpus", "term").agg(F.sum("df").alias("df")).filter("df > 0")
         return df, floors(sizes, df)
     own = words.join(asked.select("term").distinct(), "term", "left_semi")
-    return in_corpora(own).groupBy("corpus", "term").agg(F.sum("df").alias("df")), floors_in_tasks(words, members, sizes)
+    if listed is None:
+        listed = words.groupBy("term").agg(F.collect_list(F.struct("meeting", "df")).alias("in")).select(F.col("in.meeting").alias("meetings"), F.col("in.df").alias("dfs"))
+    return in_corpora(own).groupBy("corpus", "term").agg(F.sum("df").alias("df")).filter("df > 0"), floors_in_tasks(listed, members, sizes)
 
 
-def floors_in_tasks(words: DataFrame, members: list, sizes: DataFrame) -> DataFrame:
-    """What floors gives, from words (meeting, term, df) and corpora whose meetings are at hand."""
+def floors_in_tasks(listed: DataFrame, members: list, sizes: DataFrame) -> DataFrame:
+    """What floors gives, from lists of meetings and dfs, a row for each term, and corpora whose meetings are at hand."""
     n = {r["corpus"]: r["n"] for r in sizes.collect()}
     pairs = sorted((r["meeting"], r["corpus"]) for r in members if r["corpus"] in n)
     ids = sorted(n)
@@ -340,7 +344,7 @@ def floors_in_tasks(words: DataFrame, members: list, sizes: DataFrame) -> DataFr
     corpus = np.array([at[c] for _, c in pairs], np.int64)
     # The corpora of a meeting stand side by side; the last edge is that of unknown meetings, which have none.
     edges = np.append(np.searchsorted(np.array([m for m, _ in pairs], object), np.array([*names], object)), [len(pairs), len(pairs)]).astype(np.int64)
-    shared = words.sparkSession.sparkContext.broadcast((np.array([n[c] for c in ids], np.float64), ids, pa.array(names, pa.string()), corpus, edges))
+    shared = listed.sparkSession.sparkContext.broadcast((np.array([n[c] for c in ids], np.float64), ids, pa.array(names, pa.string()), corpus, edges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, ids, names, corpus, edges = shared.value
@@ -365,7 +369,6 @@ def floors_in_tasks(words: DataFrame, members: list, sizes: DataFrame) -> DataFr
         if terms.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total), pa.array(terms)], ["corpus", "total", "terms"])
 
-    listed = words.groupBy("term").agg(F.collect_list(F.struct("meeting", "df")).alias("in")).select(F.col("in.meeting").alias("meetings"), F.col("in.df").alias("dfs"))
     summed = listed.mapInArrow(run, "corpus long, total double, terms long").groupBy("corpus").agg(F.sum("total").alias("total"), F.sum("terms").alias("terms"))
     return summed.filter("terms > 0").select("corpus", (EPSILON * F.col("total") / F.col("terms")).alias("floor"))
 

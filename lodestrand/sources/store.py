@@ -7,10 +7,12 @@ batch is run again, and a batch that is done is never run twice. Readers see the
 Tables, each in folders by batch:
 
 - chunks, by level: all columns of the chunks.
-- postings, by level and bucket of the term: term, and lists of chunk_ids that have it and their tfs; a term has a list
-  for each batch of rows that was indexed at once. docs, by level: chunk_id, scope_id and length, which postings meet.
-- terms, by level: scope_id, term and df; sizes, by level: scope_id, n and length. Both are changes: a batch subtracts
-  what it replaces or removes, so sums over batches are the statistics of what is there.
+- postings, by level and bucket of the term: term, lists of chunk_ids that have it and their tfs, and of the scopes that
+  have it and their dfs; a term has a list for each slice of rows that was indexed at once. Texts are cut into tokens
+  once, for these: under no term, in a bucket of their own, they have a slice's chunks by scope, with lengths for tfs.
+- docs, by level: chunk_id, scope_id, length and slice, which postings meet; sizes, by level: scope_id, n and length.
+- less, by level: term, scopes and dfs of what a batch replaces or removes, below zero, if it does. sizes has such changes
+  too, so sums over batches are the statistics of what is there.
 - vectors, by level and cell: chunk_id, scope_id, embedding. Cells are those of the level's first batch with vectors
   (`LEAST` or more of them, fitted on `SAMPLE` for each cell at most); later batches are dealt to the same cells.
 - gone: chunk_ids that the batch replaces or removes. summary: n, length and the floor of idf for each level.
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +43,14 @@ from .scratch import release
 #: Buckets of terms, cells of vectors, vectors that are searched without cells, and vectors a cell is fitted on.
 BUCKETS, CELLS, LEAST, SAMPLE = 32, 100, 1000, 256
 #: Tokens that are listed by term at once.
-TOKENS = 1 << 20
+TOKENS = 1 << 21
 #: An idf below zero becomes EPSILON times the mean over all terms.
 EPSILON = 0.25
 
-#: A list of postings: a term and the chunks of some batch of rows that have it.
-POSTINGS = "term string, chunk_ids array<{kind}>, tfs array<int>"
+#: A list of postings: a term, the chunks of a slice of rows that have it, and how many chunks of each scope do.
+POSTINGS = "term string, slice long, chunk_ids array<{kind}>, tfs array<int>, scopes array<string>, dfs array<int>"
+#: The bucket of what stands under no term.
+NO_TERM = -1
 MANIFEST = "dimension int, buckets int, columns string, base boolean, ok long, failed long, replaced long, batch int"
 
 
@@ -130,27 +135,55 @@ class Store:
         rows = rows if level is None else rows.filter(F.col("level") == index.check_level(level))
         return self.live(rows).drop("batch")
 
-    def postings(self, level: str, terms: DataFrame, few: bool = True) -> DataFrame:
-        """term, chunk_id, scope_id, length and tf of some terms; only the buckets of these are read."""
+    def _asked(self, level: str, terms: DataFrame, few: bool) -> DataFrame:
+        """The lists of some terms; only the buckets of these are read."""
         wanted = [r[0] for r in terms.select(bucket_of(F.col("term"), self.buckets)).distinct().collect()]
         rows = self._read("postings", f"{POSTINGS.format(kind=self._kind('chunk_id'))}, level string, bucket int, batch int")
         rows = rows.filter((F.col("level") == index.check_level(level)) & F.col("bucket").isin(wanted))
         distinct = terms.select("term").distinct()
-        found = rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
-        found = found.select("term", "batch", F.inline(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("tf"))))
+        return rows.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
+
+    def postings(self, level: str, terms: DataFrame, few: bool = True) -> DataFrame:
+        """term, chunk_id, scope_id, length and tf of some terms; only the buckets of these are read."""
+        found = self._asked(level, terms, few).select("term", "batch", F.inline(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("tf"))))
         # Postings of chunks that a later batch replaces meet nothing.
         return found.join(self.docs(level), ["chunk_id", "batch"]).select("term", "chunk_id", "scope_id", "length", "tf")
 
+    def slices(self, level: str, terms: DataFrame) -> DataFrame:
+        """batch, slice, term, scope_id, chunk_ids and tfs: lists of some terms, and under no term the chunks with their lengths.
+
+        All postings of a chunk are in its slice, so slices are searched one by one and no posting is a row.
+        """
+        lists = self._asked(level, terms, True).select("batch", "slice", "term", F.lit(None).cast("string").alias("scope_id"), "chunk_ids", "tfs")
+        of_one = F.struct("chunk_id", "length")
+        docs = self.docs(level).groupBy("batch", "slice", "scope_id").agg(F.collect_list(of_one).alias("own"))
+        if not any(r["replaced"] for r in self.manifests):
+            docs = self._read("postings", f"{POSTINGS.format(kind=self._kind('chunk_id'))}, level string, bucket int, batch int").filter((F.col("level") == level) & (F.col("bucket") == NO_TERM))
+            docs = docs.select("batch", "slice", F.col("scopes")[0].alias("scope_id"), F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("length")).alias("own"))
+        docs = docs.select("batch", "slice", F.lit(None).cast("string").alias("term"), "scope_id", F.col("own.chunk_id").alias("chunk_ids"), F.col("own.length").alias("tfs"))
+        return lists.unionByName(docs)
+
     def docs(self, level: str) -> DataFrame:
-        """chunk_id, scope_id, length and batch of the level's chunks."""
-        rows = self._read("docs", f"chunk_id {self._kind('chunk_id')}, scope_id string, length int, level string, batch int")
+        """chunk_id, scope_id, length, slice and batch of the level's chunks."""
+        rows = self._read("docs", f"chunk_id {self._kind('chunk_id')}, scope_id string, length int, slice long, level string, batch int")
         return self.live(rows.filter(F.col("level") == index.check_level(level))).drop("level")
 
+    def counts(self, level: str) -> DataFrame:
+        """term, scopes and dfs: lists whose sums by scope and term are the statistics; some are below zero."""
+        return _counts(self._lists(self.manifests).filter(F.col("level") == index.check_level(level)))
+
     def terms(self, level: str) -> DataFrame:
         """scope_id, term and df, summed over batches."""
-        rows = self._read("terms", "scope_id string, term string, df long, level string, batch int").filter((F.col("level") == index.check_level(level)) & F.col("term").isNotNull())
+        rows = self.counts(level).select("term", F.inline(F.arrays_zip(F.col("scopes").alias("scope_id"), F.col("dfs").alias("df"))))
         return rows.groupBy("scope_id", "term").agg(F.sum("df").alias("df")).filter("df > 0")
 
+    def _lists(self, seen: list) -> DataFrame:
+        """level, bucket, term, scopes and dfs of some batches (rows with batch and replaced)."""
+        schema = "term string, scopes array<string>, dfs array<int>, level string, bucket int, batch int"
+        rows = self._of("postings", schema, [r["batch"] for r in seen])
+        less = [r["batch"] for r in seen if r["replaced"]]
+        return rows.unionByName(self._of("less", schema, less)) if less else rows
+
     def sizes(self, level: str) -> DataFrame:
         """scope_id, n (chunks) and length (tokens), summed over batches."""
         rows = self._read("sizes", "scope_id string, n long, length long, level string, batch int").filter(F.col("level") == index.check_level(level))
@@ -262,7 +295,7 @@ class Store:
         """Remove the folders of batches that readers no longer see, manifests first."""
         first = self.batches[0] if self.batches else 0
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        for table in ("manifest", "chunks", "postings", "docs", "terms", "sizes", "vectors", "gone", "failed", "summary"):
+        for table in ("manifest", "chunks", "postings", "docs", "less", "sizes", "vectors", "gone", "failed", "summary"):
             root = hadoop.Path(f"{self.path}/{table}")
             fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
             for folder in fs.listStatus(root) if fs.exists(root) else []:
@@ -275,28 +308,27 @@ class Store:
         kind = self._kind("chunk_id")
         scope = F.when(F.col("level") == "meeting", F.col("entry_id") if "entry_id" in new.columns else F.lit(None)).otherwise(F.col("meeting_id")).cast("string")
 
-        def worded(rows: DataFrame) -> DataFrame:
-            return rows.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens"))
+        def listed(rows: DataFrame) -> DataFrame:
+            words = rows.select("level", "chunk_id", scope.alias("scope_id"), tokens(F.col("text")).alias("tokens"))
+            return words.mapInArrow(_listed(self.buckets), f"{POSTINGS.format(kind=kind)}, level string, bucket int")
 
-        listed = worded(new).select("level", "chunk_id", "tokens").mapInArrow(_listed(self.buckets), f"{POSTINGS.format(kind=kind)}, level string, bucket int")
         # Large buckets are split and small ones put together at run time; a file is in the order of its terms.
-        self._write(listed.hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "term"), "postings", batch, "level", "bucket")
+        self._write(listed(new).hint("rebalance", "level", "bucket").sortWithinPartitions("level", "bucket", "term"), "postings", batch, "level", "bucket")
         release(self.spark)
-        self._write(worded(new).select("level", "chunk_id", "scope_id", F.size("tokens").alias("length")), "docs", batch, "level")
-        # Statistics in one pass: chunks with a term, and under no term all chunks and their lengths.
-        changes = worded(new).withColumn("sign", F.lit(1))
+        whole = self._of("postings", f"{POSTINGS.format(kind=kind)}, level string, bucket int, batch int", [batch]).filter(F.col("bucket") == NO_TERM)
+        docs = whole.select("level", "slice", F.col("scopes")[0].alias("scope_id"), F.inline(F.arrays_zip(F.col("chunk_ids").alias("chunk_id"), F.col("tfs").alias("length"))))
+        self._write(docs.select("level", "chunk_id", "scope_id", "length", "slice"), "docs", batch, "level")
+        docs = self._of("docs", f"chunk_id {kind}, scope_id string, length int, level string, batch int", [batch])
+        sizes = docs.groupBy("level", "scope_id").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
         if replaced:
             gone = self.spark.read.schema(f"chunk_id {kind}").parquet(f"{self.path}/gone/batch={batch}")
-            old = self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi")
-            changes = changes.unionByName(worded(self.live(old, batch)).withColumn("sign", F.lit(-1)))
-        each = F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string"))))
-        changes = changes.select("level", "scope_id", "sign", (F.col("sign") * F.size("tokens")).alias("length"), each.alias("term"))
-        changes = changes.groupBy("level", "scope_id", "term").agg(F.sum("sign").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"))
-        terms = changes.filter("df <> 0 or length <> 0")
-        self._write(terms.hint("rebalance", "level", "scope_id").sortWithinPartitions("level", "scope_id", "term"), "terms", batch, "level")
-        release(self.spark)
-        sizes = self.spark.read.schema("scope_id string, term string, df long, length long, level string").parquet(f"{self.path}/terms/batch={batch}").filter("term is null")
-        self._write(sizes.select("level", "scope_id", F.col("df").alias("n"), "length"), "sizes", batch, "level")
+            old = self.live(self._read("chunks", T.StructType([*self._schema(), T.StructField("batch", T.IntegerType())]), batch).join(gone, "chunk_id", "left_semi"), batch)
+            less = listed(old).select("level", "bucket", "term", "scopes", F.transform("dfs", lambda n: -n).alias("dfs"), F.when(F.col("term").isNull(), -F.aggregate("tfs", F.lit(0).cast("long"), lambda a, n: a + n)).alias("length"))
+            self._write(less, "less", batch, "level", "bucket")
+            release(self.spark)
+            less = self._of("less", "scopes array<string>, dfs array<int>, length long, level string, bucket int, batch int", [batch]).filter(F.col("bucket") == NO_TERM)
+            sizes = sizes.unionByName(less.groupBy("level", F.col("scopes")[0].alias("scope_id")).agg(F.sum(F.col("dfs")[0]).alias("n"), F.sum("length").alias("length")))
+        self._write(sizes, "sizes", batch, "level")
         self._write_vectors(new, scope, batch)
 
     def _write_vectors(self, new: DataFrame, scope: Column, batch: int) -> None:
@@ -339,7 +371,8 @@ class Store:
         """Write the summary and then the manifest, which makes the batch visible."""
         seen = [batch] if base else [*self.batches, batch]
         sizes = self._of("sizes", "scope_id string, n long, length long, level string", seen).groupBy("level").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
-        df = self._of("terms", "scope_id string, term string, df long, level string", seen).filter("term is not null").groupBy("level", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+        done = {r["batch"]: r for r in self.manifests} | {batch: {"batch": batch, "replaced": replaced}}
+        df = _counts(self._lists([done[b] for b in seen])).groupBy("level", "term").agg(F.sum(total("dfs")).alias("df")).filter("df > 0")
         counts = df.groupBy("level", "df").agg(F.count("*").alias("terms")).join(sizes, "level")
         floor = counts.groupBy("level").agg((EPSILON * F.sum(raw_idf(F.col("n"), F.col("df")) * F.col("terms")) / F.sum("terms")).alias("floor"))
         self._write(sizes.filter("n > 0").join(floor, "level", "left").coalesce(1), "summary", batch)
@@ -350,8 +383,20 @@ class Store:
         return {"ok": ok, "failed": failed, "replaced": replaced}
 
 
+def total(counts: str) -> Column:
+    """The sum of an array of counts."""
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def _counts(lists: DataFrame) -> DataFrame:
+    return lists.filter(F.col("bucket") != NO_TERM).select("level", "term", "scopes", "dfs")
+
+
 def _listed(buckets: int):
-    """A function from chunks and their tokens to lists of postings: for each term of a batch the chunks that have it."""
+    """A function from chunks and their tokens to lists of postings: for each term of a slice the chunks that have it.
+
+    Under no term are all chunks of the slice by scope, with their lengths. Slices are numbered by task and place.
+    """
 
     def steps(batches):
         """Slices of batches with about TOKENS tokens, whole rows each."""
@@ -361,27 +406,49 @@ def _listed(buckets: int):
             yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
     def run(batches):
-        for batch in steps(batches):
-            listed, levels = batch.column("tokens"), batch.column("level").dictionary_encode()
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for place, batch in enumerate(steps(batches)):
+            name = task << 32 | place
+            listed, levels, scopes = batch.column("tokens"), batch.column("level").dictionary_encode(), batch.column("scope_id").dictionary_encode()
             sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            # Chunks are numbered in the order of their scopes, so those of one scope stand side by side in a list.
+            scope = scopes.indices.fill_null(len(scopes.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(scope, kind="stable")
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            level = levels.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             coded = listed.flatten().dictionary_encode()
-            n, rows = max(len(coded.dictionary), 1), max(len(sizes), 1)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            level = levels.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            # In the order of level, term and chunk.
-            pairs, tf = np.unique((level * n + coded.indices.to_numpy(zero_copy_only=False)) * rows + row, return_counts=True)
-            if not len(pairs):
-                continue
-            group, row = pairs // rows, pairs % rows
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            starts = pa.array(np.append(first, len(pairs)), pa.int32())
-            at = pa.array(row)
-            terms = coded.dictionary.take(pa.array(group[first] % n))
+            # The last term is none, which every chunk has as often as it has tokens.
+            n, rows = len(coded.dictionary) + 1, len(sizes)
+            own = level * n + n - 1
+            at = np.repeat(np.arange(rows), sizes)
+            # In the order of level, term, scope and chunk.
+            pairs, tf = np.unique((level[at] * n + coded.indices.to_numpy(zero_copy_only=False)) * rows + number[at], return_counts=True)
             # The hash that bucket_of has.
             hashes = np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in coded.dictionary.to_pylist()], np.uint64).view(np.int64)
-            values = [batch.column("chunk_id").take(at), pa.array(tf, pa.int32())]
-            columns = [terms, *[pa.ListArray.from_arrays(starts, v) for v in values], levels.dictionary.take(pa.array(group[first] // n)), pa.array((hashes % buckets)[group[first] % n], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_ids", "tfs", "level", "bucket"])
+            bucket = np.append(hashes % buckets, NO_TERM)
+            yield made(name, batch, pairs // rows, order[pairs % rows], tf, scope, scopes.dictionary, levels.dictionary, coded.dictionary, bucket, False)
+            by_scope = np.lexsort((number, own))
+            yield made(name, batch, own[by_scope], by_scope, sizes[by_scope], scope, scopes.dictionary, levels.dictionary, coded.dictionary, bucket, True)
+
+    def made(name, batch, group, row, tf, scope, scopes, levels, terms, bucket, split):
+        """Lists of chunks by group (level and term), which are in order and by scope; with split, a list for each scope."""
+        n, of = len(bucket), scope[row]
+        new = np.append(True, group[1:] != group[:-1])[: len(group)]
+        change = new.copy()
+        change[1:] |= of[1:] != of[:-1]
+        inner = np.flatnonzero(change)
+        first = inner if split else np.flatnonzero(new)
+        starts = pa.array(np.append(first, len(group)), pa.int32())
+        inside = pa.array(np.append(np.searchsorted(inner, first), len(inner)), pa.int32())
+        counts = np.diff(np.append(inner, len(group)))
+        values = [batch.column("chunk_id").take(pa.array(row)), pa.array(tf, pa.int32())]
+        named = scopes.take(pa.array(of[inner], mask=of[inner] == len(scopes)))
+        term = group[first] % n
+        columns = [terms.take(pa.array(term, mask=term == n - 1)), pa.array(np.full(len(first), name), pa.int64()), *[pa.ListArray.from_arrays(starts, v) for v in values]]
+        columns += [pa.ListArray.from_arrays(inside, v) for v in (named, pa.array(counts, pa.int32()))]
+        columns += [levels.take(pa.array(group[first] // n)), pa.array(bucket[term], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, ["term", "slice", "chunk_ids", "tfs", "scopes", "dfs", "level", "bucket"])
 
     return run
 

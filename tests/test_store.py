@@ -247,3 +247,19 @@ def test_a_stream_feeds_the_index(spark, tmp_path):
     fed = Store(spark, path)
     assert fed.batches == [0, 1] and {r["chunk_id"]: r["text"] for r in fed.chunks().collect()} == {"a": "new words here", "b": "two"}
     assert [r["n_tokens"] for r in fed.stats(("summary",)).collect()] == [4]
+
+
+def test_statistics_come_with_the_postings(spark, tmp_path):
+    """A text is cut into tokens once: lists of postings count chunks by scope, and a slice has its chunks with their lengths."""
+    rows = corpus(15, 30)
+    own = store(spark, tmp_path)
+    own.add(frame(spark, rows))
+    assert not (tmp_path / "index" / "terms").exists()
+    df = Counter((m, t) for _, m, _, text, *_ in rows for t in set(text.split()))
+    assert {(r["scope_id"], r["term"]): r["df"] for r in own.terms("summary").collect()} == df
+    own.add(frame(spark, rows[:10]))
+    assert {(r["scope_id"], r["term"]): r["df"] for r in own.terms("summary").collect()} == df
+    found = own.slices("summary", spark.createDataFrame([("w1",)], "term string")).collect()
+    lengths = {c: n for r in found if r["term"] is None for c, n in zip(r["chunk_ids"], r["tfs"])}
+    assert lengths == {r[0]: len(r[3].split()) for r in rows}
+    assert len([r for r in found if r["term"]]) <= len({(r["batch"], r["slice"]) for r in found})
