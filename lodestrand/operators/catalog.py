@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..sources import index
-from ..sources.scratch import cut
+from ..sources.scratch import cut, folder
 from . import matching
 
 DEFAULT_N = 3
@@ -116,7 +116,8 @@ def tool_rows(calls: DataFrame, catalog: DataFrame, today: str) -> DataFrame:
     means; filter_by_person, filter_by_date and filter_by_date_range meetings by date, latest first; and
     get_all_participants every name. A call without what it needs, or of another type, gives one row with an error.
 
-    The catalog is read once for each type, whatever the number of calls. Calls of a range meet the catalog by month.
+    The catalog is computed once, and what calls need of it is kept in the shared folder. Meetings are ranked once within
+    their day; calls by date meet the counts of days, so no task ranks all meetings of a call.
     """
     known = calls.withColumn("query_type", F.coalesce("query_type", F.lit("null")))
     wants = {"find_person": "fuzzy_name", "date_from_relative": "date_str", "filter_by_person": "fuzzy_name"}
@@ -135,7 +136,9 @@ def tool_rows(calls: DataFrame, catalog: DataFrame, today: str) -> DataFrame:
         kinds = {"place": "int", "meeting_id": catalog.schema["meeting_id"].dataType.simpleString(), "date": "string", "name": "string", "score": "double", "error": "string"}
         return found.select(*[F.col(c) if c in found.columns else F.lit(None).cast(kinds[c]).alias(c) for c in RESULT])
 
-    meetings = catalog.select("meeting_id", "date", "year", "month", "participants")
+    place = folder(catalog.sparkSession, "meetings")
+    catalog.select("meeting_id", "date", "year", "month", "participants").write.parquet(place)
+    meetings = catalog.sparkSession.read.parquet(place)
     latest = Window.partitionBy("call_id").orderBy(F.desc("date"), "meeting_id")
 
     def placed(found: DataFrame) -> DataFrame:
@@ -160,18 +163,25 @@ def tool_rows(calls: DataFrame, catalog: DataFrame, today: str) -> DataFrame:
 
     parts.append(placed(of("filter_by_person").select("call_id", "query_type", F.col("fuzzy_name").alias("person")).join(people, "person")))
 
-    # A call without year or month is one for each that the catalog has.
+    same = ("date", "year", "month")
+    days = cut(meetings.groupBy(*same).agg(F.count("*").alias("held")))
+    by_day = meetings.select("meeting_id", *same, F.row_number().over(Window.partitionBy(*same).orderBy("meeting_id")).alias("in_day"))
+
+    def of_days(wanted: DataFrame) -> DataFrame:
+        """All meetings of the days (those columns and held) that calls want, latest first."""
+        later = Window.partitionBy("call_id").orderBy(F.desc("date"), "year", "month").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = wanted.select("call_id", "query_type", *[F.col(c).alias(f"own_{c}") for c in same], F.coalesce(F.sum("held").over(later), F.lit(0)).alias("before"))
+        on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in same])
+        return rows(by_day.join(wanted, on).withColumn("place", (F.col("before") + F.col("in_day")).cast("int")))
+
+    # A call without year or month wants all that the catalog has.
     asked = of("filter_by_date").select("call_id", "query_type", F.nullif("year", F.lit(0)).alias("own_year"), F.nullif("month", F.lit(0)).alias("own_month"))
-    known_months = meetings.select("year", "month").distinct()
     fits = (F.coalesce("own_year", "year").eqNullSafe(F.col("year"))) & (F.coalesce("own_month", "month").eqNullSafe(F.col("month")))
-    wanted = asked.join(known_months, fits).select("call_id", "query_type", F.col("year").alias("y"), F.col("month").alias("m"))
-    parts.append(placed(wanted.join(meetings, F.col("y").eqNullSafe(F.col("year")) & F.col("m").eqNullSafe(F.col("month")))))
+    parts.append(of_days(asked.join(days, fits)))
 
     asked = of("filter_by_date_range").select("call_id", "query_type", F.nullif("start_date", F.lit("")).alias("since"), F.nullif("end_date", F.lit("")).alias("until"))
-    inside = lambda c: F.coalesce(c >= F.col("since"), F.lit(True)) & F.coalesce(c <= F.col("until"), F.lit(True))
-    month_of = F.substring("date", 1, 7)
-    wanted = asked.join(meetings.select(month_of.alias("ym")).distinct(), F.coalesce(F.col("ym") >= F.substring("since", 1, 7), F.lit(True)) & F.coalesce(F.col("ym") <= F.substring("until", 1, 7), F.lit(True)))
-    parts.append(placed(wanted.join(meetings.withColumn("own_ym", month_of), F.col("ym") == F.col("own_ym")).filter(inside(F.col("date")))))
+    inside = F.coalesce(F.col("date") >= F.col("since"), F.lit(True)) & F.coalesce(F.col("date") <= F.col("until"), F.lit(True))
+    parts.append(of_days(asked.join(days.filter("date is not null"), inside)))
 
     names = index_of(people.select(F.col("person").alias("name")).filter("name is not null").distinct(), "name")
     parts.append(rows(of("get_all_participants").select("call_id", "query_type").withColumn("one", F.lit(1)).join(names.withColumn("one", F.lit(1)), "one")))

@@ -178,3 +178,28 @@ def test_a_range_of_dates_reads_the_catalog_once(spark):
 def test_years_and_months_read_the_catalog_once(spark):
     plan = plan_of(plans.QUERIES["q35_filter_by_year_month"](spark, SF))
     assert plan.count("hashpartitioning(l_orderkey") == 1
+
+
+def test_calls_share_one_catalog_and_the_ranks_of_days(spark):
+    """The catalog is computed once for all types of calls, and places go on from day to day."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, f"2024-0{1 + i % 3}-0{1 + i % 2}" if i % 5 else None, ["Ada"]) for i in range(40)]
+    base = spark.createDataFrame(rows, "meeting_id long, date string, participants array<string>")
+    base = base.select("meeting_id", "date", F.substring("date", 1, 4).cast("int").alias("year"), F.substring("date", 6, 2).cast("int").alias("month"), "participants")
+    counting = base.mapInArrow(counted, base.schema)
+    fields = "call_id long, query_type string, n int, person_name string, fuzzy_name string, date_str string, year int, month int, start_date string, end_date string"
+    calls = [(1, "filter_by_date", None, None, None, None, 2024, None, None, None), (2, "filter_by_date", None, None, None, None, None, None, None, None)]
+    calls += [(3, "filter_by_date_range", None, None, None, None, None, None, "2024-01-02", "2024-02-02"), (4, "get_all_participants", None, None, None, None, None, None, None, None), (5, "last_n_meetings", 2, None, None, None, None, None, None, None)]
+    found = catalog.tool_rows(spark.createDataFrame(calls, fields), counting, "2024-05-15").collect()
+    assert seen.value == len(rows)
+    latest = sorted(rows, key=lambda r: (r[1] is None, [-ord(c) for c in r[1] or ""], r[0]))
+    fits = {1: lambda d: d is not None, 2: lambda d: True, 3: lambda d: d is not None and "2024-01-02" <= d <= "2024-02-02"}
+    for call, fit in fits.items():
+        got = [(r["place"], r["meeting_id"]) for r in sorted((r for r in found if r["call_id"] == call), key=lambda r: r["place"])]
+        assert got == [(i + 1, r[0]) for i, r in enumerate(x for x in latest if fit(x[1]))]
