@@ -30,8 +30,10 @@ QUERY_BLOCK = 4096
 FEW_TERMS = 200_000
 #: Pairs of corpus and meeting that are sent to every task; more of them are joined by exchange.
 FEW_MEMBERS = 100_000
-#: Scores of chunks for queries that a task adds up at once.
-SCORES = 1 << 21
+#: Scores, tokens or matches that a task works on at once; it holds some dozen arrays of so many numbers.
+SCORES = 1 << 18
+#: Tokens that a task looks up at once. Each look-up builds a table of all terms asked for, so it takes longer steps.
+TOKENS = 1 << 20
 #: Pairs of query and allowed meeting that one pass holds.
 SCOPE_BLOCK = 2_000_000
 
@@ -254,12 +256,7 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
         ids, names, edges, corpus, query, weight, mean, held = shared.value
         best = _Best(len(ids), k)
 
-        def add(batch: pa.RecordBatch) -> None:
-            listed = batch.column("tokens")
-            sizes = pc.list_value_length(listed).to_numpy(zero_copy_only=False)
-            coded = listed.flatten().dictionary_encode()
-            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
-            term = known[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+        def add(batch: pa.RecordBatch, term: np.ndarray, sizes: np.ndarray) -> None:
             row = np.repeat(np.arange(batch.num_rows), sizes)
             full = term >= 0
             if repeated:
@@ -291,8 +288,14 @@ def scored_in_tasks(rows: DataFrame, terms: list, members: list, k: int, kind: s
         # Scores and tokens of a step stay below a bound.
         for batch in batches if made is None else made(batches):
             sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in cuts(len(ids) + sizes, SCORES) if ids else []:
-                add(batch.slice(a, b - a))
+            for a, b in cuts(sizes, TOKENS) if ids else []:
+                part, own = batch.slice(a, b - a), sizes[a:b]
+                coded = part.column("tokens").flatten().dictionary_encode()
+                known = pc.fill_null(pc.index_in(coded.dictionary, value_set=names), -1).to_numpy(zero_copy_only=False)
+                term, ends = known[coded.indices.to_numpy(zero_copy_only=False)], np.append(0, np.cumsum(own))
+                for c, d in cuts(len(ids) + own, SCORES):
+                    add(part.slice(c, d - c), term[ends[c] : ends[d]], own[c:d])
+            batch = part = coded = None
             pa.default_memory_pool().release_unused()
         if best.key is not None and len(best.key):
             best.prune()

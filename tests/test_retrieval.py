@@ -1,8 +1,11 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrand.operators import evaluate, retrieval
 
@@ -211,3 +214,22 @@ def test_scores_are_added_up_in_bounded_steps(spark, monkeypatch):
     for a, b in retrieval.cuts(sizes, 10):
         assert sizes[a:b].sum() <= 10 + sizes[a]
     assert sum((list(range(a, b)) for a, b in retrieval.cuts(sizes, 10)), []) == list(range(8))
+
+
+def test_a_task_holds_little_beside_its_batch(spark, monkeypatch):
+    """A batch of long texts, whose words all queries ask for, and as many short ones."""
+    own = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(500)])
+    said = [" ".join(own.choice(words, n)) for n in [700] * 3000 + [3] * 3000]
+    few = spark.createDataFrame(list(enumerate(said[2980:3020])), "chunk_id long, text string").withColumn("meeting_id", F.lit("m"))
+    asked = spark.createDataFrame([(i, " ".join(own.choice(words, 60))) for i in range(100)], "query_id long, text string")
+    tasks, real = [], type(few).mapInArrow
+    monkeypatch.setattr(type(few), "mapInArrow", lambda self, run, schema: tasks.append(run) or real(self, run, schema))
+    retrieval.bm25(few, asked, 4)
+    listed = [t.split() for t in said]
+    batch = pa.RecordBatch.from_arrays([pa.array([""] * len(said)), pa.array(range(len(said)), pa.int64()), pa.array(map(len, listed), pa.int32()), pa.array(listed)], ["meeting", "chunk_id", "length", "tokens"])
+    tracemalloc.start()
+    found = list(tasks[-1](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 400 and peak < 60e6
